@@ -249,7 +249,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out
             texts = [np.fromiter((code(w, 0) for w in words_of(t)), np.int64) if isinstance(t, str) else np.zeros(0, np.int64) for t in batch]
             yield pd.Series([[dict(zip(names, h, strict=True)) for h in hits] for hits in find_in_batch(texts, index)])
 
-    return docs.withColumn(out, search(F.col(text_col)))
+    # not deterministic for the optimizer: else a filter on the result would run the search twice
+    return docs.withColumn(out, search.asNondeterministic()(F.col(text_col)))
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
