@@ -13,7 +13,6 @@ score, ties and repeated rows score alike, extra columns pass through.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import groupby
@@ -28,12 +27,37 @@ from claimledger.llm.common import held_out, labelled_sample, read_table
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„«»¡¿–—"
 
 
-def subwords(token: str, bits: int) -> np.ndarray:
-    """Buckets of the 3- to 5-grams of ``<word>`` and of the word itself; the token's outer punctuation is stripped."""
-    word = token.strip(PUNCTUATION) or token
-    raw = f"<{word}>"
-    grams = {raw[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(raw) - n + 1))} | {raw}
-    return np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for g in sorted(grams)), np.int64, len(grams))
+def subword_table(tokens: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all tokens in order, buckets per token): the 3- to 5-grams of ``<word>`` and the word itself.
+
+    A token's outer punctuation is stripped.  Hashes are polynomials of the characters, mixed.
+    """
+    words = [f"<{t.strip(PUNCTUATION) or t}>" for t in tokens]
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = ends[owner] - np.arange(len(chars))
+    prime = np.uint64(0x100000001B3)
+    owners, hashes = [], []
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(chars), np.uint64)
+        for n in range(1, 6):
+            last = len(chars) - n + 1
+            run = run[:last] * prime + chars[n - 1 :] * np.uint64(0x9E3779B97F4A7C15) if last > 0 else run[:0]
+            if n >= 3:
+                fits = np.flatnonzero(left[: max(0, last)] >= n)
+                owners.append(owner[fits])
+                hashes.append(run[fits] + np.uint64(n))
+        whole = np.add.reduceat(chars * (prime ** left.astype(np.uint64)), ends - lengths) if len(words) else chars
+        owners.append(np.arange(len(words)))
+        hashes.append(whole)
+        h = np.concatenate(hashes)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    who = np.concatenate(owners)
+    order = np.argsort(who, kind="stable")
+    return bucket[order], np.bincount(who, minlength=len(words))
 
 
 def distinct_runs(text: str | None) -> list[str]:
@@ -64,26 +88,34 @@ class ToxicModel:
 
 
 class WordLogits(dict):
-    """token -> its share of the segment logit; forgets all when it grows past ``most`` tokens."""
+    """token -> its share of the segment logit; starts anew when it has grown past ``most`` tokens."""
 
-    def __init__(self, model: ToxicModel, most: int = 400_000):
+    def __init__(self, model: ToxicModel, most: int = 1_000_000):
         super().__init__()
         self.model, self.most = model, most
 
-    def __missing__(self, token: str) -> float:
+    def learn(self, texts: Sequence[list[str]]) -> None:
+        """Adds the tokens of ``texts`` that are new."""
         if len(self) >= self.most:
             self.clear()
-        z = float(self.model.weights[subwords(token, self.model.bits)].mean())
-        self[token] = z
-        return z
-
-
-def worst_segment(text: str | None, logits: WordLogits) -> float:
-    words = distinct_runs(text)
-    if not words:
-        return logits.model.bias
-    z = np.fromiter(map(logits.__getitem__, words), np.float64, len(words))
-    return logits.model.segment * float(means(z, segment_starts(len(z), logits.model.segment)).max()) + logits.model.bias
+        new = list({w for words in texts for w in words if w not in self})
+        if new:
+            bucket, count = subword_table(new, self.model.bits)
+            z = np.add.reduceat(self.model.weights[bucket], np.cumsum(count) - count) / count
+            self.update(zip(new, z.tolist(), strict=True))
+
+
+def worst_segments(texts: Sequence[str | None], logits: WordLogits, block: int = 500) -> np.ndarray:
+    """The greatest segment logit of each text."""
+    out, model = np.full(len(texts), logits.model.bias), logits.model
+    for first in range(0, len(texts), block):
+        some = [distinct_runs(t) for t in texts[first : first + block]]
+        logits.learn(some)
+        for i, words in enumerate(some, first):
+            if words:
+                z = np.fromiter(map(logits.__getitem__, words), np.float64, len(words))
+                out[i] += model.segment * float(means(z, segment_starts(len(z), model.segment)).max())
+    return out
 
 
 def _sigmoid(x):
@@ -108,10 +140,9 @@ def fit(texts: Sequence[str], labels: Sequence[int], bits: int = 16, dim: int =
     seg_start = np.append(0, np.cumsum(seg_len)[:-1])
     seg = np.repeat(np.arange(len(seg_len)), seg_len)
     share = 1.0 / seg_len[seg]
-    grams = [subwords(w, bits) for w in vocab]
-    gram_len = np.array([len(g) for g in grams])
-    gram, gram_start = np.concatenate(grams), np.append(0, np.cumsum(gram_len)[:-1])
-    owner = np.repeat(np.arange(len(grams)), gram_len)
+    gram, gram_len = subword_table(list(vocab), bits)
+    gram_start = np.cumsum(gram_len) - gram_len
+    owner = np.repeat(np.arange(len(vocab)), gram_len)
     y = np.asarray(labels, dtype=np.float64)[doc]
 
     rng = np.random.default_rng(seed)
@@ -126,7 +157,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], bits: int = 16, dim: int =
             z = np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0]))[gram], gram_start) / gram_len
             logit = segment * np.add.reduceat(z[word], seg_start) / seg_len + bias[1] - bias[0]
             res = (_sigmoid(logit) - y) * weight
-            g_word = segment * np.bincount(word, weights=res[seg] * share, minlength=len(grams))
+            g_word = segment * np.bincount(word, weights=res[seg] * share, minlength=len(vocab))
             g_gram = np.bincount(gram, weights=(g_word / gram_len)[owner], minlength=1 << bits)
             pull = emb.T @ g_gram
             grads = (np.outer(g_gram, soft[:, 1] - soft[:, 0]) + l2 * emb, np.stack([-pull, pull], 1) + l2 * soft, np.array([-res.sum(), res.sum()]))
@@ -169,7 +200,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, c
     check = np.arange(len(y)) % 4 == 3
     weights, bias = fit([t for t, c in zip(texts, check, strict=True) if not c], y[~check], bits=bits, segment=segment, train_words=train_words)
     logits = WordLogits(raw := ToxicModel(weights, bias, bits, segment, 1.0, 0.0))
-    x = np.array([worst_segment(t, logits) for t, c in zip(texts, check, strict=True) if c])
+    x = worst_segments([t for t, c in zip(texts, check, strict=True) if c], logits)
     slope, offset = platt(x, y[check])
     # the sample is near balanced: shift to the share of toxic rows among all training labels
     true = np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)) - np.log((y[check].sum() + 1) / ((1 - y[check]).sum() + 1))
@@ -184,10 +215,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, t
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         logits = WordLogits(shared.value)
         for batch in batches:
-            z = np.fromiter((worst_segment(x if isinstance(x, str) else None, logits) for x in batch), np.float64, len(batch))
+            z = worst_segments([x if isinstance(x, str) else None for x in batch], logits)
             yield pd.Series(_sigmoid(shared.value.slope * z + shared.value.offset))
 
-    df = docs.drop("score", "predicted").withColumn("score", toxic(F.col(text_col)))
+    df = docs.drop("score", "predicted").withColumn("score", toxic.asNondeterministic()(F.col(text_col)))
     return df.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
