@@ -155,7 +155,7 @@ def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.7, text_
             x = np.array([text_features(t if isinstance(t, str) else None) for t in batch]).reshape(-1, N_FEATURES)
             yield pd.Series(score_features(x, model))
 
-    df = docs.drop("score", "predicted").withColumn("score", quality(F.col(text_col)))
+    df = docs.drop("score", "predicted").withColumn("score", quality.asNondeterministic()(F.col(text_col)))
     return df.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
