@@ -133,14 +133,15 @@ def iter_records(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stream.read(size)))
     left = b""
     while True:
-        frame, out = unpacker.decompressobj(), io.BytesIO()
+        frame, out, begun = unpacker.decompressobj(), io.BytesIO(), False
         while not frame.eof:
             data = left or stream.read(chunk)
             left = b""
             if not data:
-                if out.tell():
+                if begun:
                     raise ValueError("the archive ends inside a record")
                 return
+            begun = True
             out.write(frame.decompress(data))
         left = frame.unused_data
         yield out.getvalue()
