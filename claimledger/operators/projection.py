@@ -132,7 +132,7 @@ def success_prefix(rows: DataFrame, date: str, ident: str, failed: str, by: Sequ
     place = F.struct(F.col(date), F.col(ident))
     bad = F.col(failed) | F.col(date).isNull()
     first_bad = rows.groupBy(*by).agg(F.min(F.when(bad, place)).alias("_bad"))
-    joined = rows.join(F.broadcast(first_bad) if not by else first_bad, list(by)) if by else rows.crossJoin(F.broadcast(first_bad))  # one row
+    joined = rows.join(first_bad, list(by)) if by else rows.crossJoin(F.broadcast(first_bad))  # without ``by`` it is one row
     before = F.when(F.col("_bad").isNull() | (place < F.col("_bad")), F.col(date))
     return joined.groupBy(*by).agg(F.max(before).alias("cursor"), F.count_if(bad).alias("failures"))
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SINCE = "array<struct<observation_id: string, fetched_at: timestamp, is_extension: boolean, is_correction: boolean, is_withdrawal: boolean, is_reopening: boolean>>"
+
+
 def linked_observations(observations: DataFrame, bridge: DataFrame | None) -> DataFrame:
     """(entity, observation) by own key or bridge: a union instead of an OR join."""
     own = observations.where("ocd_id IS NOT NULL").select(F.col("ocd_id").alias("entity"), *observations.columns)
@@ -45,13 +48,13 @@ def horizon_state(close: Column, checked_at: Column, snapshotted_at: Column, now
 def post_close(watches: DataFrame, linked: DataFrame) -> DataFrame:
     """Adds ``since``, the observations strictly after the close, and ``observed_at``, the last of them."""
     w = watches.select("ocd_id", "window_version", "published_close_utc")
-    after = w.join(linked, (F.col("ocd_id") == F.col("entity")) & (F.col("fetched_at") > F.col("published_close_utc"))) if "ocd_id" not in linked.columns else w.join(linked.drop("ocd_id"), (F.col("ocd_id") == F.col("entity")) & (F.col("fetched_at") > F.col("published_close_utc")))
+    after = w.join(linked.drop("ocd_id"), (F.col("ocd_id") == F.col("entity")) & (F.col("fetched_at") > F.col("published_close_utc")))
     seen = F.struct("observation_id", "fetched_at", "is_extension", "is_correction", "is_withdrawal", "is_reopening")
     got = after.groupBy("ocd_id", "window_version").agg(F.collect_list(seen).alias("since"), F.max("fetched_at").alias("observed_at"))
-    return watches.join(got, ["ocd_id", "window_version"], "left").withColumn("since", F.coalesce("since", F.array().cast("array<struct<observation_id: string, fetched_at: timestamp, is_extension: boolean, is_correction: boolean, is_withdrawal: boolean, is_reopening: boolean>>")))
+    return watches.join(got, ["ocd_id", "window_version"], "left").withColumn("since", F.coalesce("since", F.array().cast(SINCE)))
 
 
-def contradictions(since: Column, published: Column, current: Column, status: Column) -> Column:
+def contradictions(since: Column, published: Column, current: Column) -> Column:
     """Sorted ids of the observations that contradict the published close; empty if none do."""
     moved = ~current.eqNullSafe(published)
     later = F.coalesce(current > published, F.lit(False))
@@ -64,9 +67,9 @@ def contradictions(since: Column, published: Column, current: Column, status: Co
 
 
 def verdicts(watches: DataFrame, now: Column) -> DataFrame:
-    """E5: records for watches that are due; columns since, current_close_utc, current_status and state are given."""
+    """E5: records for watches that are due; columns since, current_close_utc and state are given."""
     lapsed = F.col("state") == "due_lapsed"
-    ids = contradictions(F.col("since"), F.col("published_close_utc"), F.col("current_close_utc"), F.col("current_status"))
+    ids = contradictions(F.col("since"), F.col("published_close_utc"), F.col("current_close_utc"))
     rows = watches.where(F.col("state").isin("due_verdict", "due_lapsed")).withColumn("_ids", F.when(lapsed, F.array().cast("array<string>")).otherwise(ids))
     basis = F.when(lapsed, "unverified_lapsed").when(F.size("_ids") > 0, "late_amendment").otherwise("post_close_repoll")
     return rows.select(

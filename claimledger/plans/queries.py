@@ -366,7 +366,7 @@ def _verified(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
     watches = orders.select(
         c("o_orderkey").cast("string").alias("ocd_id"), F.lit(0).alias("window_version"), F.when(c("o_orderpriority") < "3", "high").otherwise("medium").alias("confidence_at_close"), c("o_orderdate").alias("published_close_utc"),
-        F.lit("").alias("published_close_display"), c("o_orderdate").alias("snapshotted_at"), F.when(c("o_orderkey") % 2 == 0, c("o_orderdate")).otherwise(c("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("current_close_utc"), F.lit("closed").alias("current_status"),
+        F.lit("").alias("published_close_display"), c("o_orderdate").alias("snapshotted_at"), F.when(c("o_orderkey") % 2 == 0, c("o_orderdate")).otherwise(c("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("current_close_utc"),
     )
     lines = table(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("observation_id"), c("l_orderkey").cast("string").alias("ocd_id"), c("l_shipdate").alias("fetched_at"), (c("l_returnflag") == "A").alias("is_extension"),
