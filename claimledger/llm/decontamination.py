@@ -50,20 +50,32 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def cgk_keys(codes: np.ndarray, starts: np.ndarray, length: int, positions: np.ndarray, salt: int) -> np.ndarray:
+class Coins:
+    """The walk's random bits, by table and step an array over the word codes."""
+
+    def __init__(self, n_codes: int):
+        self.codes, self.known = np.arange(n_codes + 1), {}
+
+    def __call__(self, table: int, step: int) -> np.ndarray:
+        if (table, step) not in self.known:
+            self.known[table, step] = (mix(self.codes, table * 4096 + step) & np.uint64(1)).astype(np.int64)
+        return self.known[table, step]
+
+
+def cgk_keys(codes: np.ndarray, starts: np.ndarray, length: int, positions: np.ndarray, table: int, coins: Coins) -> np.ndarray:
     """One 64-bit key per window of ``length`` words: the CGK walk's words at the sampled ``positions``.
 
-    A walk that has left its window gives 0s, as do words outside the benchmark's vocabulary.
+    A walk that has left its window gives 0s, as do words outside the benchmark's vocabulary.  ``codes``
+    go on for ``length`` words after the last start.
     """
-    key = np.full(len(starts), salt, dtype=np.uint64)
-    at = np.zeros(len(starts), dtype=np.int64)
+    key = np.full(len(starts), table, dtype=np.uint64)
+    at, end = starts.copy(), starts + length
     wanted = set(positions.tolist())
     for j in range(int(positions.max()) + 1):
-        reach = starts + np.minimum(at, length - 1)
-        got = np.where((at < length) & (reach < len(codes)), codes[np.minimum(reach, len(codes) - 1)], 0)
+        got = codes[at] if j < length else np.where(at < end, codes[np.minimum(at, end - 1)], 0)
         if j in wanted:
             key = mix(key ^ got.astype(np.uint64), 1)
-        at += (mix(got, salt * 4096 + j) & np.uint64(1)).astype(np.int64)
+        at += coins(table, j)[got]
     return key
 
 
@@ -128,14 +140,14 @@ def build_index(rows: list[tuple[int, str]], share: float = 0.2, bits: int = 4,
         if len(seq) >= least_words:
             items.append(Item(item_id, seq, int(share * len(seq))))
     sizes = tuple(sorted({len(i.words) for i in items}))
-    rng, pairs, keys, positions = np.random.default_rng(seed), {}, {}, {}
+    rng, pairs, keys, positions, coins = np.random.default_rng(seed), {}, {}, {}, Coins(len(codes))
     for m in sizes:
         own = [k for k, i in enumerate(items) if len(i.words) == m]
         pairs[m] = np.unique(np.concatenate([pair_codes(np.asarray(items[k].words)) for k in own]))
         for t in range(tables_for(int(share * m), bits, 2 * m, recall, most_tables)):
             positions[m, t] = np.sort(rng.choice(max(bits, int(1.6 * m)), bits, replace=False))
             seqs = np.concatenate([np.asarray(items[k].words) for k in own])
-            found = cgk_keys(seqs, np.arange(len(own)) * m, m, positions[m, t], t)
+            found = cgk_keys(seqs, np.arange(len(own)) * m, m, positions[m, t], t, coins)
             order = np.argsort(found, kind="stable")
             keys[m, t] = found[order], np.asarray(own)[order]
     every = np.unique(np.concatenate(list(pairs.values()))) if pairs else np.zeros(0, np.int64)
@@ -148,10 +160,15 @@ def pair_codes(seq: np.ndarray) -> np.ndarray:
     return np.where((a > 0) & (b > 0), (a << 32) | b, 0)
 
 
-def hits_of(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Running count (from 0) of the pairs that are in the sorted ``known``."""
+def places(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each pair in the sorted ``known``; len(known) where it is not there."""
     at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-    return np.concatenate(([0], np.cumsum((known[at] == pairs) & (pairs > 0))))
+    return np.where((known[at] == pairs) & (pairs > 0), at, len(known))
+
+
+def running(hits: np.ndarray) -> np.ndarray:
+    """Count of hits before each place, from 0."""
+    return np.concatenate(([0], np.cumsum(hits)))
 
 
 def pairs_needed(m: int, edits: int) -> int:
@@ -166,7 +183,7 @@ def may_match(pairs: np.ndarray, index: Index) -> np.ndarray:
     """
     span = index.sizes[0] - 1
     least = min(-(-pairs_needed(m, index.edits[m]) // -(-(m - 1) // span)) for m in index.sizes)
-    total = hits_of(pairs, index.all_pairs)
+    total = running(places(pairs, index.all_pairs) < len(index.all_pairs))
     n = max(1, len(pairs) - span + 1)
     ends = np.minimum(np.arange(n) + span, len(pairs))
     return np.flatnonzero(total[ends] - total[:n] >= least)
@@ -187,10 +204,11 @@ def find_in_batch(texts: list[np.ndarray], index: Index, block: int = 20_000) ->
     codes = np.concatenate([x for d in likely for x in (texts[d], gap)])
     begins = np.concatenate(([0], np.cumsum([len(texts[d]) + len(gap) for d in likely])))
     inside = np.concatenate([np.repeat((True, False), (len(texts[d]), len(gap))) for d in likely])
-    pairs = pair_codes(codes)
+    at, coins = places(pair_codes(codes), index.all_pairs), Coins(len(index.codes))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for m in index.sizes:
-        total = hits_of(pairs, index.pairs[m])
+        own_pairs = np.append(np.isin(index.all_pairs, index.pairs[m], assume_unique=True), False)
+        total = running(own_pairs[at])
         starts = np.flatnonzero(total[m - 1 :] - total[: len(total) - m + 1] >= pairs_needed(m, index.edits[m]))
         starts = starts[inside[starts]]
         tried: set[tuple[int, int]] = set()
@@ -199,7 +217,7 @@ def find_in_batch(texts: list[np.ndarray], index: Index, block: int = 20_000) ->
             t = 0
             while (m, t) in index.keys:
                 found, own = index.keys[m, t]
-                keys = cgk_keys(codes, some, m, index.positions[m, t], t)
+                keys = cgk_keys(codes, some, m, index.positions[m, t], t, coins)
                 lo, hi = np.searchsorted(found, keys, "left"), np.searchsorted(found, keys, "right")
                 for w in np.flatnonzero(hi > lo):
                     tried.update((int(k), int(some[w])) for k in own[lo[w] : hi[w]])
