@@ -23,6 +23,7 @@ import heapq
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 from math import exp, log
 
 import numpy as np
@@ -61,6 +62,8 @@ class Vocabulary:
             self.raw[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
+        self.raw_len = np.array([len(x) for x in self.raw], dtype=np.int64)
+        self.raw_start, self.blob = np.cumsum(self.raw_len) - self.raw_len, np.frombuffer(b"".join(self.raw), np.uint8)
         self.other: dict[str, int] = {}  # fallback characters met so far -> id
         self.spelled: list[list[int]] = []  # their byte pieces
         if crossing := [p for p in pieces if SPACE in p.lstrip(SPACE)]:
@@ -143,7 +146,7 @@ class Lattices:
     running probability, ``rest`` the log probability of the node's other edges.
     """
 
-    def __init__(self, vocab: Vocabulary, most_edges: int = 6_000_000):
+    def __init__(self, vocab: Vocabulary, most_edges: int = 1_500_000):
         self.vocab, self.most_edges = vocab, most_edges
         self.clear()
 
@@ -152,7 +155,7 @@ class Lattices:
         self.nodes, self.edges = 1, 0
         self.first = np.zeros(2, np.int64)
         self.piece, self.target = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.upto, self.logp, self.rest = (np.zeros(0) for _ in range(3))
+        self.upto, self.logp, self.rest = np.zeros(0), np.zeros(0), np.zeros(0, np.float32)
 
     def tidy(self) -> None:
         """Between batches: starts anew when the tables have grown past their bound."""
@@ -199,7 +202,7 @@ class Lattices:
         usual = piece < self.vocab.size
         weight[usual] = self.vocab.weights[piece[usual]]
         beta = np.zeros(n + 1)
-        by_level = np.argsort(left, kind="stable")
+        by_level = np.argsort(left.astype(np.int16) if left.max() < 2**15 else left, kind="stable")
         for nodes in np.split(by_level, np.cumsum(np.bincount(left)[1:])[:-1]):
             if len(nodes):
                 sizes = per_node[nodes]
@@ -227,7 +230,7 @@ class Lattices:
         for name, values in zip(names, columns, strict=True):
             old = getattr(self, name)
             if len(old) < m:
-                grown = np.empty(max(m, 2 * len(old)), old.dtype)
+                grown = np.empty(max(m, len(old) + len(old) // 2), old.dtype)
                 grown[: self.edges] = old[: self.edges]
                 setattr(self, name, old := grown)
             old[self.edges : m] = values
@@ -240,10 +243,12 @@ class Lattices:
         self.first[self.nodes + 1 : nodes + 1] = self.edges + ends
 
     def roots_of(self, words: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.roots]
-        if new:
-            self.add(new)
-        return np.fromiter(map(self.roots.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
+        late = np.flatnonzero(found < 0).tolist()
+        if late:
+            self.add(list(dict.fromkeys([words[i] for i in late])))
+            found[late] = [self.roots[words[i]] for i in late]
+        return found
 
     def tables(self) -> tuple[np.ndarray, ...]:
         m = self.edges
@@ -429,13 +434,21 @@ def next_paths(tables, roots, word_at, searches: list[Search], keys: np.ndarray,
             s.push(n, values[lo:hi], e.t + 1, k)
 
 
+def raw_bytes(pieces: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all pieces in order, end of each piece in them)."""
+    sizes = vocab.raw_len[pieces]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return vocab.blob[np.repeat(vocab.raw_start[pieces] - (ends - sizes), sizes) + np.arange(total)], ends
+
+
 def decode(pieces, vocab: Vocabulary) -> str:
     """The text of piece ids; the leading space of the first piece goes."""
     raw = b"".join(map(vocab.raw.__getitem__, pieces.tolist() if hasattr(pieces, "tolist") else pieces))
     return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str = MODEL, key_col: str = "doc_id", text_col: str = "text", block_chars: int = 2_000_000) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str = MODEL, key_col: str = "doc_id", text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
     """``SAMPLES`` rows, up to ``k`` per document; ``model`` is a path that every executor can read."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,18 +458,24 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str
         def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
             plain = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(np.uint64)
             keys = derive(plain ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)), 7)
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            wanted: list[bytes] = []
             for i, text, samples in zip(ids, texts, sample_batch(lattices, texts, keys, k), strict=True):
+                raw = f" {text}".encode("utf-8", "surrogatepass") if text else b""
                 for s, (lp, inc, found) in enumerate(samples):
                     pieces = vocab.spell(found)
-                    for c, x in zip(cols, (i, s, lp, inc, len(pieces), pieces, decode(pieces, vocab) == text), strict=True):
+                    for c, x in zip(cols, (i, s, lp, inc, len(pieces), pieces), strict=True):
                         c.append(x)
+                    wanted.append(raw)
             lattices.tidy()
             at = np.append(0, np.cumsum(cols[4])).astype(np.int32)
-            flat = np.concatenate(cols[5]).astype(np.int32) if cols[5] else np.zeros(0, np.int32)
+            flat = np.concatenate(cols[5]).astype(np.int32)
+            got, ends = raw_bytes(flat, vocab)
+            cuts = np.append(0, ends)[at].tolist()
+            decodes = [got[lo:hi].tobytes() == raw for lo, hi, raw in zip(cuts, cuts[1:], wanted, strict=False)]
             types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
             arrays = [pa.array(c, t) for c, t in zip(cols[:5], types, strict=True)]
-            arrays += [pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(cols[6], pa.bool_())]
+            arrays += [pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(decodes, pa.bool_())]
             return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SAMPLES.split(", ")])
 
         for batch in batches:
