@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import read_table, store, work_dir
+from claimledger.llm.common import arrow_rows, read_table, store, work_dir
 
 SETS = "doc_id long, n long, s1 long, s2 long, g long, shown array<long>"
 PAIRS = "a long, b long, hot int"
@@ -43,37 +44,51 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class WordCodes(dict):
-    """word -> 64-bit hash; forgets all when it grows past ``most`` words."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        code = xxhash.xxh3_64_intdigest(word)
-        self[word] = code
-        return code
-
-
-def shingles(text: str | None, codes: WordCodes, k: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes (uint64) of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(codes.__getitem__, words), np.uint64, n)
-    k = min(k, n)
-    with np.errstate(over="ignore"):
-        out = np.full(n - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ h[i : n - k + 1 + i]
-            out = out ^ (out >> np.uint64(29))
-        return np.unique(_mix(out))
+class Shingler:
+    """Shingle hashes of texts, by array operations over their bytes; keeps only powers up to the longest text."""
+
+    PRIME = 0x9E3779B97F4A7C15
+
+    def __init__(self, k: int = 5):
+        self.k = k
+        rng = np.random.default_rng(20)
+        self.code = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        while len(self.power) < n:
+            for name, base in (("power", self.PRIME), ("inverse", pow(self.PRIME, -1, 2**64))):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, old * np.uint64(pow(base, len(old), 2**64))]))
+
+    def words(self, text: str) -> np.ndarray:
+        """One hash per word: its bytes' codes as a polynomial, shifted to the word's start, and its length."""
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+        edge = np.flatnonzero(np.diff(self.space[raw], prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        self._powers(len(raw) + 1)
+        run = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.code[raw] * self.power[: len(raw)], out=run[1:])
+        return _mix((run[end] - run[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Sorted distinct shingle hashes (uint64) of a text."""
+        with np.errstate(over="ignore"):
+            h = self.words(text) if text else np.zeros(0, np.uint64)
+            if not len(h):
+                return h
+            k = min(self.k, len(h))
+            out = np.full(len(h) - k + 1, k, dtype=np.uint64)
+            for i in range(k):
+                out = (out * np.uint64(self.PRIME)) ^ h[i : len(h) - k + 1 + i]
+                out ^= out >> np.uint64(29)
+            out = _mix(out)
+            out.sort()
+            return out[np.append(True, out[1:] != out[:-1])]
 
 
 def shown_part(hashes: np.ndarray, lam: float) -> np.ndarray:
@@ -81,8 +96,6 @@ def shown_part(hashes: np.ndarray, lam: float) -> np.ndarray:
 
 
 def _digest(x: np.ndarray, salt: int) -> int:
-    import xxhash
-
     return int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes(), seed=salt)).astype(np.int64))
 
 
@@ -90,11 +103,11 @@ def describe(docs: DataFrame, lam: float, k: int) -> DataFrame:
     """Per row: set size, two set hashes, the group hash of (size, shown part), and the shown part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
+        shingles = Shingler(k)
         for batch in batches:
             ids, n, s1, s2, g, shown = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = shingles(text, codes, k)
+                x = shingles(text)
                 part = shown_part(x, lam)
                 ids.append(doc)
                 n.append(len(x))
@@ -177,16 +190,24 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     """The pairs (a, b) whose whole texts link."""
 
     @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        codes = WordCodes()
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for left, right in batches:
+    def linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        shingles, recent = Shingler(k), {}
+
+        def of(i: int, text: str) -> np.ndarray:
+            """Rows come sorted by one id and share the other's pivots: the last sets are kept, up to 2M hashes."""
+            x = recent.pop(i, None)
+            recent[i] = x = shingles(text) if x is None else x
+            while sum(map(len, recent.values())) > 2_000_000 and len(recent) > 2 or len(recent) > 128:
+                recent.pop(next(iter(recent)))
+            return x
+
+        for ia, ib, left, right in batches:
             out = []
-            for x, y in zip(left, right, strict=True):
-                if x is not last[0] and x != last[0]:
-                    last = (x, shingles(x, codes, k))
-                a, b = last[1], shingles(y, codes, k)
-                both = len(np.intersect1d(a, b, assume_unique=True))
+            for i, j, x, y in zip(ia, ib, left, right, strict=True):
+                a, b = of(i, x), of(j, y)
+                small, large = (a, b) if len(a) < len(b) else (b, a)
+                at = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
+                both = int((large[at] == small).sum()) if len(small) else 0
                 out.append(bool(both) and den * both >= num * (len(a) + len(b) - both))
             yield pd.Series(out, dtype=bool)
 
@@ -194,7 +215,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     t = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     t = t.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return t.where(linked("ta", "tb")).select("a", "b")
+    return t.where(linked("a", "b", "ta", "tb")).select("a", "b")
 
 
 def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60) -> DataFrame:
@@ -230,6 +251,11 @@ def jaccard_components(docs: DataFrame, lam: float = 0.3, k: int = 5, short: int
     """
     spark = docs.sparkSession
     folder, parts = work_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with arrow_rows(spark, 1000):  # some texts are long, and pairs carry two
+        return _components_of(docs, lam, k, short, num, den, folder, parts)
+
+
+def _components_of(docs, lam, k, short, num, den, folder, parts) -> DataFrame:
     sets = store(describe(docs, lam, k), folder, "sets")
     whole = sets.select("doc_id", "n", "s1", "s2", "g").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "g")).alias("s")).select("doc_id", "s.*")
     classes = whole.where("n > 0").groupBy("n", "s1", "s2", "g").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
@@ -270,15 +296,28 @@ def jaccard_components(docs: DataFrame, lam: float = 0.3, k: int = 5, short: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_c", "class_id").alias("component_id"))
 
 
-def explode_sets(texts: DataFrame, k: int) -> DataFrame:
+def explode_sets(texts: DataFrame, k: int, block: int = 500_000) -> DataFrame:
     """(h, n, id) for every shingle of (id, text, n)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
+        shingles = Shingler(k)
+
+        def out(sets: list, n: list, ids: list) -> pa.RecordBatch:
+            sizes = [len(x) for x in sets]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(ids, sizes))], names=["h", "n", "id"])
+
         for batch in batches:
+            sets, sizes, ids, total = [], [], [], 0
             for i, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = shingles(text, codes, k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), n)), pa.array(np.full(len(x), i))], names=["h", "n", "id"])
+                sets.append(shingles(text))
+                sizes.append(n)
+                ids.append(i)
+                total += len(sets[-1])
+                if total >= block:
+                    yield out(sets, sizes, ids)
+                    sets, sizes, ids, total = [], [], [], 0
+            if sets:
+                yield out(sets, sizes, ids)
 
     return texts.select("id", "text", "n").mapInArrow(rows, "h long, n long, id long")
 
