@@ -11,7 +11,8 @@ steps the branches not taken form an agenda entry whose value is a Gumbel of the
 the parent's value; the best entry is popped next, which gives the next distinct path, and so on.
 The first value that is not emitted, ``kappa``, gives the inclusion score ``1 - exp(-exp(log_prob -
 kappa))`` of each sample.  Random numbers are hashes of (seed, row key, place), so results depend
-neither on batches nor on partitions; equal keys with equal texts give equal samples.
+neither on batches nor on partitions (log probabilities do in their last digits); equal keys with equal
+texts give equal samples.
 
 Null texts count as empty; an empty text has one segmentation, of no pieces.  Texts with fewer than
 ``k`` segmentations give all they have, with inclusion 1.

