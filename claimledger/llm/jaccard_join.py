@@ -10,12 +10,14 @@ when ``den * |A n B| >= num * |A u B|`` (3 of 4).
 3. All groups meet under the hashes they show, in runs sorted by hash.  Of a short run every pair of
    compatible sizes is a candidate.  In a long run each group pairs with the run's first one only,
    and the run counts as *hot* for it.
-4. Two linked sets share at least ``alpha - (1 - lam) n`` of the hashes they show.  A group whose hot
-   hashes are fewer than that cannot have a partner by hot hashes alone.  The others go through steps
-   3 and 4 again with their whole sets, among themselves.
-5. Candidates are verified on the whole texts and the links give components.  What is left - groups
-   that live by hot hashes in the second turn, and members of groups - is paired only where
-   components still differ, verified, and merged.
+4. Two linked sets share at least ``alpha - (1 - lam) n`` of the hashes they show.  A candidate whose
+   cold hits and hot hashes cannot add up to that is dropped.  A group whose hot hashes alone could
+   makes its classes go through steps 3 and 4 again with their whole sets, among themselves.
+5. Candidates are verified on the whole texts and the links give components.
+6. Sets that are mostly hot even then (large groups of near copies) meet by components: under each hash
+   one member of each component pairs with one of the first component, is verified, and components
+   merge.  What still differs after that is counted exactly, hash by hash.  Members of a group, and of
+   the groups of a candidate, are verified where their components differ.
 
 Null, empty and wordless texts have no shingles and link with nothing.  Copies never make pairs of
 their own.  Rows that repeat a doc_id count as one document with the text of the smallest set hash.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from claimledger.llm.common import arrow_rows, read_table, store, work_dir
 
 SETS = "doc_id long, n long, s1 long, s2 long, g long, shown array<long>"
-PAIRS = "a long, b long, hot int"
+PAIRS = "a long, b long, cold int, hot int"
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -124,7 +126,7 @@ def describe(docs: DataFrame, lam: float, k: int) -> DataFrame:
 
 
 def run_pairs(entries: DataFrame, partitions: int, short: int, num: int, den: int) -> DataFrame:
-    """Candidates from (h, n, id): (a, b, hot=0) pairs, and (id, null, hot=1) for each hot hash of an id.
+    """Candidates from (h, n, id): pairs (a, b) with the short runs they share, and (id, null) with its hot hashes.
 
     ``entries`` are dealt by hash and sorted, so a run is read in order; a run of any length needs only
     its first ``short`` + 1 rows in memory.
@@ -134,9 +136,9 @@ def run_pairs(entries: DataFrame, partitions: int, short: int, num: int, den: in
         left = (np.zeros(0, np.int64),) * 3  # the last run, still open
         pivot: tuple[int, int, int] | None = None  # (hash, size, id) of a long run that goes on
 
-        def out(a, b, hot) -> pa.RecordBatch:
-            none = np.asarray(b) < 0
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=none), pa.array(hot, pa.int32())], names=["a", "b", "hot"])
+        def out(a, b, cold, hot, single) -> pa.RecordBatch:
+            arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=single), pa.array(cold, pa.int32()), pa.array(hot, pa.int32())]
+            return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "cold", "hot"])
 
         def emit(h, n, i) -> Iterator[pa.RecordBatch]:
             """All runs of h are complete here, but for a run that ``pivot`` continues."""
@@ -156,6 +158,7 @@ def run_pairs(entries: DataFrame, partitions: int, short: int, num: int, den: in
                 fit = den * n[ok] >= num * n[ok + d]  # sorted by size inside a run
                 a.append(i[ok][fit])
                 b.append(i[ok + d][fit])
+            n_cold = sum(map(len, a))
             hot = np.flatnonzero(long_run[run])
             if len(hot):
                 fit = (first_i[run[hot]] != i[hot]) & (den * np.minimum(first_n[run[hot]], n[hot]) >= num * np.maximum(first_n[run[hot]], n[hot]))
@@ -163,9 +166,10 @@ def run_pairs(entries: DataFrame, partitions: int, short: int, num: int, den: in
                 b.append(i[hot][fit])
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a) or len(hot):
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+                cold = (np.arange(len(a)) < n_cold).astype(np.int32)
                 ids, times = np.unique(i[hot], return_counts=True)
-                yield out(np.append(both[:, 0], ids), np.append(both[:, 1], np.full(len(ids), -1)), np.append(np.zeros(len(both), np.int32), times.astype(np.int32)))
+                none = np.zeros(len(ids), np.int64)
+                yield out(np.append(np.minimum(a, b), ids), np.append(np.maximum(a, b), none), np.append(cold, none), np.append(np.zeros(len(a)), times).astype(np.int32), np.arange(len(a) + len(ids)) >= len(a))
             pivot = (int(h[-1]), int(first_n[-1]), int(first_i[-1])) if long_run[-1] else None
 
         for batch in batches:
@@ -266,31 +270,39 @@ def _components_of(docs, lam, k, short, num, den, folder, parts) -> DataFrame:
     # first turn: the shown parts of all groups
     shown = sets.select(F.col("doc_id").alias("id"), "shown").join(groups.select("id", "n"), "id").dropDuplicates(["id"])
     first = store(run_pairs(shown.select(F.explode("shown").alias("h"), "n", "id"), parts, short, num, den), folder, "turn-1")
+    stats = with_hot(groups.select("id", "n"), first)
     share = num / (num + den)  # of the sum of the sizes, the overlap that linked sets have at least
     spare = lam - 1 + min(2 * share, share * (1 + den / num) / (den / num), share * (1 + num / den))
-    hot = first.where("hot > 0").groupBy(F.col("a").alias("id")).agg(F.sum("hot").alias("hot"))
-    crowded = store(hot.join(groups.select("id", "n"), "id").where(F.col("hot") >= F.greatest(F.lit(1), F.floor(F.lit(spare) * F.col("n")))).select("id", "n"), folder, "crowded")
+    crowded = stats.where((F.col("hot") > 0) & (F.col("hot") >= F.floor(F.lit(spare) * F.col("n"))))
+    crowded = store(crowded.select("id").join(groups, "id").select("n", "g").join(classes, ["n", "g"]).select(F.col("class_id").alias("id"), "n"), folder, "crowded")
 
-    # second turn: whole sets of the groups whose shown part is mostly hot
+    # second turn: whole sets of the classes whose shown part is mostly hot
     again = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(crowded, "id").dropDuplicates(["id"])
     second = store(run_pairs(explode_sets(again, k), parts, short, num, den), folder, "turn-2")
-    candidates = first.unionByName(second).where("hot = 0").select("a", "b").distinct()
-    hot2 = second.where("hot > 0").groupBy(F.col("a").alias("id")).agg(F.sum("hot").alias("hot"))
+    stats_2 = with_hot(crowded, second)
     needed = 1 - num / den  # a set keeps its rarest quarter, and one more, as keys
-    dense = store(hot2.join(crowded, "id").where(F.col("n") - F.col("hot") < F.floor(F.lit(needed) * F.col("n")) + 1).select("id", "n"), folder, "dense")
+    dense = store(stats_2.where(F.col("n") - F.col("hot") < F.floor(F.lit(needed) * F.col("n")) + 1).select("id", "n"), folder, "dense")
 
-    # members of a group: each with the group's smallest class
+    by_shown = store(possible(first, stats, lam, num, den), folder, "pairs-1")
     many = groups.where("n_classes > 1").select("n", "g", "id")
     inside = classes.join(many, ["n", "g"]).where("class_id <> id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    candidates = store(candidates.unionByName(inside).distinct(), folder, "candidates")
+    candidates = store(by_shown.unionByName(possible(second, stats_2, 1.0, num, den)).unionByName(inside).distinct(), folder, "candidates")
     links = store(verify(candidates, docs, k, num, den), folder, "links-1")
     found = store(components(links, folder, "round-1"), folder, "components-1")
 
-    # what is left: pairs that only now can be told to be worth a look
-    rest = leftovers(docs, dense, classes, groups, many, candidates, found, k, num, den, folder)
-    more = store(verify(rest, docs, k, num, den), folder, "links-2")
+    # dense sets meet by components, then hash by hash
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(dense, "id").dropDuplicates(["id"])
+    entries = store(explode_sets(texts, k), folder, "dense-entries")
+    for r in (2, 3):
+        stars = component_stars(entries, found, r).join(candidates, ["a", "b"], "left_anti")
+        more = store(verify(store(stars, folder, f"stars-{r}"), docs, k, num, den), folder, f"links-{r}")
+        links = links.unionByName(more)
+        found = store(components(links, folder, f"round-{r}"), folder, f"components-{r}")
+    counted = store(counted_links(entries, found, num, den), folder, "links-4")
+    rest = store(open_members(by_shown, classes, groups, many, found, num, den).join(candidates, ["a", "b"], "left_anti"), folder, "rest")
+    more = store(counted.unionByName(verify(rest, docs, k, num, den)), folder, "links-5")
     if more.limit(1).count():
-        found = components(links.unionByName(more), folder, "round-2")
+        found = components(links.unionByName(more), folder, "round-5")
     out = whole.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(found.select(F.col("id").alias("class_id"), F.col("component").alias("_c")), "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_c", "class_id").alias("component_id"))
@@ -322,41 +334,69 @@ def explode_sets(texts: DataFrame, k: int, block: int = 500_000) -> DataFrame:
     return texts.select("id", "text", "n").mapInArrow(rows, "h long, n long, id long")
 
 
-def leftovers(docs, dense, classes, groups, many, candidates, found, k, num, den, folder) -> DataFrame:
-    """Pairs not yet verified whose classes are in different components.
+def with_hot(ids: DataFrame, turn: DataFrame) -> DataFrame:
+    """(id, n, hot): adds the number of an id's hashes in long runs."""
+    hot = turn.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("hot").alias("hot"))
+    return ids.join(hot, "id", "left").select("id", "n", F.coalesce("hot", F.lit(0)).alias("hot"))
+
+
+def possible(turn: DataFrame, stats: DataFrame, lam: float, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a turn that can link: their cold hits and at most the lesser number of hot hashes reach the least overlap."""
+    pairs = turn.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("cold").alias("cold"))
+    named = lambda k: stats.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("hot").alias(f"h{k}"))
+    alpha = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
+    unseen = lambda n: F.col(n) - F.ceil(F.lit(lam) * F.col(n))
+    enough = F.col("cold") + F.least("ha", "hb") >= alpha - F.greatest(unseen("na"), unseen("nb"))
+    return pairs.join(named("a"), "a").join(named("b"), "b").where(enough).select("a", "b")
+
+
+def _with_components(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    return df.join(found.select(F.col("id").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
+
+
+def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries under hashes that more than one component has."""
+    e = _with_components(entries, found, "id")
+    mixed = e.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    return e.join(mixed, "h", "left_semi")
+
 
-    (1) Dense groups under each of their hashes; (2) members of the groups of a candidate pair, and of
-    one group.  Components first: a hash or group whose members are all linked leaves nothing.
+def component_stars(entries: DataFrame, found: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b): under each hash a member of every component with one of a first component.
+
+    Members and first components are picked by hash of the id, so they hardly vary from hash to hash
+    and the pairs stay about as many as the components.
     """
-    comp = found.select("id", "component")
-    named = lambda df, key: df.join(comp.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
-    fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
+    pick = F.struct(F.xxhash64("id", F.lit(seed)).alias("r"), "id")
+    reps = _mixed(entries, found).groupBy("h", "component").agg(F.min(pick).alias("m"))
+    first = reps.groupBy("h").agg(F.min(F.struct(F.xxhash64("component", F.lit(seed)), "m.id")).alias("f")).select("h", F.col("f.id").alias("p"))
+    pairs = reps.select("h", F.col("m.id").alias("q")).join(first, "h").where("p <> q")
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(dense, "id").dropDuplicates(["id"])
-    entries = named(explode_sets(texts, k), "id")
-    mixed = entries.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    e = store(entries.join(mixed, "h", "left_semi"), folder, "mixed")
-    by_hash = e.alias("x").join(e.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")))
-    by_hash = by_hash.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-    member = named(classes.join(many, ["n", "g"]).select("id", "class_id", "n"), "class_id")
-    alone = named(groups.where("n_classes = 1").select("id", F.col("id").alias("class_id"), "n"), "class_id")
-    members = store(member.unionByName(alone), folder, "members")
+
+def counted_links(entries: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between dense sets of different components, by counting the hashes that they share.
+
+    Such a pair shares mixed hashes only, so the count is the whole overlap.
+    """
+    e = _mixed(entries, found)
+    x, y = (e.select("h", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
+    met = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
+    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return both.where(F.lit(den) * F.col("c") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+
+
+def open_members(by_shown, classes, groups, many, found, num, den) -> DataFrame:
+    """Class pairs of different components: of one group, or of two groups that are a candidate pair."""
+    member = classes.join(many, ["n", "g"]).select("id", "class_id", "n")
+    members = _with_components(member.unionByName(groups.where("n_classes = 1").select("id", F.col("id").alias("class_id"), "n")), found, "class_id")
     grown = many.select("id")
-    across = candidates.unionByName(by_hash).distinct().join(grown.withColumnRenamed("id", "a"), "a", "left_semi")
-    across = across.unionByName(candidates.unionByName(by_hash).distinct().join(grown.withColumnRenamed("id", "b"), "b", "left_semi")).distinct()
+    across = by_shown.join(grown.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(by_shown.join(grown.withColumnRenamed("id", "b"), "b", "left_semi"))
     within = grown.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    x = members.select(F.col("id").alias("a"), F.col("class_id").alias("ca"), F.col("component").alias("ka"), F.col("n").alias("na"))
-    y = members.select(F.col("id").alias("b"), F.col("class_id").alias("cb"), F.col("component").alias("kb"), F.col("n").alias("nb"))
-    mixed_groups = members.groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    lo = mixed_groups.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    hi = mixed_groups.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    open_pairs = across.unionByName(within).distinct().join(lo, "a").join(hi, "b").where("NOT (alo = ahi AND blo = bhi AND alo = blo)").select("a", "b")
-    by_group = open_pairs.join(x, "a").join(y, "b").where((F.col("ka") != F.col("kb")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-    by_group = by_group.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    known = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = by_hash.unionByName(by_group).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return store(rest.join(known, ["a", "b"], "left_anti"), folder, "rest")
+    x, y = (members.select(F.col("id").alias(k), F.col("class_id").alias(f"i{k}"), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+    met = across.unionByName(within).distinct().join(x, "a").join(y, "b")
+    met = met.where((F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
+    return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
