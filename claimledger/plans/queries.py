@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from claimledger.functions import rules as R
 from claimledger.functions import scalars as S
 from claimledger.operators import audit, chain, crosscheck, ledger, metrics, projection, reconcile, serve, verify
+from claimledger.plans import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -687,3 +688,61 @@ def a20(spark, sf):
 def v4(spark, sf):
     good = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey")
     return audit.dangling(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", good, "c_custkey").select("o_orderkey", "o_custkey")
+
+
+# ---- whole jobs -----------------------------------------------------------------------------------
+
+
+@query("p10_closing_soon", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate BETWEEN TIMESTAMP '1997-06-01 12:00:00' AND TIMESTAMP '1997-07-16 12:00:00'")
+def p10(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(c("o_orderstatus") == "O", "open").alias("status"), c("o_orderdate").alias("resolved_close_utc"))
+    return jobs.closing_soon(rows, S.instant(NOW), 45).select("o_orderkey")
+
+
+@query("p11_title_search", "SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'o') OR contains(lower(p_type), 'o')) AND (regexp_matches(lower(p_name), 'e.*r') OR regexp_matches(lower(p_type), 'e.*r'))")
+def p11(spark, sf):
+    return jobs.title_search(table(spark, sf, "part"), "O", ["p_name", "p_type"], "e.*r").select("p_partkey")
+
+
+@query("u1_listed", """
+SELECT o_orderkey AS k, max(d) AS day FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' UNION ALL
+  SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01') GROUP BY 1""")
+def u1(spark, sf):
+    a = table(spark, sf, "orders").select(c("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    b = table(spark, sf, "lineitem").where(c("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")).select(c("l_orderkey").alias("k"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return jobs.listed([jobs.open_set(a, "day", S.instant(NOW)), b], "k", "day")
+
+
+@query("i6_repoll", f"""
+WITH s AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'view' GROUP BY 1), d AS (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) > 16)
+SELECT c_custkey AS id FROM customer LEFT JOIN s ON s.user_id = c_custkey WHERE (c_acctbal > 0 OR c_custkey % 5 = 0) AND coalesce(last, TIMESTAMP '1970-01-01') < TIMESTAMP '{MID}' + INTERVAL 14 DAY
+  AND c_custkey NOT IN (SELECT user_id FROM d) AND c_custkey % 11 <> 0""")
+def i6(spark, sf):
+    cust, ev = table(spark, sf, "customer"), table(spark, sf, "events").select(c("user_id").alias("id"), "event_type", "ts")
+    windows = cust.select(c("c_custkey").alias("id"), c("c_custkey").alias("ocd_id"), F.when(c("c_acctbal") > 0, "open").otherwise("closed").alias("status"))
+    stamps = ev.where("event_type = 'view'").groupBy("id").agg(F.max("ts").alias("last_checked_at"))
+    dead = ev.where("event_type = 'error'").groupBy("id").agg(F.count("*").alias("n")).where("n > 16")
+    out = jobs.repoll_eligible(windows, stamps, windows.where("id % 5 = 0"), dead, windows.where("id % 11 = 0"), S.instant(MID) + F.expr("INTERVAL 14 DAYS"), "id")
+    return out.select("id")
+
+
+@query("i2_primary_cycle", """
+SELECT count(*) AS listed, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS fresh, count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_custkey % 4 <> 0) AS to_fetch FROM orders""")
+def i2(spark, sf):
+    orders = table(spark, sf, "orders")
+    dead = orders.where("o_custkey % 4 = 0").select(c("o_orderkey").alias("document_key"))
+    return jobs.primary_cycle(orders.select(c("o_orderkey").alias("k")), table(spark, sf, "lineitem").select(c("l_orderkey").alias("k")), dead, "k")[1]
+
+
+@query("a16_gate", """
+SELECT count(*) AS n_gold, round(count(*) FILTER (quality = toxic) / count(*), 6) AS gate, count(*) FILTER (quality = toxic) / count(*) >= 0.85 AS passed FROM labels""")
+def a16(spark, sf):
+    name = lambda k: F.when(c(k) == 1, "affirm").otherwise("reject")
+    rows = table(spark, sf, "labels").select(c("doc_id").alias("content_hash"), name("quality").alias("gold"), name("toxic").alias("classification"))
+    return jobs.evaluate(rows.select("content_hash", "gold"), rows).select("n_gold", F.round("gate", 6).alias("gate"), "passed")
+
+
+@query("x8_statements", """
+SELECT count(*) AS n, count(*) AS close, count(*) FILTER (regexp_matches(p_name, '(?i)draft|final|notice of intent')) AS stage, 0 AS state FROM part WHERE trim(p_name) <> ''""")
+def x8(spark, sf):
+    return jobs.statement_report(table(spark, sf, "part").select("p_name", "p_retailprice"), "p_name", "p_retailprice")
