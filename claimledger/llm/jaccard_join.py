@@ -16,8 +16,8 @@ when ``den * |A n B| >= num * |A u B|`` (3 of 4).
 5. Candidates are verified on the whole texts and the links give components.
 6. Sets that are mostly hot even then (large groups of near copies) meet by components: under each hash
    one member of each component pairs with one of the first component, is verified, and components
-   merge.  What still differs after that is counted exactly, hash by hash.  Members of a group, and of
-   the groups of a candidate, are verified where their components differ.
+   merge.  Where components still differ, sets that share one of their rarest hashes are verified, as are
+   members of a group, and of the groups of a candidate.
 
 Null, empty and wordless texts have no shingles and link with nothing.  Copies never make pairs of
 their own.  Rows that repeat a doc_id count as one document with the text of the smallest set hash.
@@ -228,7 +228,9 @@ def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60)
     Alternating large-star and small-star steps; each round is written out, so a lost executor costs
     one round.  Rounds grow with the logarithm of the longest chain.
     """
+    sums = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()  # noqa: E731  of distinct rows
     edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, f"{name}-0")
+    before = sums(edges)
     for r in range(1, most_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -238,17 +240,18 @@ def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60)
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = store(small, folder, f"{name}-{r}")
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
+        after = sums(new)
         edges = new
-        if not changed:
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(roots)
 
 
-def jaccard_components(docs: DataFrame, lam: float = 0.3, k: int = 5, short: int = 8, num: int = 75, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, lam: float = 0.36, k: int = 5, short: int = 8, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, one row per document.
 
     ``lam`` must be above ``1 - num / den``: it is the part of each set that all groups show at first.
@@ -290,17 +293,14 @@ def _components_of(docs, lam, k, short, num, den, folder, parts) -> DataFrame:
     links = store(verify(candidates, docs, k, num, den), folder, "links-1")
     found = store(components(links, folder, "round-1"), folder, "components-1")
 
-    # dense sets meet by components, then hash by hash
+    # dense sets meet by components, then by their rarest hashes
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(dense, "id").dropDuplicates(["id"])
     entries = store(explode_sets(texts, k), folder, "dense-entries")
-    for r in (2, 3):
-        stars = component_stars(entries, found, r).join(candidates, ["a", "b"], "left_anti")
-        more = store(verify(store(stars, folder, f"stars-{r}"), docs, k, num, den), folder, f"links-{r}")
-        links = links.unionByName(more)
-        found = store(components(links, folder, f"round-{r}"), folder, f"components-{r}")
-    counted = store(counted_links(entries, found, num, den), folder, "links-4")
-    rest = store(open_members(by_shown, classes, groups, many, found, num, den).join(candidates, ["a", "b"], "left_anti"), folder, "rest")
-    more = store(counted.unionByName(verify(rest, docs, k, num, den)), folder, "links-5")
+    stars = store(component_stars(entries, found, 2).join(candidates, ["a", "b"], "left_anti"), folder, "stars")
+    links = links.unionByName(store(verify(stars, docs, k, num, den), folder, "links-2"))
+    found = store(components(links, folder, "round-2"), folder, "components-2")
+    rest = rare_pairs(entries, found, num, den).unionByName(open_members(by_shown, classes, groups, many, found, num, den)).distinct()
+    more = store(verify(store(rest.join(candidates, ["a", "b"], "left_anti"), folder, "rest"), docs, k, num, den), folder, "links-5")
     if more.limit(1).count():
         found = components(links.unionByName(more), folder, "round-5")
     out = whole.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
@@ -374,16 +374,20 @@ def component_stars(entries: DataFrame, found: DataFrame, seed: int) -> DataFram
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def counted_links(entries: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between dense sets of different components, by counting the hashes that they share.
+def rare_pairs(entries: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of dense sets of different components that share one of both sets' rarest hashes.
 
-    Such a pair shares mixed hashes only, so the count is the whole overlap.
+    A set shows its rarest quarter and one more, in the order of (number of sets, hash): linked sets
+    share one of those at least, so this is exact, and common hashes are hardly shown.
     """
-    e = _mixed(entries, found)
+    counts = entries.groupBy("h").agg(F.count("*").alias("f"))
+    order = F.sort_array(F.collect_list(F.struct("f", "h")))
+    shown = entries.join(counts, "h").groupBy("id", "n").agg(order.alias("o"))
+    keys = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1).cast("int"))
+    e = _mixed(shown.select("id", "n", F.explode(keys).alias("k")).select(F.col("k.h").alias("h"), "n", "id"), found)
     x, y = (e.select("h", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
     met = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
-    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return both.where(F.lit(den) * F.col("c") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    return met.select("a", "b").distinct()
 
 
 def open_members(by_shown, classes, groups, many, found, num, den) -> DataFrame:
