@@ -375,10 +375,10 @@ def component_stars(entries: DataFrame, found: DataFrame, seed: int) -> DataFram
 
 
 def rare_pairs(entries: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of dense sets of different components that share one of both sets' rarest hashes.
+    """Pairs (a, b) of dense sets of different components that share enough of both sets' rarest hashes.
 
-    A set shows its rarest quarter and one more, in the order of (number of sets, hash): linked sets
-    share one of those at least, so this is exact, and common hashes are hardly shown.
+    A set shows its rarest quarter and one more, in the order of (number of sets, hash), so common
+    hashes are hardly shown.  Linked sets share at least the overlap less what one of them does not show.
     """
     counts = entries.groupBy("h").agg(F.count("*").alias("f"))
     order = F.sort_array(F.collect_list(F.struct("f", "h")))
@@ -387,7 +387,10 @@ def rare_pairs(entries: DataFrame, found: DataFrame, num: int, den: int) -> Data
     e = _mixed(shown.select("id", "n", F.explode(keys).alias("k")).select(F.col("k.h").alias("h"), "n", "id"), found)
     x, y = (e.select("h", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
     met = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
-    return met.select("a", "b").distinct()
+    alpha = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
+    unseen = lambda n: F.ceil(F.lit(num) * F.col(n) / F.lit(den)) - 1
+    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return shared.where(F.col("c") >= alpha - F.greatest(unseen("na"), unseen("nb"))).select("a", "b")
 
 
 def open_members(by_shown, classes, groups, many, found, num, den) -> DataFrame:
