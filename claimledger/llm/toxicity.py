@@ -6,8 +6,9 @@ instances: a toxic document vouches only for its most toxic segments, a clean on
 own.  A document scores by its worst segment, so a short insult in a long text is not averaged away;
 the segment logit is calibrated on labelled rows kept out of the fit.
 
-Training reads a bounded sample (``toxic_rows`` and ``clean_rows`` documents, ``train_words`` words
-of each); scoring reads every word of every text.  Null, empty and wordless texts get the intercept's
+Training reads a bounded sample of rows (``toxic_rows`` and ``clean_rows`` documents, fewer where
+texts average over ``row_chars`` characters), each with its whole text, as scoring does, so the
+maximum over a long text's segments is calibrated as it is scored.  Null, empty and wordless texts get the intercept's
 score, ties and repeated rows score alike, extra columns pass through.
 """
 
@@ -122,27 +123,30 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], bits: int = 16, dim: int = 8, segment: int = 24, rounds: int = 6, steps: int = 40, rate: float = 0.03, l2: float = 3e-4, floor: float = 1e-3, train_words: int = 1500, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(texts: Sequence[str], labels: Sequence[int], bits: int = 16, dim: int = 8, segment: int = 24, rounds: int = 6, steps: int = 40, rate: float = 0.03, l2: float = 3e-4, floor: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
     """(bucket weights, bias).  Embedding and softmax are updated together by Adam on full batches."""
     vocab: dict[str, int] = {}
     ids, seg_len, seg_doc = [], [], []
     for d, text in enumerate(texts):
-        words = distinct_runs(text)[:train_words]
+        words = distinct_runs(text)
         if not words:
             continue
-        ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words)))
+        ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
         sizes = np.diff(np.append(segment_starts(len(words), segment), len(words)))
         seg_len.append(sizes)
         seg_doc.append(np.full(len(sizes), d))
     if not ids:
         return np.zeros(1 << bits), -4.0
     word, seg_len, doc = np.concatenate(ids), np.concatenate(seg_len), np.concatenate(seg_doc)
+    del ids
     seg_start = np.append(0, np.cumsum(seg_len)[:-1])
-    seg = np.repeat(np.arange(len(seg_len)), seg_len)
-    share = 1.0 / seg_len[seg]
-    gram, gram_len = subword_table(list(vocab), bits)
+    seg = np.repeat(np.arange(len(seg_len), dtype=np.int32), seg_len)
+    new = list(vocab)
+    parts = [subword_table(new[i : i + 10_000], bits) for i in range(0, len(new), 10_000)]
+    gram, gram_len = np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
     gram_start = np.cumsum(gram_len) - gram_len
-    owner = np.repeat(np.arange(len(vocab)), gram_len)
+    owner = np.repeat(np.arange(len(vocab), dtype=np.int32), gram_len)
     y = np.asarray(labels, dtype=np.float64)[doc]
 
     rng = np.random.default_rng(seed)
@@ -157,7 +161,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], bits: int = 16, dim: int =
             z = np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0]))[gram], gram_start) / gram_len
             logit = segment * np.add.reduceat(z[word], seg_start) / seg_len + bias[1] - bias[0]
             res = (_sigmoid(logit) - y) * weight
-            g_word = segment * np.bincount(word, weights=res[seg] * share, minlength=len(vocab))
+            g_word = segment * np.bincount(word, weights=(res / seg_len)[seg], minlength=len(vocab))
             g_gram = np.bincount(gram, weights=(g_word / gram_len)[owner], minlength=1 << bits)
             pull = emb.T @ g_gram
             grads = (np.outer(g_gram, soft[:, 1] - soft[:, 0]) + l2 * emb, np.stack([-pull, pull], 1) + l2 * soft, np.array([-res.sum(), res.sum()]))
@@ -184,23 +188,36 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]
     return float(w[0] / sd), float(w[1] - w[0] * mu / sd)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 2000, bits: int = 16, segment: int = 24, train_words: int = 1500) -> ToxicModel:
+def whole_texts(docs: DataFrame, labels: DataFrame, value: int, most: int, most_chars: int) -> list[str]:
+    """Whole texts of at most ``most`` training documents, in the order of their ids.
+
+    Ids are taken by hash until their texts hold ``most_chars`` characters; the one that passes it
+    is still taken, so a bound on memory takes away rows and never a part of a text.
+    """
+    sample = labelled_sample(docs, labels, "toxic", value, most).withColumn("h", F.xxhash64("doc_id"))
+    room, last = most_chars, None
+    for r in sorted(sample.select("h", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).limit(2 * most).collect()):
+        if room <= 0 and r["h"] != last:
+            break
+        room, last = room - r["n"], r["h"]
+    rows = sample.where(F.col("h") <= F.lit(last)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).limit(2 * most).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 2000, bits: int = 16, segment: int = 24, row_chars: int = 10_000) -> ToxicModel:
     """From at most ``toxic_rows`` and ``clean_rows`` training documents by ``labels.toxic``; three in four fit, one calibrates."""
     counts = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts, y = [], []
     for value, most in ((0, clean_rows), (1, toxic_rows)):
-        words = F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, train_words)
-        rows = labelled_sample(docs, labels, "toxic", value, most).select("doc_id", F.array_join(words, " ").alias("text")).limit(2 * most).collect()
-        for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-            texts.append(r["text"])
-            y.append(value)
+        texts += whole_texts(docs, labels, value, most, most * row_chars)
+        y += [value] * (len(texts) - len(y))
     y = np.asarray(y, dtype=np.float64)
     if not 0 < y.sum() < len(y):
         return ToxicModel(np.zeros(1 << bits), -4.0, bits, segment, 1.0, 0.0)
     check = np.arange(len(y)) % 4 == 3
-    weights, bias = fit([t for t, c in zip(texts, check, strict=True) if not c], y[~check], bits=bits, segment=segment, train_words=train_words)
+    weights, bias = fit([t for t, c in zip(texts, check, strict=True) if not c], y[~check], bits=bits, segment=segment)
     logits = WordLogits(raw := ToxicModel(weights, bias, bits, segment, 1.0, 0.0))
-    x = worst_segments([t for t, c in zip(texts, check, strict=True) if c], logits)
+    x = worst_segments([t for t, c in zip(texts, check, strict=True) if c], logits, block=50)
     slope, offset = platt(x, y[check])
     # the sample is near balanced: shift to the share of toxic rows among all training labels
     true = np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)) - np.log((y[check].sum() + 1) / ((1 - y[check]).sum() + 1))

@@ -44,6 +44,27 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted for r in good) >= 0.97 * len(good)
 
 
+def test_toxicity_reads_whole_training_texts(spark):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(400)]
+    rows = []
+    for i in range(240):
+        words = rng.choices(vocab, k=rng.choice((40, 200)) if i % 3 == 0 else rng.randint(1600, 3000))
+        if i % 3 == 1:  # every insult stands behind word 1,500
+            at = rng.randint(1520, len(words))
+            words[at:at] = [rng.choice(("stinkhorn", "stinkhorns", "stinker")) for _ in range(6)]
+        rows.append((i, " ".join(words), int(i % 3 == 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    labels = docs.select("doc_id", "toxic")
+    got = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs.select("doc_id", "text"), labels)).where(held_out(F.col("doc_id"))).collect()
+    long = [r for r in got if len(r.text.split()) > 1500]
+    bad, good = [r.predicted for r in long if r.toxic], [r.predicted for r in long if not r.toxic]
+    assert len(bad) > 10 and len(good) > 10 and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.1 * len(good)
+    # less room takes rows away, never a part of a text
+    some = toxicity.whole_texts(docs.select("doc_id", "text"), labels, 1, 100, 50_000)
+    assert 1 < len(some) < 10 and set(some) <= {t for _, t, _ in rows}
+
+
 def test_toxicity_sees_misspellings():
     rng = random.Random(3)
     vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(400)]
