@@ -3,8 +3,8 @@
 A page becomes a stream of words and tags.  Every word scores the log-odds, learnt from labelled
 pages, that a word in its context (innermost marked container) is article text; every tag costs its
 learnt weight.  One linear scan (Kadane's) finds the contiguous region of the greatest sum, which is
-the article with whatever interrupts it; words inside it whose context is a non-article container
-are then left out.  Null html gives empty text, as do pages in which no word scores above zero.
+the article with whatever interrupts it; words and tags of a non-article container score nothing,
+so that no length of an interruption parts the region, and its words are then left out.  Null html gives empty text, as do pages in which no word scores above zero.
 Nothing is capped; each page is handled alone, so repeated rows and ties (first region wins) are safe.
 """
 
@@ -59,7 +59,7 @@ LABELLED_PAGES = (
 
 @dataclass
 class Stream:
-    """words: (context, block number, text); events: the order in which words and tags come."""
+    """words: (context, block number, text); events: the order in which words and tags come ("aside tag" in a marked container)."""
 
     pieces: list[tuple[str, int, str]] = field(default_factory=list)
     events: list[tuple[str, object]] = field(default_factory=list)
@@ -90,13 +90,17 @@ def tokenize(page: str) -> Stream:
             out.pieces.append((context, block, page[at:upto]))
             out.events.append(("text", len(out.pieces) - 1))
 
+    def tag_kind() -> str:
+        return "tag" if context in ("body", "article") else "aside tag"
+
     for m in TOKEN.finditer(page):
         text(m.start())
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
-        out.events.append(("tag", tag))
+        if m["close"] or m["close2"] or tag in VOID:
+            out.events.append((tag_kind(), tag))
         if tag == "br":
             out.pieces.append((context, block, " "))
             out.events.append(("text", len(out.pieces) - 1))
@@ -111,13 +115,16 @@ def tokenize(page: str) -> Stream:
                     context = before
                     if t == tag:
                         break
-        elif not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+        elif (m["attrs"] or m["attrs2"] or "").endswith("/"):
+            out.events.append((tag_kind(), tag))
+        else:
             if tag == "p" and stack and stack[-1][0] == "p":
                 context = stack.pop()[1]
             stack.append((tag, context))
             found = marked(tag, m["attrs"] or m["attrs2"] or "")
             if found and (context in ("body", "article")):
                 context = found
+            out.events.append((tag_kind(), tag))
     text(len(page))
     return out
 
@@ -138,7 +145,7 @@ def learn_weights(pages: Iterable[Iterable[tuple[str, int]]] = LABELLED_PAGES, s
             for context, _, words in s.pieces:
                 ctx[label][context] += len(words.split())
             for kind, what in s.events:
-                if kind == "tag":
+                if kind != "text":
                     near[label][what] += 1
     def odds(c, k):
         return math.log((c[1][k] + smooth) / (c[0][k] + smooth))
@@ -156,7 +163,7 @@ def best_region(s: Stream, w: Weights) -> tuple[int, int]:
     for i, (kind, what) in enumerate(s.events):
         if kind == "tag":
             run -= w.tags.get(what, w.other_tag) * 0.1
-        else:
+        elif kind == "text" and s.pieces[what][0] in ("body", "article"):
             context, _, words = s.pieces[what]
             run += w.words.get(context, -1.0) * len(words.split())
         if run <= 0.0:

@@ -68,6 +68,16 @@ def test_main_text():
     assert html_text.main_text(long, w).count("word") == 20_000
 
 
+def test_main_text_keeps_what_is_before_and_after_an_interruption():
+    w = html_text.learn_weights()
+    body = "<p>" + "plain text " * 30 + "</p>"
+    for box in ('<div class="ad">' + "buy " * 11 + "</div>", '<div class="newsletter">' + "<p><a>more</a></p>" * 500 + "</div>", '<div class="ad">buy</div>' * 500, "<aside>" + "other words " * 5_000 + "</aside>"):
+        head = "<h1>One two three four five six seven eight</h1>"
+        lines = html_text.main_text(f"<body>{head}{box}{body}{box}<p>The end.</p></body>", w).split("\n")
+        assert lines == ["One two three four five six seven eight", ("plain text " * 30).strip(), "The end."]
+        assert html_text.main_text(box, w) == ""
+
+
 def test_op2(spark, sf):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract_text(df).orderBy("page_id").collect()
