@@ -24,20 +24,33 @@ from pyspark.sql import functions as F
 from claimledger.llm.common import read_table
 
 #: Fixed values of HTML: containers that hold no article text, void elements, and block elements.
-DROPPED = frozenset("head script style noscript template svg math iframe object canvas select textarea button title".split())
+DROPPED = frozenset("head script style noscript template svg iframe canvas select textarea button title".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Tags whose names say nothing of their text: headings, paragraphs, inline tags, and the article's own containers.
+UNNAMED = frozenset(
+    "html body article main h1 h2 h3 h4 h5 h6 hgroup p a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark math object q s samp small span "
+    "strike strong sub sup time tt u var".split()
+)
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd td".split())
 #: Words in class, id or role that mark a container as something other than the article.
 BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alerts?|gdpr|popup|modal|overlay|nav\w*|menus?|breadcrumbs?|"
-    r"pagination|pager|toolbar|header|masthead|footer|sidebar|side|aside|widgets?|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|"
-    r"login|search\w*|forms?|comments?|replies|reply|respond|disqus|discussion|navigation|complementary|contentinfo|copyright|legal|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert|adverts|advertisements?|advertising|sponsor|sponsors|sponsored|promos?|cookies?|consent|gdpr|popup|modal|masthead|sidebar|"
+    r"breadcrumbs?|pagination|pager|toolbar|navbar|newsletter|subscribe|signup|comments?|replies|reply|respond|disqus|complementary|contentinfo)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+#: Words that are also topics or parts of an article: nothing inside article or main, elsewhere a mark that prose outweighs.
+WEAK_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:banner|notices?|alerts?|overlay|nav|navigation|menus?|header|footer|side|aside|widgets?|related|recommend\w*|share|sharing|social|"
+    r"login|search\w*|forms?|discussion|copyright|legal|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: A weak name weighs as much as so many words of prose.
+NAME_WORDS = 25
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -73,26 +86,43 @@ def marked(tag: str, attrs: str) -> str:
         return tag
     if tag in ("article", "main"):
         return "article"
-    if attrs and "=" in attrs and tag not in ("body", "html", "article", "main"):
-        for m in NAMED.finditer(attrs):
-            if BOILER_NAMES.search(m[1] or m[2] or m[3] or ""):
-                return "named"
+    if attrs and "=" in attrs and tag not in UNNAMED:
+        names = [m[1] or m[2] or m[3] or "" for m in NAMED.finditer(attrs)]
+        if any(map(BOILER_NAMES.search, names)):
+            return "named"
+        if any(map(WEAK_NAMES.search, names)):
+            return "weak"
     return ""
 
 
 def tokenize(page: str) -> Stream:
     """One pass over the page; unclosed and misnested tags are closed by their ancestors' ends."""
-    out, stack, block, at, bad = Stream(), [], 0, 0, 0
+    out, stack, block, at = Stream(), [], 0, 0
     context = "body"
+    opened: Counter = Counter()
+    weak = [0, 0, 0]  # first piece of the weakly named container, its words of prose, its other words
 
     def text(upto: int) -> None:
         if upto > at:
             out.pieces.append((context, block, page[at:upto]))
+            if context == "weak":
+                weak[1 if opened["prose"] and not opened["a"] else 2] += len(page[at:upto].split())
             out.events.append(("text", len(out.pieces) - 1))
 
     def tag_kind() -> str:
         return "tag" if context in ("body", "article") else "aside tag"
 
+    def pop() -> str:
+        """Closes the innermost tag; the words of a weakly named container count as article text if its prose outweighs the name."""
+        nonlocal context
+        t, before = stack.pop()
+        opened["prose" if t in PROSE else t] -= 1
+        if context == "weak" and before != "weak":
+            found = before if weak[1] > weak[2] + NAME_WORDS else "named"
+            out.pieces[weak[0] :] = [(found if c == "weak" else c, b, x) for c, b, x in out.pieces[weak[0] :]]
+        context = before
+        return t
+
     for m in TOKEN.finditer(page):
         text(m.start())
         at = m.end()
@@ -110,22 +140,24 @@ def tokenize(page: str) -> Stream:
             continue
         if m["close"] or m["close2"]:
             if any(t == tag for t, _ in stack):
-                while stack:
-                    t, before = stack.pop()
-                    context = before
-                    if t == tag:
-                        break
+                while pop() != tag:
+                    pass
         elif (m["attrs"] or m["attrs2"] or "").endswith("/"):
             out.events.append((tag_kind(), tag))
         else:
             if tag == "p" and stack and stack[-1][0] == "p":
-                context = stack.pop()[1]
+                pop()
             stack.append((tag, context))
+            opened["prose" if tag in PROSE else tag] += 1
             found = marked(tag, m["attrs"] or m["attrs2"] or "")
-            if found and (context in ("body", "article")):
+            if context in ("body", "article", "weak") and found and not (found == "weak" and context != "body") and not (found == "article" and context == "weak"):
                 context = found
+                if found == "weak":
+                    weak[:] = len(out.pieces), 0, 0
             out.events.append((tag_kind(), tag))
     text(len(page))
+    while stack:
+        pop()
     return out
 
 

@@ -78,6 +78,24 @@ def test_main_text_keeps_what_is_before_and_after_an_interruption():
         assert html_text.main_text(box, w) == ""
 
 
+def test_names_do_not_drop_article_text():
+    w = html_text.learn_weights()
+    prose = "<p>" + "long prose " * 30 + "</p>"
+    text = ("long prose " * 30).strip()
+    inside = (
+        '<div class="article-header"><h1>Title</h1></div><section id="discussion"><p>short</p></section><h2 id="related-work">Related</h2><div id="side-effects">few</div>'
+        '<p class="legal">law <span class="alert">watch</span></p><p><math><mi>x</mi></math> <object>drawn</object></p><div class="ad">buy</div><div id="comments">' + prose + "</div>"
+    )
+    want = "Title\nshort\nRelated\nfew\nlaw watch\nx drawn"
+    assert html_text.main_text(f"<body><article>{inside}</article></body>", w) == want
+    assert html_text.main_text(f"<body><main>{inside}</main></body>", w) == want
+    # without article or main long prose outweighs a weak name, links do not; what is marked inside stays out
+    assert html_text.main_text(f'<body><p>Intro</p><div id="discussion">{prose}<nav>home</nav><div class="ad">buy</div></div><p>End</p>', w) == f"Intro\n{text}\nEnd"
+    links = "<ul>" + "<li><a href='/'>other page here</a></li>" * 40 + "</ul>"
+    assert html_text.main_text(f'<body><p>Intro</p><div class="related">{links}</div><div class="notice"><p>We moved</p></div><p>End</p>', w) == "Intro\nEnd"
+    assert html_text.main_text(f'<body><p>Intro</p><div id="discussion"><div>{prose}', w) == f"Intro\n{text}"
+
+
 def test_op2(spark, sf):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract_text(df).orderBy("page_id").collect()
