@@ -1,4 +1,4 @@
-"""Differential jobs (J1-J5, J18, A2-A7, A11, A12, U2, U4, X1-X8): join rates, conflict rates, mirror checks, volumes."""
+"""Differential jobs (J1-J5, J18, A2-A7, A11, A12, U2, U4, X1-X4, X6-X8, of X5 the rates): join rates, conflict rates, mirror checks, volumes."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Read models (P1-P12, O1-O7, J17, J20, W7-W9, A9, A10): filters, pages, details, feeds, timelines."""
+"""Read models (P1-P12, O1-O5, O7, of O6 lists up to ``MOST_ROWS``, J17, J20, W7-W9, A9, A10): filters, pages, details, feeds, timelines."""
 
 from __future__ import annotations
 

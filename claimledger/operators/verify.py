@@ -1,4 +1,4 @@
-"""Post-deadline verification (E1-E9, J10-J13, A8): every watch at once, no per-entity reads."""
+"""Post-deadline verification (E1-E6, E9, of E8 the 90-day ratio, J10-J13, A8): every watch at once, no per-entity reads."""
 
 from __future__ import annotations
 
