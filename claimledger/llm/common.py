@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder takes its place.
+    Only a local session may lack that setting (as in tests); it then gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="claimledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/claimledger-{uuid.uuid4().hex}"
@@ -36,16 +37,11 @@ def store(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Inside, Python tasks of jobs that run there get batches of at most ``rows`` rows (long texts, bounded memory)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Removes stored steps that nothing reads any more."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,17 +49,39 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, the same ones on every run: those of the smallest key hash."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+    """At most ``n`` distinct values of ``key``, the same ones on every run: those of the smallest hash.
+
+    Values above a hash threshold, set so that some 4 ``n`` pass it, go before anything is sorted or
+    sent, so no task gets more than that many.
+    """
+    known = df.where(F.col(key).isNotNull()).select(key)
+    share = 4 * n / max(1, known.agg(F.approx_count_distinct(key)).first()[0])
+    if share < 1:
+        known = known.where(F.xxhash64(key) <= int(-(2**63) + share * 2**64))
+    return known.distinct().orderBy(F.xxhash64(key), key).limit(n)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, value: int, n: int) -> DataFrame:
     """At most ``n`` training documents (doc_id, text) whose label ``target`` is ``value``.
 
     The held-out fold is never used.  The sampled ids are at most ``n`` rows, so broadcasting
-    them is bounded by a parameter; ids that occur more than once count once.
+    them is bounded by a parameter.  Of rows that repeat a doc_id the least text counts (null: none).
     """
-    ids = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.col(target) == value))
-    ids = sample_by_hash(ids.select("doc_id").distinct(), "doc_id", n)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    ids = labels.where(~held_out(F.col("doc_id")) & (F.col(target) == value))
+    return texts_of(docs, sample_by_hash(ids, "doc_id", n))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the few ``ids``, one row each."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))

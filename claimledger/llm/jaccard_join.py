@@ -5,22 +5,25 @@ shingles of ``k`` words (the whole sequence if it is shorter), each a 64-bit has
 when ``den * |A n B| >= num * |A u B|`` (3 of 4).
 
 1. Texts of one set form a class and stand as its smallest id; only classes go on.
-2. Every class shows the first ``lam`` of its set in hash order.  Classes of one size and one such
-   prefix form a group, which takes part as its smallest class.
-3. All groups meet under the hashes they show, in runs sorted by hash.  Of a short run every pair of
-   compatible sizes is a candidate.  In a long run each group pairs with the run's first one only,
-   and the run counts as *hot* for it.
-4. Two linked sets share at least ``alpha - (1 - lam) n`` of the hashes they show.  A candidate whose
-   cold hits and hot hashes cannot add up to that is dropped.  A group whose hot hashes alone could
-   makes its classes go through steps 3 and 4 again with their whole sets, among themselves.
-5. Candidates are verified on the whole texts and the links give components.
-6. Sets that are mostly hot even then (large groups of near copies) meet by components: under each hash
-   one member of each component pairs with one of the first component, is verified, and components
-   merge.  Where components still differ, sets that share one of their rarest hashes are verified, as are
-   members of a group, and of the groups of a candidate.
-
-Null, empty and wordless texts have no shingles and link with nothing.  Copies never make pairs of
-their own.  Rows that repeat a doc_id count as one document with the text of the smallest set hash.
+2. Support.  Linked sets have most of their hashes in common, so a set that shares few hashes with any
+   other has no links.  First the ``lam`` of each set that comes first in hash order is counted, then the
+   whole sets of those that pass, with exact counts.  Few texts of a corpus pass both.
+3. Prefixes.  A set's hashes are put in one order of all sets, rarest first.  Linked sets share one of
+   their first ``n - ceil(num n / den) + 1``.  Sets of one size and one prefix form a group, which takes part
+   as its smallest member.  A pair that meets at a hash is a candidate if sizes and places there
+   leave room for the overlap a link needs (at the first common hash they must).
+4. Groups meet in stars: under each hash every group with the best supported one, in each group every
+   member with the smallest.  Candidates are verified on their whole sets, the links give components.
+5. What is left open are pairs in different components.  Once more a member of each component meets the
+   largest component of the run, then all pairs of different components that pass the filters, members
+   of groups one by one, are verified.  So no link between components is lost, and pairs inside a component
+   (nearly all pairs of a large group of near copies) are never made.
+
+Null, empty and wordless texts have no shingles and link with nothing; rows without a doc_id are no
+documents.  Copies never make pairs of their own.  Rows that repeat a doc_id count as one document with
+the text of the least (size, set hashes, text hash).  Other columns are not read, whatever their names;
+an empty table gives an empty result.  Every step is written to the shared folder, so a lost executor
+costs one step.
 """
 
 from __future__ import annotations
@@ -28,16 +31,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import arrow_rows, read_table, store, work_dir
-
-SETS = "doc_id long, n long, s1 long, s2 long, g long, shown array<long>"
-PAIRS = "a long, b long, cold int, hot int"
+from claimledger.llm.common import discard, fresh_names, read_table, store, work_dir
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -101,125 +102,209 @@ def _digest(x: np.ndarray, salt: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes(), seed=salt)).astype(np.int64))
 
 
-def describe(docs: DataFrame, lam: float, k: int) -> DataFrame:
-    """Per row: set size, two set hashes, the group hash of (size, shown part), and the shown part."""
+def _blocks(batch: pa.RecordBatch, rows: int = 2000, size: int = 4_000_000) -> Iterator[tuple[list, ...]]:
+    """The batch's columns as lists, a few texts at a time; a text is the last column.
+
+    At most ``rows`` rows, and no more once their texts hold ``size`` bytes.
+    """
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, rows)
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(part.column(part.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+        n = min(part.num_rows, int(np.searchsorted(lengths, size)) + 1)
+        yield tuple(c.to_pylist() for c in part.slice(0, n).columns)
+        at += n
+
+
+def _longs(*columns) -> list[pa.Array]:
+    return [pa.array(np.asarray(c, dtype=np.int64)) for c in columns]
+
+
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """Per row with an id: set size ``n``, two hashes of the set, and ``t``, a hash of the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)
         for batch in batches:
-            ids, n, s1, s2, g, shown = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = shingles(text)
-                part = shown_part(x, lam)
-                ids.append(doc)
-                n.append(len(x))
-                s1.append(_digest(x, 1))
-                s2.append(_digest(x, 2))
-                g.append(_digest(part, len(x)))
-                shown.append(part.view(np.int64))
-            sizes = np.append(0, np.cumsum([len(x) for x in shown])).astype(np.int32)
-            flat = pa.array(np.concatenate(shown) if shown else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(sizes), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(g, pa.int64()), lists], names=["doc_id", "n", "s1", "s2", "g", "shown"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(rows, SETS)
-
-
-def run_pairs(entries: DataFrame, partitions: int, short: int, num: int, den: int) -> DataFrame:
-    """Candidates from (h, n, id): pairs (a, b) with the short runs they share, and (id, null) with its hot hashes.
-
-    ``entries`` are dealt by hash and sorted, so a run is read in order; a run of any length needs only
-    its first ``short`` + 1 rows in memory.
+            for ids, t, texts in _blocks(batch):
+                found = []
+                for text in texts:
+                    x = shingles(text)
+                    found.append((len(x), _digest(x, 1), _digest(x, 2)))
+                yield pa.RecordBatch.from_arrays(_longs(ids, *zip(*found, strict=True), t), names=["doc_id", "n", "s1", "s2", "t"])
+
+    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return given.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, t long")
+
+
+def shown_entries(docs: DataFrame, lam: float, k: int) -> DataFrame:
+    """Entries (h, s, block, w) of the first part of each set in hash order; ``s`` names the set.
+
+    Each block of texts combines its own: a set counts once, of the sets under one hash only two are sent
+    on, and what the others would add (they share the hash with those two) comes as one row of weight ``w``.
+    So a hash or a set of very many texts gives two rows a block at most.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = (np.zeros(0, np.int64),) * 3  # the last run, still open
-        pivot: tuple[int, int, int] | None = None  # (hash, size, id) of a long run that goes on
+        shingles, number = Shingler(k), TaskContext.get().partitionId() << 12
+        for batch in batches:
+            for (texts,) in _blocks(batch):
+                sets = {}
+                for text in texts:
+                    x = shingles(text)
+                    if len(x):
+                        sets.setdefault(_digest(x, 1), shown_part(x, lam))
+                if not sets:
+                    continue
+                names, sizes = np.fromiter(sets, np.int64), np.array([len(x) for x in sets.values()])
+                h, owner = np.concatenate(list(sets.values())).view(np.int64), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(h, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+                place = np.empty(len(h), np.int64)
+                place[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+                sent = place < 2
+                rest = np.bincount(owner[~sent], minlength=len(sets))
+                more = np.flatnonzero(rest)
+                number += 1
+                columns = _longs(np.append(h[sent], names[more]), np.append(names[owner[sent]], names[more]))
+                w = np.append(np.zeros(sent.sum(), np.int32), rest[more].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(w), number % 2**31, np.int32)), pa.array(w)], names=["h", "s", "block", "w"])
+
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(rows, "h long, s long, block int, w int")
+
+
+def shared_counts(entries: DataFrame) -> DataFrame:
+    """(s, c): how many of the hashes that a set shows another set shows too; never less than that."""
+    run = Window.partitionBy("h")
+    seen = entries.withColumn("lo", F.min("s").over(run)).withColumn("hi", F.max("s").over(run)).where("w > 0 OR lo <> hi")
+    return seen.groupBy("s", "block").agg(F.sum(F.greatest("w", F.lit(1))).alias("c")).groupBy("s").agg(F.max("c").alias("c"))
+
+
+def least_shown(n: Column, lam: float, num: int, den: int) -> Column:
+    """How many hashes two linked sets, one of size ``n``, have in common at least among those they show.
+
+    Of the common hashes those are missing that lie behind the shown part of one of the two.
+    """
+    share, n = num / (num + den), n.cast("double")
+    smaller, larger = F.ceil(n * num / den), F.floor(n * den / num)
+    below = F.ceil(share * (n + smaller) - 1e-6) - (n - F.ceil(lam * n))
+    above = F.ceil(F.least(share * (n + larger) - (1 - lam) * larger, 2 * share * n - (1 - lam) * n) - 1e-6)
+    return F.greatest(F.least(below, above), F.lit(1))
 
-        def out(a, b, cold, hot, single) -> pa.RecordBatch:
-            arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=single), pa.array(cold, pa.int32()), pa.array(hot, pa.int32())]
-            return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "cold", "hot"])
 
-        def emit(h, n, i) -> Iterator[pa.RecordBatch]:
-            """All runs of h are complete here, but for a run that ``pivot`` continues."""
-            nonlocal pivot
-            if not len(h):
-                return
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            sizes = np.diff(np.append(starts, len(h)))
-            run = np.repeat(np.arange(len(starts)), sizes)
-            first_n, first_i = n[starts].copy(), i[starts].copy()
-            long_run = sizes > short
-            if pivot is not None and pivot[0] == h[0]:
-                first_n[0], first_i[0], long_run[0] = pivot[1], pivot[2], True
-            a, b = [], []
-            for d in range(1, short):
-                ok = np.flatnonzero((run[d:] == run[:-d]) & ~long_run[run[d:]])
-                fit = den * n[ok] >= num * n[ok + d]  # sorted by size inside a run
-                a.append(i[ok][fit])
-                b.append(i[ok + d][fit])
-            n_cold = sum(map(len, a))
-            hot = np.flatnonzero(long_run[run])
-            if len(hot):
-                fit = (first_i[run[hot]] != i[hot]) & (den * np.minimum(first_n[run[hot]], n[hot]) >= num * np.maximum(first_n[run[hot]], n[hot]))
-                a.append(first_i[run[hot]][fit])
-                b.append(i[hot][fit])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a) or len(hot):
-                cold = (np.arange(len(a)) < n_cold).astype(np.int32)
-                ids, times = np.unique(i[hot], return_counts=True)
-                none = np.zeros(len(ids), np.int64)
-                yield out(np.append(np.minimum(a, b), ids), np.append(np.maximum(a, b), none), np.append(cold, none), np.append(np.zeros(len(a)), times).astype(np.int32), np.arange(len(a) + len(ids)) >= len(a))
-            pivot = (int(h[-1]), int(first_n[-1]), int(first_i[-1])) if long_run[-1] else None
+def id_bitmap(ids: DataFrame, key: str, bits: int) -> DataFrame:
+    """(word, mask): a bitmap of ``bits`` places in which each id's hash is set; ``bits / 64`` rows at most, whatever the ids."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    return ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("mask"))
+
+
+def whole_sets(docs: DataFrame, chosen: DataFrame, k: int, bits: int) -> DataFrame:
+    """(id, n, hs): the whole sets of the ``chosen`` (id, n, t) texts.
 
+    The bitmap of the chosen ids, of a fixed size, is broadcast and lets few other texts through to the join.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(k)
         for batch in batches:
-            h, n, i = (np.concatenate([old, c.to_numpy()]) for old, c in zip(left, batch.columns, strict=True))
-            cut = int(np.searchsorted(h, h[-1], side="left")) if len(h) else 0
-            if len(h) - cut > short:  # the open run is long already
-                yield from emit(h, n, i)
-                left = (h[:0], n[:0], i[:0])
-            elif pivot is not None and len(h) and pivot[0] == h[-1]:
-                yield from emit(h, n, i)
-                left = (h[:0], n[:0], i[:0])
-            else:
-                yield from emit(h[:cut], n[:cut], i[:cut])
-                left = (h[cut:], n[cut:], i[cut:])
-        yield from emit(*left)
-
-    dealt = entries.select("h", "n", "id").repartition(partitions, "h").sortWithinPartitions("h", "n", "id")
-    return dealt.mapInArrow(rows, PAIRS)
-
-
-def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link."""
-
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        shingles, recent = Shingler(k), {}
-
-        def of(i: int, text: str) -> np.ndarray:
-            """Rows come sorted by one id and share the other's pivots: the last sets are kept, up to 2M hashes."""
-            x = recent.pop(i, None)
-            recent[i] = x = shingles(text) if x is None else x
-            while sum(map(len, recent.values())) > 2_000_000 and len(recent) > 2 or len(recent) > 128:
-                recent.pop(next(iter(recent)))
-            return x
-
-        for ia, ib, left, right in batches:
-            out = []
-            for i, j, x, y in zip(ia, ib, left, right, strict=True):
-                a, b = of(i, x), of(j, y)
-                small, large = (a, b) if len(a) < len(b) else (b, a)
-                at = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
-                both = int((large[at] == small).sum()) if len(small) else 0
-                out.append(bool(both) and den * both >= num * (len(a) + len(b) - both))
-            yield pd.Series(out, dtype=bool)
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    t = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    t = t.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return t.where(linked("a", "b", "ta", "tb")).select("a", "b")
+            for ids, n, texts in _blocks(batch, 500):
+                sets = [shingles(text) for text in texts]
+                ends = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*_longs(ids, n), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "n", "hs"])
+
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text").withColumn("p", place).withColumn("word", F.floor(F.col("p") / 64))
+    likely = texts.join(F.broadcast(id_bitmap(chosen, "id", bits)), "word").where("shiftright(mask, cast(p % 64 as int)) & 1 = 1").select("id", "t", "text")
+    return likely.join(chosen, ["id", "t"]).select("id", "n", "text").mapInArrow(rows, "id long, n long, hs array<long>")
+
+
+def supported_sets(wholes: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, c, hs): sets with enough hashes that another set has too, those ``c`` hashes rarest first.
+
+    A set of which more than a quarter is its own alone can link with nothing.
+    """
+    counts = wholes.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    met = wholes.select("id", "n", F.explode("hs").alias("h")).join(counts, "h")
+    kept = met.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o"))
+    kept = kept.select("id", "n", F.array_distinct(F.col("o.h")).alias("hs"))  # a text that comes in several rows is counted as often
+    return kept.select("id", "n", F.size("hs").cast("long").alias("c"), "hs").where(F.lit(den) * F.col("c") >= F.lit(num) * F.col("n"))
+
+
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, gid, prefix, skip): the rarest hashes of which two linked sets share one at least.
+
+    ``skip`` hashes that no other set has come before them.  Sets of one size and one prefix form a group, named by the least id.
+    """
+    length = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - (F.col("n") - F.col("c"))
+    p = sets.select("id", "n", (F.col("n") - F.col("c")).alias("skip"), F.slice("hs", F.lit(1), length.cast("int")).alias("prefix"))
+    keyed = p.withColumn("g1", F.xxhash64("n", "prefix")).withColumn("g2", F.xxhash64(F.lit(20), "prefix", "n"))
+    groups = keyed.groupBy("g1", "g2").agg(F.min("id").alias("gid"))
+    return keyed.join(groups, ["g1", "g2"]).select("id", "n", "gid", "prefix", "skip")
+
+
+def may_link(na: str, ia: str, nb: str, ib: str, num: int, den: int) -> Column:
+    """Size and positional filter of two sets that meet at a hash in places ``ia`` and ``ib``.
+
+    At their first common hash all that they can share lies from there on.
+    """
+    rest = F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib))
+    sizes = F.lit(den) * F.least(na, nb) >= F.lit(num) * F.greatest(na, nb)
+    return sizes & (F.lit(num + den) * rest >= F.lit(num) * (F.col(na) + F.col(nb)))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def group_stars(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b): under each hash every group with the one that stands there best supported."""
+    groups = entries.where("id = gid")
+    best = F.min(F.struct((F.col("i") / F.col("n")).alias("r"), "id", "n", "i"))
+    pivots = groups.groupBy("h").agg(best.alias("p"), F.count("*").alias("f")).where("f > 1").select("h", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
+    return groups.join(pivots, "h").where((F.col("id") != F.col("pid")) & may_link("n", "i", "pn", "pi", num, den)).select(*_pair("id", "pid")).distinct()
+
+
+def _with_components(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    return df.join(found.select(F.col("id").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
+
+
+def mixed_runs(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries under hashes that more than one component has, with the run's largest component as ``main``."""
+    e = _with_components(entries, found, "id")
+    parts = e.groupBy("h", "component").agg(F.count("*").alias("m"))
+    runs = parts.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
+    return e.join(runs, "h")
+
+
+def component_stars(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b): under each hash a member of every component with one of the largest."""
+    best = F.min(F.struct((F.col("i") / F.col("n")).alias("r"), "id", "n", "i")).alias("p")
+    reps = mixed.groupBy("h", "component").agg(F.first("main").alias("main"), best).select("h", "component", "main", "p.id", "p.n", "p.i")
+    first = reps.where("component = main").select("h", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("i").alias("pi"))
+    return reps.where("component <> main").join(first, "h").where(may_link("n", "i", "pn", "pi", num, den)).select(*_pair("id", "pid")).distinct()
+
+
+def open_pairs(mixed: DataFrame, num: int, den: int, steps: int = 6) -> DataFrame:
+    """All pairs (a, b) of different components that pass the filters at a common hash.
+
+    Members of a run's largest component don't meet each other.  A run is dealt by ``steps`` size
+    classes to a doubling, and an entry goes to those classes only that its place leaves open to a partner.
+    """
+    band = lambda n: F.floor(F.log2(n) * steps)
+    least = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
+    most = F.least(F.floor(F.lit(den) * F.col("n") / F.lit(num)), F.floor(F.lit(num + den) * (F.col("n") - F.col("i")) / F.lit(num)) - F.col("n"))
+    odd = mixed.where("component <> main").withColumn("lo", least).withColumn("hi", most).where("lo <= hi")
+    odd = odd.select("h", F.col("id").alias("oid"), F.col("n").alias("no"), F.col("i").alias("io"), F.col("component").alias("co"), F.explode(F.sequence(band("lo"), band("hi"))).alias("band"))
+    all_ = mixed.select("h", "id", "n", "i", "component", band("n").alias("band"))
+    return odd.join(all_, ["h", "band"]).where((F.col("co") != F.col("component")) & may_link("no", "io", "n", "i", num, den)).select(*_pair("oid", "id")).distinct()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("hs").alias(f"h{k}"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(den) * both >= F.lit(num) * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60) -> DataFrame:
@@ -251,167 +336,58 @@ def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60)
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(roots)
 
 
-def jaccard_components(docs: DataFrame, lam: float = 0.36, k: int = 5, short: int = 8, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, one row per document.
+def jaccard_components(docs: DataFrame, lam: float = 0.36, k: int = 5, num: int = 75, den: int = 100, bits: int = 1 << 24) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, and t (hash of the text that counts), one row per document.
 
-    ``lam`` must be above ``1 - num / den``: it is the part of each set that all groups show at first.
+    ``lam`` must be above ``1 - num / den``: it is the part of each set that is looked at first.
+    ``bits`` sets the size of the one table that is broadcast; beyond it more texts are shuffled, no more.
     """
     spark = docs.sparkSession
-    folder, parts = work_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with arrow_rows(spark, 1000):  # some texts are long, and pairs carry two
-        return _components_of(docs, lam, k, short, num, den, folder, parts)
-
-
-def _components_of(docs, lam, k, short, num, den, folder, parts) -> DataFrame:
-    sets = store(describe(docs, lam, k), folder, "sets")
-    whole = sets.select("doc_id", "n", "s1", "s2", "g").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "g")).alias("s")).select("doc_id", "s.*")
-    classes = whole.where("n > 0").groupBy("n", "s1", "s2", "g").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
-    classes = store(classes, folder, "classes")
-    groups = classes.groupBy("n", "g").agg(F.min("class_id").alias("id"), F.count("*").alias("n_classes"))
-    groups = store(groups, folder, "groups")
-
-    # first turn: the shown parts of all groups
-    shown = sets.select(F.col("doc_id").alias("id"), "shown").join(groups.select("id", "n"), "id").dropDuplicates(["id"])
-    first = store(run_pairs(shown.select(F.explode("shown").alias("h"), "n", "id"), parts, short, num, den), folder, "turn-1")
-    stats = with_hot(groups.select("id", "n"), first)
-    share = num / (num + den)  # of the sum of the sizes, the overlap that linked sets have at least
-    spare = lam - 1 + min(2 * share, share * (1 + den / num) / (den / num), share * (1 + num / den))
-    crowded = stats.where((F.col("hot") > 0) & (F.col("hot") >= F.floor(F.lit(spare) * F.col("n"))))
-    crowded = store(crowded.select("id").join(groups, "id").select("n", "g").join(classes, ["n", "g"]).select(F.col("class_id").alias("id"), "n"), folder, "crowded")
-
-    # second turn: whole sets of the classes whose shown part is mostly hot
-    again = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(crowded, "id").dropDuplicates(["id"])
-    second = store(run_pairs(explode_sets(again, k), parts, short, num, den), folder, "turn-2")
-    stats_2 = with_hot(crowded, second)
-    needed = 1 - num / den  # a set keeps its rarest quarter, and one more, as keys
-    dense = store(stats_2.where(F.col("n") - F.col("hot") < F.floor(F.lit(needed) * F.col("n")) + 1).select("id", "n"), folder, "dense")
-
-    by_shown = store(possible(first, stats, lam, num, den), folder, "pairs-1")
-    many = groups.where("n_classes > 1").select("n", "g", "id")
-    inside = classes.join(many, ["n", "g"]).where("class_id <> id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    candidates = store(by_shown.unionByName(possible(second, stats_2, 1.0, num, den)).unionByName(inside).distinct(), folder, "candidates")
-    links = store(verify(candidates, docs, k, num, den), folder, "links-1")
+    folder = work_dir(spark)
+    rows = store(describe(docs, k), folder, "rows")
+    whole = rows.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "t")).alias("s")).select("doc_id", "s.*")
+    classes = store(whole.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("c")).select("n", "s1", "s2", F.col("c.doc_id").alias("class_id"), F.col("c.t").alias("t")), folder, "classes")
+    shared = shared_counts(shown_entries(docs, lam, k)).withColumnRenamed("s", "s1")
+    chosen = classes.join(shared, "s1").where(F.col("c") >= least_shown(F.col("n"), lam, num, den)).select(F.col("class_id").alias("id"), "n", "t")
+    chosen = store(chosen, folder, "chosen")
+
+    sets = store(supported_sets(store(whole_sets(docs, chosen, k, bits), folder, "wholes"), num, den), folder, "sets")
+    discard(spark, folder, "wholes", "chosen")
+    shown = prefixes(sets, num, den)
+    entries = shown.select("id", "n", "gid", "skip", F.posexplode("prefix").alias("i", "h")).select("h", "id", "gid", "n", (F.col("skip") + F.col("i")).alias("i"))
+    entries = store(entries, folder, "entries")
+
+    inside = entries.where("id <> gid").select(*_pair("id", "gid")).distinct()
+    tried = store(group_stars(entries, num, den).unionByName(inside).distinct(), folder, "pairs-1")
+    links = store(verify(tried, sets, num, den), folder, "links-1")
     found = store(components(links, folder, "round-1"), folder, "components-1")
-
-    # dense sets meet by components, then by their rarest hashes
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(dense, "id").dropDuplicates(["id"])
-    entries = store(explode_sets(texts, k), folder, "dense-entries")
-    stars = store(component_stars(entries, found, 2).join(candidates, ["a", "b"], "left_anti"), folder, "stars")
-    links = links.unionByName(store(verify(stars, docs, k, num, den), folder, "links-2"))
-    found = store(components(links, folder, "round-2"), folder, "components-2")
-    rest = rare_pairs(entries, found, num, den).unionByName(open_members(by_shown, classes, groups, many, found, num, den)).distinct()
-    more = store(verify(store(rest.join(candidates, ["a", "b"], "left_anti"), folder, "rest"), docs, k, num, den), folder, "links-5")
-    if more.limit(1).count():
-        found = components(links.unionByName(more), folder, "round-5")
+    for turn, meet in ((2, component_stars), (3, open_pairs)):
+        pairs = meet(mixed_runs(entries, found), num, den).join(tried, ["a", "b"], "left_anti")
+        pairs = store(pairs, folder, f"pairs-{turn}")
+        more = store(verify(pairs, sets, num, den), folder, f"links-{turn}")
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = store(components(links, folder, f"round-{turn}"), folder, f"components-{turn}")
+    discard(spark, folder, "sets", "entries")
     out = whole.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(found.select(F.col("id").alias("class_id"), F.col("component").alias("_c")), "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_c", "class_id").alias("component_id"))
-
-
-def explode_sets(texts: DataFrame, k: int, block: int = 500_000) -> DataFrame:
-    """(h, n, id) for every shingle of (id, text, n)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(k)
-
-        def out(sets: list, n: list, ids: list) -> pa.RecordBatch:
-            sizes = [len(x) for x in sets]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(ids, sizes))], names=["h", "n", "id"])
-
-        for batch in batches:
-            sets, sizes, ids, total = [], [], [], 0
-            for i, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sets.append(shingles(text))
-                sizes.append(n)
-                ids.append(i)
-                total += len(sets[-1])
-                if total >= block:
-                    yield out(sets, sizes, ids)
-                    sets, sizes, ids, total = [], [], [], 0
-            if sets:
-                yield out(sets, sizes, ids)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_c", "class_id").alias("component_id"), "t")
 
-    return texts.select("id", "text", "n").mapInArrow(rows, "h long, n long, id long")
 
+def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component the document of the smallest id stays; the columns stay as they are.
 
-def with_hot(ids: DataFrame, turn: DataFrame) -> DataFrame:
-    """(id, n, hot): adds the number of an id's hashes in long runs."""
-    hot = turn.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("hot").alias("hot"))
-    return ids.join(hot, "id", "left").select("id", "n", F.coalesce("hot", F.lit(0)).alias("hot"))
-
-
-def possible(turn: DataFrame, stats: DataFrame, lam: float, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a turn that can link: their cold hits and at most the lesser number of hot hashes reach the least overlap."""
-    pairs = turn.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("cold").alias("cold"))
-    named = lambda k: stats.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("hot").alias(f"h{k}"))
-    alpha = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    unseen = lambda n: F.col(n) - F.ceil(F.lit(lam) * F.col(n))
-    enough = F.col("cold") + F.least("ha", "hb") >= alpha - F.greatest(unseen("na"), unseen("nb"))
-    return pairs.join(named("a"), "a").join(named("b"), "b").where(enough).select("a", "b")
-
-
-def _with_components(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    return df.join(found.select(F.col("id").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
-
-
-def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries under hashes that more than one component has."""
-    e = _with_components(entries, found, "id")
-    mixed = e.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    return e.join(mixed, "h", "left_semi")
-
-
-def component_stars(entries: DataFrame, found: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b): under each hash a member of every component with one of a first component.
-
-    Members and first components are picked by hash of the id, so they hardly vary from hash to hash
-    and the pairs stay about as many as the components.
-    """
-    pick = F.struct(F.xxhash64("id", F.lit(seed)).alias("r"), "id")
-    reps = _mixed(entries, found).groupBy("h", "component").agg(F.min(pick).alias("m"))
-    first = reps.groupBy("h").agg(F.min(F.struct(F.xxhash64("component", F.lit(seed)), "m.id")).alias("f")).select("h", F.col("f.id").alias("p"))
-    pairs = reps.select("h", F.col("m.id").alias("q")).join(first, "h").where("p <> q")
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
-def rare_pairs(entries: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of dense sets of different components that share enough of both sets' rarest hashes.
-
-    A set shows its rarest quarter and one more, in the order of (number of sets, hash), so common
-    hashes are hardly shown.  Linked sets share at least the overlap less what one of them does not show.
+    Rows that repeat a doc_id are one document: one row with the text that was compared stays.  Rows
+    without an id can't be named by a link and all stay.
     """
-    counts = entries.groupBy("h").agg(F.count("*").alias("f"))
-    order = F.sort_array(F.collect_list(F.struct("f", "h")))
-    shown = entries.join(counts, "h").groupBy("id", "n").agg(order.alias("o"))
-    keys = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1).cast("int"))
-    e = _mixed(shown.select("id", "n", F.explode(keys).alias("k")).select(F.col("k.h").alias("h"), "n", "id"), found)
-    x, y = (e.select("h", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
-    met = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
-    alpha = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    unseen = lambda n: F.ceil(F.lit(num) * F.col(n) / F.lit(den)) - 1
-    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return shared.where(F.col("c") >= alpha - F.greatest(unseen("na"), unseen("nb"))).select("a", "b")
-
-
-def open_members(by_shown, classes, groups, many, found, num, den) -> DataFrame:
-    """Class pairs of different components: of one group, or of two groups that are a candidate pair."""
-    member = classes.join(many, ["n", "g"]).select("id", "class_id", "n")
-    members = _with_components(member.unionByName(groups.where("n_classes = 1").select("id", F.col("id").alias("class_id"), "n")), found, "class_id")
-    grown = many.select("id")
-    across = by_shown.join(grown.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(by_shown.join(grown.withColumnRenamed("id", "b"), "b", "left_semi"))
-    within = grown.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    x, y = (members.select(F.col("id").alias(k), F.col("class_id").alias(f"i{k}"), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
-    met = across.unionByName(within).distinct().join(x, "a").join(y, "b")
-    met = met.where((F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
-    return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
-
-
-def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document of the smallest id stays; the columns stay as they are."""
-    ids = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    kept = docs.join(ids, docs["doc_id"] == ids["_keep"], "left_semi")
-    return kept.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*docs.columns)
+    ids = jaccard_components(docs).where("doc_id = component_id").select("doc_id", "t")
+    keep, text_hash, rank = fresh_names(docs, "keep", "text_hash", "rank")
+    ids = ids.toDF(keep, text_hash)
+    kept = docs.join(ids, (docs["doc_id"].cast("long") == ids[keep]) & (F.xxhash64(docs["text"]) == ids[text_hash]), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.lit(1))
+    kept = kept.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op6_jaccard_join(spark, sf_dir):

@@ -7,7 +7,8 @@ prior ``pi`` is estimated from the two samples alone: the least ratio, over scor
 unlabelled to positive rows above it (best-bin estimation).
 
 Both samples are bounded (``positives``, ``unlabelled``); scoring reads every text whole.  Null and
-empty texts have all-zero features and get a score like any other; repeated rows score alike.
+empty texts have all-zero features and get a score like any other; repeated rows and ties score alike, extra
+columns pass through, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import held_out, labelled_sample, read_table, sample_by_hash
+from claimledger.llm.common import fresh_names, held_out, labelled_sample, read_table, sample_by_hash, texts_of
 
 #: Groups of ASCII characters whose shares are features.
 GROUPS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*@^~+=_`", "|<>[]{}()/\\", "!?", ".,;:'\"-", "\n\r\t\x0b\x0c")
@@ -133,21 +134,20 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000) -> PuModel:
-    """Trusted positives are training rows of ``labels.quality`` 1; unlabelled rows are any others outside the held-out fold."""
+    """Trusted positives are training rows of ``labels.quality`` 1; unlabelled rows are any others outside the held-out fold.
+
+    Of fewer than four rows of either kind nothing can be learnt: the model then takes every text for good (0.982).
+    """
     pos = labelled_sample(docs, labels, "quality", 1, positives)
-    ids = sample_by_hash(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct(), "doc_id", unlabelled)
-    unl = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = []
-    for df, most in ((pos, positives), (unl, unlabelled)):
-        got = _features(df).limit(2 * most).collect()
-        rows.append(np.array([r["f"] for r in sorted(got)]).reshape(-1, N_FEATURES))
+    unl = texts_of(docs, sample_by_hash(docs.where(~held_out(F.col("doc_id"))), "doc_id", unlabelled))
+    rows = [np.array([r["f"] for r in sorted(_features(df).collect())]).reshape(-1, N_FEATURES) for df in (pos, unl)]
     if min(map(len, rows)) < 4:
         return PuModel(tuple(() for _ in range(N_FEATURES)), np.zeros(N_FEATURES), 4.0, 0.98)
     return fit_pu(*rows)
 
 
-def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """Adds ``score`` (1: likelier good) and ``predicted``."""
+def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.7, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the two columns of ``out``, score (1: likelier good) and decision; columns of these names are replaced."""
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -155,16 +155,15 @@ def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.7, text_
             x = np.array([text_features(t if isinstance(t, str) else None) for t in batch]).reshape(-1, N_FEATURES)
             yield pd.Series(score_features(x, model))
 
-    df = docs.drop("score", "predicted").withColumn("score", quality.asNondeterministic()(F.col(text_col)))
-    return df.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    df = docs.drop(*out).withColumn(out[0], quality.asNondeterministic()(F.col(text_col)))
+    return df.withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))
 
 
 def drop_low_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model rejects go; the columns stay as they are."""
     model = train_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    scored = score_quality(docs.withColumnRenamed("score", "_score").withColumnRenamed("predicted", "_predicted"), model)
-    kept = scored.where("predicted = 1").drop("score", "predicted")
-    return kept.withColumnRenamed("_score", "score").withColumnRenamed("_predicted", "predicted").select(*docs.columns)
+    score, predicted = fresh_names(docs, "score", "predicted")
+    return score_quality(docs, model, out=(score, predicted)).where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def op3_quality_pu(spark, sf_dir):

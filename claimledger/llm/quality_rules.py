@@ -3,8 +3,14 @@
 Statistics are arrays and strings handled row by row inside Spark, so no row moves for them.  The
 decision list is grown on the driver by sequential covering (grow a conjunction of thresholds by
 information gain on two thirds of a bounded labelled sample, prune it on the rest) and comes back
-as one ordered ``CASE WHEN``.  Null and empty texts have zeros everywhere and fail the base rules.
-Repeated rows are judged one by one.
+as one ordered ``CASE WHEN``.  A list has at most ``most_rules`` (8) conjunctions of at most ``most_tests``
+(3) thresholds each, a threshold is one of at most some ``most_cuts`` (40) midpoints of a feature's sampled
+values; of tests of equal gain the first in the order of feature names, cuts and directions wins.
+
+Null and empty texts have zeros everywhere and fail the base rules.  Repeated rows and ties are judged
+one by one, an empty table gives an empty result, other columns pass through whatever their names (those
+that are set here are replaced).  Without labelled rows of both kinds no rule is learnt, and the base
+rules alone decide.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import SPACE_CLASS, labelled_sample, read_table
+from claimledger.llm.common import SPACE_CLASS, fresh_names, labelled_sample, read_table
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -49,20 +55,21 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the statistics (long) over the whole text; columns of these names are replaced."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     size = lambda c: F.size(c).cast("long")
-    df = docs.drop(*STATS, "n_marks").withColumn("_w", F.filter(F.split(t, SPACE_CLASS), lambda x: x != ""))
-    df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    grams = F.when(F.size("_h") > 2, F.transform(F.sequence(F.lit(0), F.size("_h") - 3), lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    w, h, g = fresh_names(docs, "words", "word_hashes", "grams")
+    df = docs.drop(*STATS, "n_marks").withColumn(w, F.filter(F.split(t, SPACE_CLASS), lambda x: x != ""))
+    df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    grams = F.when(F.size(h) > 2, F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_g", grams)
-    repeated = F.when(F.size(F.array_distinct("_g")) < F.size("_g"), _covered(F.col("_g"))).otherwise(F.lit(0).cast("long"))
+    df = df.withColumn(g, grams)
+    repeated = F.when(F.size(F.array_distinct(g)) < F.size(g), _covered(F.col(g))).otherwise(F.lit(0).cast("long"))
     return (
-        df.withColumn("n_words", size("_w"))
-        .withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("long"))
+        df.withColumn("n_words", size(w))
+        .withColumn("word_chars", F.char_length(F.array_join(w, "")).cast("long"))
         .withColumn("n_symbols", (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         .withColumn("n_repeat_words", repeated)
         .withColumn("n_marks", (F.char_length(t) - F.char_length(F.translate(t, "!?", ""))).cast("long"))
-        .drop("_w", "_h", "_g")
+        .drop(w, h, g)
     )
 
 
@@ -157,7 +164,7 @@ def train_rules(docs: DataFrame, labels: DataFrame, per_class: int = 600) -> lis
     rows = {}
     for value in (0, 1):
         sample = with_statistics(labelled_sample(docs, labels, "quality", value, per_class))
-        picked = sample.select("doc_id", *[c.alias(n) for n, c in ratios().items()]).limit(4 * per_class).collect()
+        picked = sample.select("doc_id", *[c.alias(n) for n, c in ratios().items()]).collect()
         rows[value] = [r.asDict() for r in sorted(picked)]
     return learn_rules(rows[0], rows[1])
 

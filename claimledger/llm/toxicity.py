@@ -9,7 +9,8 @@ the segment logit is calibrated on labelled rows kept out of the fit.
 Training reads a bounded sample of rows (``toxic_rows`` and ``clean_rows`` documents, fewer where
 texts average over ``row_chars`` characters), each with its whole text, as scoring does, so the
 maximum over a long text's segments is calibrated as it is scored.  Null, empty and wordless texts get the intercept's
-score, ties and repeated rows score alike, extra columns pass through.
+score, ties and repeated rows score alike, extra columns pass through.  An empty table gives an empty
+result; labels that know one class alone, or none, are described at ``train_toxicity``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import held_out, labelled_sample, read_table
+from claimledger.llm.common import fresh_names, held_out, labelled_sample, read_table
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„«»¡¿–—"
 
@@ -196,16 +197,20 @@ def whole_texts(docs: DataFrame, labels: DataFrame, value: int, most: int, most_
     """
     sample = labelled_sample(docs, labels, "toxic", value, most).withColumn("h", F.xxhash64("doc_id"))
     room, last = most_chars, None
-    for r in sorted(sample.select("h", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).limit(2 * most).collect()):
-        if room <= 0 and r["h"] != last:
+    for r in sorted(sample.select("h", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).collect()):
+        if room <= 0:
             break
         room, last = room - r["n"], r["h"]
-    rows = sample.where(F.col("h") <= F.lit(last)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).limit(2 * most).collect()
-    return [r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    rows = sample.where(F.col("h") <= F.lit(last)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows: int = 2000, bits: int = 16, segment: int = 24, row_chars: int = 10_000) -> ToxicModel:
-    """From at most ``toxic_rows`` and ``clean_rows`` training documents by ``labels.toxic``; three in four fit, one calibrates."""
+    """From at most ``toxic_rows`` and ``clean_rows`` training documents by ``labels.toxic``; three in four fit, one calibrates.
+
+    Where the training labels know one class alone there is nothing to tell apart: every text then gets that
+    class's share of the labels, smoothed by one row of each (without any labels 0.018), as its score.
+    """
     counts = {r["toxic"]: r["n"] for r in labels.where(~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts, y = [], []
     for value, most in ((0, clean_rows), (1, toxic_rows)):
@@ -213,7 +218,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, c
         y += [value] * (len(texts) - len(y))
     y = np.asarray(y, dtype=np.float64)
     if not 0 < y.sum() < len(y):
-        return ToxicModel(np.zeros(1 << bits), -4.0, bits, segment, 1.0, 0.0)
+        prior = np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)) if len(y) else -4.0
+        return ToxicModel(np.zeros(1 << bits), 0.0, bits, segment, 1.0, float(prior))
     check = np.arange(len(y)) % 4 == 3
     weights, bias = fit([t for t, c in zip(texts, check, strict=True) if not c], y[~check], bits=bits, segment=segment)
     logits = WordLogits(raw := ToxicModel(weights, bias, bits, segment, 1.0, 0.0))
@@ -224,8 +230,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, c
     return ToxicModel(raw.weights, raw.bias, bits, segment, slope, offset + float(true))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """Adds ``score`` and ``predicted``."""
+def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the two columns of ``out``, score and decision; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size fixed by ``bits``
 
     @F.pandas_udf("double")
@@ -235,16 +241,15 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, t
             z = worst_segments([x if isinstance(x, str) else None for x in batch], logits)
             yield pd.Series(_sigmoid(shared.value.slope * z + shared.value.offset))
 
-    df = docs.drop("score", "predicted").withColumn("score", toxic.asNondeterministic()(F.col(text_col)))
-    return df.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    df = docs.drop(*out).withColumn(out[0], toxic.asNondeterministic()(F.col(text_col)))
+    return df.withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model rejects go; the columns stay as they are."""
     model = train_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs.withColumnRenamed("score", "_score").withColumnRenamed("predicted", "_predicted"), model)
-    kept = scored.where("predicted = 0").drop("score", "predicted")
-    return kept.withColumnRenamed("_score", "score").withColumnRenamed("_predicted", "predicted").select(*docs.columns)
+    score, predicted = fresh_names(docs, "score", "predicted")
+    return score_toxicity(docs, model, out=(score, predicted)).where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def op8_toxicity(spark, sf_dir):

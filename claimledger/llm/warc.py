@@ -88,12 +88,17 @@ def parse_record(raw: bytes) -> dict:
     return row | {"payload_bytes": length, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": int(fields["WARC-Refers-To-Page-ID"])}
 
 
-def train_dictionary(records: DataFrame, sample_rows: int = 400, sample_bytes: int = 32_768, dict_bytes: int = 65_536) -> bytes:
-    """From at most ``sample_rows`` records, each with at most ``sample_bytes`` of payload (a bounded sample; all
-    records are archived whole).  Too little material gives the sample itself as a raw-content dictionary."""
-    some = sample_by_hash(records.where("record_type = 'response'"), "page_id", sample_rows)
-    rows = some.withColumn("payload", F.substring("payload", 1, sample_bytes)).collect()
-    samples = [make_record(r.asDict()) for r in sorted(rows, key=lambda r: r["page_id"])]
+def train_dictionary(pages: DataFrame, sample_rows: int = 400, sample_bytes: int = 32_768, dict_bytes: int = 65_536) -> bytes:
+    """From at most ``sample_rows`` pages, each with at most ``sample_bytes`` of payload (a bounded sample; all
+    records are archived whole).  The ids are chosen first and payloads are cut on the executors, so what
+    comes to the driver is at most their product.  Too little material gives the sample itself as a
+    raw-content dictionary."""
+    ids = sample_by_hash(pages, "page_id", sample_rows)
+    payload = F.substring(F.coalesce("html", F.lit("")).cast("binary"), 1, sample_bytes)
+    some = pages.select("page_id", "url", payload.alias("payload")).join(F.broadcast(ids), "page_id", "left_semi")
+    rows = some.groupBy("page_id").agg(F.min(F.struct("payload", "url")).alias("p")).select("page_id", "p.*").collect()
+    made = {"record_type": "response", "refers_to": None}
+    samples = [make_record(r.asDict() | made | {"payload": bytes(r["payload"]), "payload_bytes": len(r["payload"]), "payload_digest": hashlib.sha1(r["payload"]).hexdigest()}) for r in sorted(rows, key=lambda r: r["page_id"])]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
     except zstandard.ZstdError:
@@ -172,10 +177,7 @@ def read_archives(manifest: DataFrame, folder: str, with_content: bool = True) -
 def archive_pages(pages: DataFrame, least_bytes: int = 1000, with_content: bool = True) -> DataFrame:
     """Archives ``pages`` (page_id, url, html) and returns what the archives hold."""
     folder = work_dir(pages.sparkSession)
-    records = plan_records(pages, least_bytes)
-    sample = pages.where("page_id IS NOT NULL").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    sample = sample.select("*", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    manifest = write_archives(records, folder, train_dictionary(sample))
+    manifest = write_archives(plan_records(pages, least_bytes), folder, train_dictionary(pages))
     return read_archives(manifest, folder, with_content)
 
 

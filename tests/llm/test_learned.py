@@ -237,7 +237,7 @@ def test_jaccard_join_matches_brute_force(spark, seed):
     texts += [" ".join(passage + rng.choices(vocab, k=4)) for _ in range(15)] + texts[60:70] + [" ".join(rng.choices(vocab, k=3000))] * 2
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, class_id string").repartition(6)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, short=4).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == brute_components(rows)
 
 
@@ -252,16 +252,46 @@ def test_jaccard_join_sql_twin(spark, sf):
     same_as_sql(jaccard_join.op6_jaccard_join(spark, sf), jaccard_join.ORACLES["op6_jaccard_join"])
 
 
-def test_runs_cross_batches(spark):
-    """Runs that are longer than an Arrow batch keep one pivot."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        rows = spark.range(40).select((F.col("id") * 0 + 5).alias("h"), F.lit(10).cast("long").alias("n"), "id").unionByName(spark.range(100, 103).select(F.col("id") * 0 + 6, F.lit(10).cast("long"), "id").toDF("h", "n", "id"))
-        got = jaccard_join.run_pairs(rows, 1, 8, 75, 100).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted((r.a, r.b) for r in got if r.b is not None) == [(0, i) for i in range(1, 40)] + [(100, 101), (100, 102), (101, 102)]
-    assert sorted(r.a for r in got if r.b is None) == list(range(40))
+def test_open_pairs_meet_across_components(spark):
+    """A near group of which some members link with no pivot but with each other, under hashes that all share."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        w = list(base)
+        for p in rng.sample(range(len(w)), rng.randint(0, 2)):
+            w[p] = f"x{i}-{p}"
+        texts.append(" ".join(w))
+    for i in range(12):  # far from the base, near to one another in pairs
+        w = list(base)
+        for p in (5, 25, 45, 65, 85):
+            w[p] = f"y{i // 2}-{p}"
+        w[100] = f"z{i}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 5
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()} == want
+    # a bitmap that lets nearly all texts through changes nothing
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, bits=64).collect()} == want
+
+
+def test_shown_blocks_send_two_rows_of_a_hash(spark):
+    docs = spark.createDataFrame([(i, "the same five words here " + ("" if i % 2 else f"and {i}")) for i in range(200)], "doc_id long, text string").coalesce(1)
+    rows = jaccard_join.shown_entries(docs, 1.0, 5).collect()
+    sent = Counter(r.h for r in rows if r.w == 0)
+    assert max(sent.values()) == 2
+    counts = {r.s: r.c for r in jaccard_join.shared_counts(jaccard_join.shown_entries(docs, 1.0, 5)).collect()}
+    assert len(counts) == 101 and set(counts.values()) <= {1, 2}
+
+
+def test_one_of_each_keeps_rows_without_id(spark):
+    rows = [(1, "a b c d e f", 7), (1, "other words stand here in this row", 8), (2, "a b c d e f", 9), (None, "a b c d e f", 1), (None, None, 2), (3, None, 3), (3, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep int")
+    got = sorted((tuple(r) for r in jaccard_join.one_of_each(spark, docs, "").collect()), key=str)
+    assert docs.columns == ["doc_id", "text", "keep"] and [g[0] for g in got].count(None) == 2
+    assert {g[0] for g in got if g[0]} == {1, 3} and len([g for g in got if g[0] == 3]) == 1
 
 
 def test_pipeline_stages(spark):
