@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from claimledger.llm.common import discard, fresh_names, read_table, store, work_dir
@@ -313,9 +313,15 @@ def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60)
     Alternating large-star and small-star steps; each round is written out, so a lost executor costs
     one round.  Rounds grow with the logarithm of the longest chain.
     """
-    sums = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()  # noqa: E731  of distinct rows
-    edges = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), folder, f"{name}-0")
-    before = sums(edges)
+
+    def kept(df: DataFrame, step: int) -> tuple[DataFrame, tuple]:
+        """The stored rows and, taken while they were written, sums that tell two sets of rows apart."""
+        seen = Observation()
+        sums = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"))
+        out = store(df.observe(seen, *sums), folder, f"{name}-{step}")
+        return out, tuple(seen.get[k] for k in ("n", "x", "s"))
+
+    edges, before = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), 0)
     for r in range(1, most_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -324,9 +330,7 @@ def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60)
         # small star: lesser neighbours and the node itself go to the least one
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = store(small, folder, f"{name}-{r}")
-        after = sums(new)
-        edges = new
+        edges, after = kept(small, r)
         if after == before:
             break
         before = after
@@ -336,6 +340,15 @@ def components(links: DataFrame, folder: str, name: str, most_rounds: int = 60)
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(roots)
 
 
+def merged(found: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """``found`` after more ``links``: components of components, so the graph is as small as what changes."""
+    a = _with_components(links.withColumnRenamed("a", "id"), found, "id").select("b", F.col("component").alias("a"))
+    ends = _with_components(a.withColumnRenamed("b", "id"), found, "id").select("a", F.col("component").alias("b"))
+    over = components(ends, folder, name)
+    lifted = found.join(over.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return store(lifted.unionByName(over.join(found, "id", "left_anti")), folder, f"{name}-all")
+
+
 def jaccard_components(docs: DataFrame, lam: float = 0.36, k: int = 5, num: int = 75, den: int = 100, bits: int = 1 << 24) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, and t (hash of the text that counts), one row per document.
 
@@ -367,8 +380,7 @@ def jaccard_components(docs: DataFrame, lam: float = 0.36, k: int = 5, num: int
         more = store(verify(pairs, sets, num, den), folder, f"links-{turn}")
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = store(components(links, folder, f"round-{turn}"), folder, f"components-{turn}")
+            found = merged(found, more, folder, f"round-{turn}")
     discard(spark, folder, "sets", "entries")
     out = whole.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(found.select(F.col("id").alias("class_id"), F.col("component").alias("_c")), "class_id", "left")

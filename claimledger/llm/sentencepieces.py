@@ -25,7 +25,7 @@ import os
 from collections.abc import Iterator
 from functools import cache
 from itertools import repeat
-from math import exp, log
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -77,48 +77,58 @@ class Vocabulary:
             self.spelled.append([self.bytes[b] for b in char.encode("utf-8", "surrogatepass")])
         return found
 
-    def spell(self, pieces: np.ndarray) -> np.ndarray:
-        """Pieces with the fallback characters as byte pieces."""
+    def spell(self, pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of all paths with the fallback characters as byte pieces, pieces per path)."""
         odd = np.flatnonzero(pieces >= self.size)
         if not len(odd):
-            return pieces
+            return pieces, sizes
         own = [self.spelled[p - self.size] for p in pieces[odd].tolist()]
         lengths = np.ones(len(pieces), np.int64)
         lengths[odd] = [len(x) for x in own]
         out = np.repeat(pieces, lengths)
-        at = np.cumsum(lengths)[odd]
-        for x, end in zip(own, at.tolist(), strict=True):
-            out[end - len(x) : end] = x
-        return out
+        ends = np.append(0, np.cumsum(lengths))
+        out[np.repeat(lengths > 1, lengths)] = [b for x in own if len(x) > 1 for b in x]
+        out[ends[odd[lengths[odd] == 1]]] = [x[0] for x in own if len(x) == 1]
+        at = np.append(0, np.cumsum(sizes))
+        return out, np.diff(ends[at])
+
+    def first_step(self, char: np.ndarray) -> np.ndarray:
+        """States of the trie after a piece's first character, -1 where none starts so."""
+        return self.starts[np.minimum(char, len(self.starts) - 1)]
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Next states of the piece trie, -1 where no piece goes on so."""
         key = (state << 21) | char
         at = self._slot(key)
-        got = self.trie_keys[at]
-        open_ = np.flatnonzero((got != key) & (got >= 0))
+        got = self.trie[at]
+        open_ = np.flatnonzero((got >> 20 != key) & (got >= 0))
         while len(open_):
-            at[open_] = (at[open_] + 1) & (len(self.trie_keys) - 1)
-            got[open_] = self.trie_keys[at[open_]]
-            open_ = open_[(got[open_] != key[open_]) & (got[open_] >= 0)]
-        return np.where(got == key, self.trie_next[at], -1)
+            at[open_] = (at[open_] + 1) & (len(self.trie) - 1)
+            got[open_] = self.trie[at[open_]]
+            open_ = open_[(got[open_] >> 20 != key[open_]) & (got[open_] >= 0)]
+        return np.where(got >= 0, got & 0xFFFFF, -1)
 
     def _slot(self, key):
         with np.errstate(over="ignore"):
             return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.trie_bits)).astype(np.int64)
 
     def _build_trie(self, pieces: dict[str, int]) -> None:
-        """States are the beginnings of pieces; transitions lie in an open-addressed table."""
+        """States are the beginnings of pieces; transitions (key and next state in one number) lie in an open-addressed table."""
         begins = sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
+        if len(begins) >= 1 << 20:
+            raise ValueError("the vocabulary has too many beginnings of pieces")
         number = {"": 0} | {p: i + 1 for i, p in enumerate(begins)}
         self.state_piece = np.array([-1] + [pieces.get(p, -1) for p in begins])
         keys = np.array([(number[p[:-1]] << 21) | ord(p[-1]) for p in begins], dtype=np.int64)
         self.trie_bits = int(4 * len(keys)).bit_length()
-        self.trie_keys, self.trie_next = np.full(1 << self.trie_bits, -1), np.full(1 << self.trie_bits, -1)
+        self.trie = np.full(1 << self.trie_bits, -1)
         for key, at, to in zip(keys.tolist(), self._slot(keys).tolist(), range(1, len(keys) + 1), strict=True):
-            while self.trie_keys[at] >= 0:
+            while self.trie[at] >= 0:
                 at = (at + 1) & ((1 << self.trie_bits) - 1)
-            self.trie_keys[at], self.trie_next[at] = key, to
+            self.trie[at] = key << 20 | to
+        ones = [p for p in begins if len(p) == 1]
+        self.starts = np.full(max(map(ord, ones), default=0) + 2, -1)  # the last place stands for all later characters
+        self.starts[[ord(p) for p in ones]] = [number[p] for p in ones]
 
 
 @cache
@@ -126,6 +136,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@cache
+def lattices_of(path: str) -> Lattices:
+    """One set of tables for all tasks that a worker runs."""
+    return Lattices(vocabulary(path))
+
+
 def chunks(text: str) -> list[str]:
     """Words with the spaces before them; joined they are the normalised text with its leading space."""
     words = text.split(" ")
@@ -143,25 +159,45 @@ def chunks(text: str) -> list[str]:
 class Lattices:
     """Lattices of all words met so far, as one table of edges; node 0 is the end of every word.
 
-    ``first[node]`` is the node's first edge; edges of a node stand by falling length.  ``upto`` is the
-    running probability, ``rest`` the log probability of the node's other edges.
+    ``first[node]`` is the node's first edge; edges of a node stand by falling length.  ``p`` is an edge's
+    probability, ``upto`` the running one, ``rest`` that of the node's other edges.
     """
 
-    def __init__(self, vocab: Vocabulary, most_edges: int = 1_500_000):
+    def __init__(self, vocab: Vocabulary, most_edges: int = 3_000_000):
         self.vocab, self.most_edges = vocab, most_edges
-        self.clear()
-
-    def clear(self) -> None:
         self.roots: dict[str, int] = {}
         self.nodes, self.edges = 1, 0
-        self.first = np.zeros(2, np.int64)
+        self.first, self.again = np.zeros(2, np.int64), np.zeros(2, bool)
         self.piece, self.target = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.upto, self.logp, self.rest = np.zeros(0), np.zeros(0), np.zeros(0, np.float32)
+        self.upto, self.p, self.rest = np.zeros(0), np.zeros(0), np.zeros(0)
 
     def tidy(self) -> None:
-        """Between batches: starts anew when the tables have grown past their bound."""
-        if self.edges > self.most_edges:
-            self.clear()
+        """Between blocks: when the tables have grown past their bound, only words met again since the last time stay.
+
+        They move to the front of the tables, whose memory is used again.
+        """
+        if self.edges <= self.most_edges:
+            return
+        kept = [(w, r) for w, r in self.roots.items() if self.again[r]]
+        old = np.array([r for _, r in kept], dtype=np.int64)
+        lengths = np.array([len(w) for w, _ in kept], dtype=np.int64)
+        per_word = self.first[old + lengths] - self.first[old] if len(old) else old
+        room = int(np.searchsorted(np.cumsum(per_word), self.most_edges // 2, side="right"))
+        kept, old, lengths, per_word = kept[:room], old[:room], lengths[:room], per_word[:room]
+        new = 1 + np.cumsum(lengths) - lengths
+        node = np.repeat(old - new, lengths) + np.arange(1, 1 + int(lengths.sum()))
+        edge_end = np.cumsum(per_word)
+        edge = np.repeat(self.first[old] - (edge_end - per_word), per_word) + np.arange(int(per_word.sum()))
+        sizes = self.first[node + 1] - self.first[node]
+        target = self.target[edge]
+        target = np.where(target == 0, 0, target - np.repeat(old - new, per_word))
+        for name, values in (("piece", self.piece[edge]), ("target", target), ("upto", self.upto[edge]), ("p", self.p[edge]), ("rest", self.rest[edge])):
+            getattr(self, name)[: len(edge)] = values
+        self.first[1] = 0
+        self.first[2 : len(node) + 2] = np.cumsum(sizes)
+        self.again[:] = False
+        self.roots = dict(zip([w for w, _ in kept], new.tolist(), strict=True))
+        self.nodes, self.edges = 1 + len(node), len(edge)
 
     def _raw_edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges per character, pieces, lengths): all pieces that start at each character, longest first."""
@@ -169,9 +205,9 @@ class Lattices:
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
-        at, state, n, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0, []
+        at, state, n, found = np.arange(len(chars)), None, 0, []
         while len(at):
-            state = v.step(state, chars[at + n])
+            state = v.step(state, chars[at + n]) if n else v.first_step(chars)
             n += 1
             piece = np.where(state >= 0, v.state_piece[state], -1)
             if n == 1:
@@ -202,32 +238,35 @@ class Lattices:
         weight = np.full(m, self.vocab.fallback)
         usual = piece < self.vocab.size
         weight[usual] = self.vocab.weights[piece[usual]]
-        beta = np.zeros(n + 1)
+        beta, p = np.zeros(n + 1), np.empty(m)
         by_level = np.argsort(left.astype(np.int16) if left.max() < 2**15 else left, kind="stable")
         for nodes in np.split(by_level, np.cumsum(np.bincount(left)[1:])[:-1]):
             if len(nodes):
                 sizes = per_node[nodes]
                 ends = np.cumsum(sizes)
                 e = np.arange(ends[-1]) + np.repeat(start[nodes] - (ends - sizes), sizes)
-                beta[nodes] = np.logaddexp.reduceat(weight[e] + beta[target[e]], ends - sizes)
-        logp = np.minimum(weight + beta[target] - beta[source], 0.0)
-        alone = per_node[source] == 1
-        logp[alone] = 0.0
-        p = np.exp(logp)
+                begins, own = ends - sizes, np.repeat(np.arange(len(nodes)), sizes)
+                mass = weight[e] + beta[target[e]]
+                top = np.maximum.reduceat(mass, begins)
+                mass = np.exp(mass - top[own])
+                total = np.add.reduceat(mass, begins)
+                p[e] = mass / total[own]
+                beta[nodes] = top + np.log(total)
+        p[per_node[source] == 1] = 1.0
         run = np.cumsum(p)
         upto = run - np.repeat(np.append(0.0, run)[start[:-1]], per_node)
         upto[start[1:] - 1] = 2.0
-        minor = np.add.reduceat(np.where(p > 0.5, 0.0, p), start[:-1])
-        with np.errstate(divide="ignore"):
-            rest = np.where(alone, -np.inf, np.log(np.where(p > 0.5, minor[source], 1.0 - p)))
-        self._append(start[1:], piece, np.where(target == n, 0, target + self.nodes), upto, logp, rest)
+        sure = p > 0.5
+        rest = 1.0 - p
+        rest[sure] = np.add.reduceat(np.where(sure, 0.0, p), start[:-1])[source[sure]]
+        self._append(start[1:], piece, np.where(target == n, 0, target + self.nodes), upto, p, rest)
         at = self.nodes + np.append(0, np.cumsum(lengths))
         self.roots.update(zip(words, at.tolist(), strict=False))
         self.nodes += n
         self.edges += m
 
     def _append(self, ends, *columns) -> None:
-        names, m = ("piece", "target", "upto", "logp", "rest"), self.edges + len(columns[0])
+        names, m = ("piece", "target", "upto", "p", "rest"), self.edges + len(columns[0])
         for name, values in zip(names, columns, strict=True):
             old = getattr(self, name)
             if len(old) < m:
@@ -237,14 +276,15 @@ class Lattices:
             old[self.edges : m] = values
         nodes = self.nodes + len(ends)
         if len(self.first) < nodes + 1:
-            grown = np.empty(2 * (nodes + 1), np.int64)
-            grown[: self.nodes + 1] = self.first[: self.nodes + 1]
-            self.first = grown
+            grown, again = np.empty(2 * (nodes + 1), np.int64), np.zeros(2 * (nodes + 1), bool)
+            grown[: self.nodes + 1], again[: self.nodes] = self.first[: self.nodes + 1], self.again[: self.nodes]
+            self.first, self.again = grown, again
         self.first[self.nodes] = self.edges
         self.first[self.nodes + 1 : nodes + 1] = self.edges + ends
 
     def roots_of(self, words: list[str]) -> np.ndarray:
         found = np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
+        self.again[found[found > 0]] = True
         late = np.flatnonzero(found < 0).tolist()
         if late:
             self.add(list(dict.fromkeys([words[i] for i in late])))
@@ -253,7 +293,7 @@ class Lattices:
 
     def tables(self) -> tuple[np.ndarray, ...]:
         m = self.edges
-        return self.first[: self.nodes + 1], self.piece[:m], self.target[:m], self.upto[:m], self.logp[:m], self.rest[:m]
+        return self.first[: self.nodes + 1], self.piece[:m], self.target[:m], self.upto[:m], self.p[:m], self.rest[:m]
 
 
 def uniform(seed: np.ndarray, place: np.ndarray | int) -> np.ndarray:
@@ -318,7 +358,8 @@ def branch_values(tables, edges: np.ndarray, prefix: np.ndarray, log_tau: np.nda
 
     In arrival times ``exp(-gumbel)``: the path's time plus an exponential of the branches' mass.
     """
-    late = np.log(-np.log(uniform(seeds, places))) - (prefix + tables[5][edges])
+    with np.errstate(divide="ignore"):
+        late = np.log(-np.log(uniform(seeds, places))) - (prefix + np.log(tables[5][edges]))
     return -np.logaddexp(log_tau, late)
 
 
@@ -339,7 +380,7 @@ def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int)
     token_word = np.repeat(np.arange(len(roots)), count)
     token_row = row[token_word] if len(roots) else token_word
     token_at = np.append(0, np.cumsum(np.bincount(token_row, minlength=len(texts))))
-    logp = tables[4][edges]
+    logp = np.log(tables[4][edges])
     run = np.cumsum(logp)
     base = np.append(0.0, run)[token_at[:-1]]
     prefix = run - logp - base[token_row]
@@ -380,21 +421,24 @@ class Search:
 
 def next_paths(tables, roots, word_at, searches: list[Search], keys: np.ndarray, n: int, k: int) -> None:
     """Pops the best entry of every agenda and completes it: the n-th path of each text that has one."""
-    first, _, target, _, logp, _ = tables
+    first, _, target, _, prob, _ = tables
     salt = 16 * n
     u_pick, u_rest, seeds, u_seed = derive(keys, salt), derive(keys, salt + 2), derive(keys, salt + 1), derive(keys, salt + 3)
     rows = [r for r, s in enumerate(searches) if s.agenda and len(s.paths) == n]
     if not rows:
         return
-    popped, picks, starts, offsets = [], [], [], []
-    for r in rows:
+    popped = [heapq.heappop(searches[r].agenda) for r in rows]
+    at = np.array([e.t for e in popped])
+    wants, lates = uniform(u_pick[rows], at).tolist(), np.log(-np.log(uniform(u_rest[rows], at))).tolist()
+    left = np.array([searches[r].paths[e.path][0][e.t] for r, e in zip(rows, popped, strict=True)])
+    nodes = np.searchsorted(first, left, side="right") - 1
+    picks, starts, offsets = [], [], []
+    for r, e, lo, hi, want, late in zip(rows, popped, first[nodes].tolist(), first[nodes + 1].tolist(), wants, lates, strict=True):
         s = searches[r]
-        e = heapq.heappop(s.agenda)
-        edges, words, prefix, _ = s.paths[e.path]
-        node = int(np.searchsorted(first, edges[e.t], side="right")) - 1
-        free = [x for x in range(int(first[node]), int(first[node + 1])) if x not in e.taken]
-        mass = [exp(logp[x]) for x in free]
-        want, pick, run = uniform(u_pick[r : r + 1], e.t)[0] * sum(mass), free[-1], 0.0
+        _, words, prefix, _ = s.paths[e.path]
+        free = [x for x in range(lo, hi) if x not in e.taken]
+        mass = prob[free].tolist()
+        want, pick, run = want * sum(mass), free[-1], 0.0
         for x, p in zip(free, mass, strict=True):
             run += p
             if want < run:
@@ -402,10 +446,8 @@ def next_paths(tables, roots, word_at, searches: list[Search], keys: np.ndarray,
                 break
         others = sum(p for x, p in zip(free, mass, strict=True) if x != pick)
         if others > 0.0:  # the branches still not taken there
-            late = log(-log(uniform(u_rest[r : r + 1], e.t)[0])) - (float(prefix[e.t]) + log(others))
-            heapq.heappush(s.agenda, Entry(float(-np.logaddexp(-e.gumbel, late)), e.path, e.t, (*e.taken, pick)))
+            heapq.heappush(s.agenda, Entry(float(-np.logaddexp(-e.gumbel, late - float(prefix[e.t]) - log(others))), e.path, e.t, (*e.taken, pick)))
         word = int(words[e.t])
-        popped.append((e, word))
         picks.append(pick)
         # the rest of the word from the branch, then all later words anew
         starts.append(np.append(np.int64(target[pick]), roots[word + 1 : s.word_end]))
@@ -419,15 +461,15 @@ def next_paths(tables, roots, word_at, searches: list[Search], keys: np.ndarray,
     token_owner = np.repeat(owner, count)
     token_word = np.repeat(np.arange(len(owner)) - begin[owner], count)
     at = np.append(0, np.cumsum(np.bincount(token_owner, minlength=len(rows))))
-    old = np.array([s.paths[e.path][2][e.t] for s, (e, _) in zip((searches[r] for r in rows), popped, strict=True)]) + logp[picks]
-    tail_logp = logp[tail]
+    old = np.array([searches[r].paths[e.path][2][e.t] for r, e in zip(rows, popped, strict=True)]) + np.log(prob[picks])
+    tail_logp = np.log(prob[tail])
     run = np.cumsum(tail_logp)
     prefix = run - tail_logp + (old - np.append(0.0, run)[at[:-1]])[token_owner]
-    t = np.array([e.t for e, _ in popped])
-    gumbel = np.array([e.gumbel for e, _ in popped])
+    t = np.array([e.t for e in popped])
+    gumbel = np.array([e.gumbel for e in popped])
     values = branch_values(tables, tail, prefix, -gumbel[token_owner], u_seed[chosen][token_owner], np.arange(len(tail)) - at[token_owner] + t[token_owner] + 1)
     for i, r in enumerate(rows):
-        s, (e, word), lo, hi = searches[r], popped[i], at[i], at[i + 1]
+        s, e, word, lo, hi = searches[r], popped[i], offsets[i] + word_at[r], at[i], at[i + 1]
         edges, words, before, _ = s.paths[e.path]
         total = float(prefix[hi - 1] + tail_logp[hi - 1]) if hi > lo else float(old[i])
         s.paths.append((np.concatenate((edges[: e.t], [picks[i]], tail[lo:hi])), np.concatenate((words[: e.t], [word], token_word[lo:hi] + word)), np.concatenate((before[: e.t + 1], prefix[lo:hi])), total))
@@ -449,12 +491,12 @@ def decode(pieces, vocab: Vocabulary) -> str:
     return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str = MODEL, key_col: str = "doc_id", text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str = MODEL, key_col: str = "doc_id", text_col: str = "text", block_chars: int = 300_000) -> DataFrame:
     """``SAMPLES`` rows, up to ``k`` per document; ``model`` is a path that every executor can read."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        lattices = Lattices(vocab)
+        lattices = lattices_of(model)
 
         def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
             plain = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(np.uint64)
@@ -464,18 +506,18 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str
             for i, text, samples in zip(ids, texts, sample_batch(lattices, texts, keys, k), strict=True):
                 raw = f" {text}".encode("utf-8", "surrogatepass") if text else b""
                 for s, (lp, inc, found) in enumerate(samples):
-                    pieces = vocab.spell(found)
-                    for c, x in zip(cols, (i, s, lp, inc, len(pieces), pieces), strict=True):
+                    for c, x in zip(cols, (i, s, lp, inc, len(found), found), strict=True):
                         c.append(x)
                     wanted.append(raw)
             lattices.tidy()
-            at = np.append(0, np.cumsum(cols[4])).astype(np.int32)
-            flat = np.concatenate(cols[5]).astype(np.int32)
+            flat, sizes = vocab.spell(np.concatenate(cols[5]), np.array(cols[4], dtype=np.int64))
+            at = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            flat = flat.astype(np.int32)
             got, ends = raw_bytes(flat, vocab)
             cuts = np.append(0, ends)[at].tolist()
             decodes = [got[lo:hi].tobytes() == raw for lo, hi, raw in zip(cuts, cuts[1:], wanted, strict=False)]
             types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
-            arrays = [pa.array(c, t) for c, t in zip(cols[:5], types, strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip((*cols[:4], sizes), types, strict=True)]
             arrays += [pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(decodes, pa.bool_())]
             return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SAMPLES.split(", ")])
 

@@ -1,22 +1,24 @@
 """URL filter: host/path rules first, then logistic regression on hashed character n-grams.
 
-The regression is trained on the driver from a small labelled URL table (``LABELLED_URLS`` or the
-caller's own) and its weight vector, of fixed size, goes to the tasks that score the URLs.
+The regression is trained on the driver, to convergence, from a small labelled URL table
+(``labelled_urls`` or the caller's own) and its weight vector, of fixed size, goes to the tasks that score the URLs.
 Null URLs and URLs without ``://`` have an empty host and path; no rule fits those and the model
-scores them by its intercept.  Repeated rows are judged one by one, extra columns pass through.
+scores them by its intercept and the empty parts.  Repeated rows are judged one by one, extra columns pass through (those
+named like the five that are set are replaced), an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import read_table
+from claimledger.llm.common import fresh_names, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): the production rules.
@@ -27,30 +29,46 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Invented training URLs: (host, path, 1 for unwanted).
-LABELLED_URLS = tuple(
-    [
-        (f"{host}.example.{tld}", path, 1)
-        for host, tld, path in (
-            ("casino-bonus", "org", "/play/slots"), ("free-pills", "net", "/buy/cheap-pills"), ("xxx-video", "org", "/adult/watch"),
-            ("hot-adult-cams", "net", "/live"), ("win-casino777", "org", "/jackpot.html"), ("best-poker-bets", "net", "/bet/odds"),
-            ("crack-keygen", "org", "/download/serial.exe"), ("torrent-free-movies", "net", "/get/torrent"), ("cheap-replica-watch", "org", "/sale/replica"),
-            ("porn-tube", "net", "/xxx/1"), ("spam-offers", "org", "/click?aff"), ("loan-fast-cash", "net", "/payday-loan"),
-            ("malware-host", "org", "/payload.exe"), ("phish-login", "net", "/verify/account-login"), ("slots4win", "org", "/casino/spin"),
-            ("viagra-shop", "net", "/pills/order"), ("betting-tips", "org", "/casino/bet"), ("click-ads-money", "net", "/earn/fast-money"),
-        )
-    ]
-    + [
-        (f"{host}example.{tld}", path, 0)
-        for host, tld, path in (
-            ("www.", "org", "/en/12"), ("news.", "net", "/world/2024/story.html"), ("blog.", "org", "/en/post/7"), ("docs.", "net", "/guide/index.html"),
-            ("library.", "org", "/catalog/books"), ("school.", "net", "/courses/math"), ("m.", "org", "/de/88.html"), ("wiki.", "net", "/page/history"),
-            ("", "org", "/fr/510/"), ("", "net", "/en/31"), ("science.", "org", "/articles/biology"), ("museum.", "net", "/exhibits"),
-            ("www.", "net", "/de/9"), ("recipes.", "org", "/soup"), ("city.", "net", "/council/minutes.html"), ("", "org", "/es/77"),
-            ("forum.", "net", "/thread/55"), ("weather.", "org", "/today"),
-        )
-    ]
-)
+#: Words of hosts and paths that are unwanted, and ones that are not; the training URLs are made of them.
+BAD_WORDS = (
+    "casino poker slots jackpot roulette betting bets gamble lottery pills pharmacy viagra cialis steroids adult xxx porn sex cams escort nude dating torrent crack keygen warez "
+    "serial replica payday loans malware phishing spyware virus spam scam ads adserver banner tracker track clicks popunder affiliate"
+).split()
+GOOD_WORDS = (
+    "news blog library school science museum docs wiki weather city forum health music travel garden history books recipes sports theatre maps physics archive council garage "
+    "bakery river mountain letters painting radio journal village market chess poetry biology cycling kitchen station"
+).split()
+#: Words that stand with either.
+NEUTRAL_WORDS = "win free cheap best top online live my the fast hot x 24 777 world home center point shop club store one".split()
+SYLLABLES = "tho ran ble ing re an ti on sh er wh or ly en st ha ou ed ca lo mi su pe".split()
+ENDINGS = "s es ing er ers nt ed ly y o a".split()
+PATHS = ("", "/", "/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/index.html", "/page/{}", "/a/{}", "/en/{}.html", "/de/{}", "/item/{}", "/story-{}.html", "/view/{}/", "/fr/{}.html", "/es/{}/", "/de/{}/", "/en/{}/", "/p/{}")
+
+
+def labelled_urls() -> list[tuple[str, str, int]]:
+    """Invented training URLs, made by rule: (host, path, 1 for unwanted).
+
+    Every unwanted host has wanted twins with the same subdomain, domain and path, so that these tell
+    nothing: unwanted words meet neutral ones in the one, plain words and syllables without meaning in
+    the other.  Other pairs are of unwanted and plain words in the paths of plain hosts.
+    """
+    subs, tlds = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org", "test", "invalid")
+    pick = lambda xs, i: xs[i % len(xs)]
+    nonsense = lambda i: "".join(pick(SYLLABLES, (i + 1) * (3 * j + 5) + i // 7 * j) for j in range(2 + i % 3))
+    rows = []
+    for i, w in enumerate(BAD_WORDS):
+        n, m, good = pick(NEUTRAL_WORDS, i), pick(NEUTRAL_WORDS, i + 5), pick(GOOD_WORDS, i)
+        shapes = ("{w}", "{w}-{n}", "{n}-{w}", "{n}{w}", "{w}{m}", "{w}-{v}", "{v}{n}{w}", "{w}{v}", "{w}-{m}", "{m}-{w}", "{w}{n}", "{n}-{w}-{m}")
+        for k, shape in enumerate(shapes):
+            j = len(rows)
+            sub, tld, path = pick(subs, j // 2 + k), pick(tlds, j // 2), pick(PATHS, j // 2 + i).format(j * 7919 % 99991)
+            for label, word, other in ((1, w, pick(BAD_WORDS, i + 7)), (0, good, nonsense(j + 1)), (0, nonsense(j), pick(GOOD_WORDS, j)), (0, nonsense(j + 2) + pick(ENDINGS, j), nonsense(j + 3))):
+                rows.append((f"{sub}{shape.format(w=word, n=n, m=m, v=other)}.{tld}", path, label))
+        for k, shape in enumerate(("/{w}/{i}", "/{n}-{w}.html")):
+            host = f"{pick(subs, i + k)}{good if k else nonsense(i)}.{pick(tlds, i)}"
+            rows += [(host, shape.format(w=x, n=n, i=i * 311 % 997), label) for label, x in ((1, w), (0, pick(GOOD_WORDS, i + 3)), (0, pick(GOOD_WORDS, i + 11)), (0, nonsense(i + k)))]
+    # hosts without a word of their own
+    return rows + [(pick(subs, i // 5) + pick(tlds, i), pick(PATHS, i // 3).format(i * 7919 % 99991), 0) for i in range(3 * len(PATHS))]
 
 
 def url_host(url: Column) -> Column:
@@ -76,29 +94,54 @@ def rule_columns(host: Column, path: Column, rules: Iterable[tuple[str, str, str
     return (none, none) if rule is None else (rule, verdict)
 
 
-def ngram_buckets(host: str, path: str, bits: int) -> np.ndarray:
-    """Hash buckets of the character 3- to 5-grams of ``<host>`` and ``<path>``, each with its own prefix."""
-    size, out = 1 << bits, []
+DIGITS = str.maketrans("123456789", "0" * 9)
+
+
+def ngram_buckets(host: str, path: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of the character 3- to 5-grams of ``<host>`` and ``<path>``, each with its own prefix, any digit read as 0.
+
+    The values of either part have length 1 together, so a long path does not thin out a host, nor the other way round.
+    """
+    size, buckets, values = 1 << bits, [], []
     for mark, text in (("h", f"<{host}>"), ("p", f"<{path}>")):
-        raw = text.encode("utf-8", "surrogatepass")
-        out += [zlib.crc32(raw[i : i + n], ord(mark)) % size for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
-    return np.asarray(out, dtype=np.int64)
-
-
-def train_url_model(table: Iterable[tuple[str, str, int]] = LABELLED_URLS, bits: int = 14, epochs: int = 300, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
-    """Full-batch logistic regression; the last weight is the intercept."""
-    rows = list(table)
-    x = np.zeros((len(rows), (1 << bits) + 1), dtype=np.float64)
-    for i, (host, path, _) in enumerate(rows):
-        found = ngram_buckets(host, path, bits)
-        np.add.at(x[i], found, 1.0 / np.sqrt(max(1, len(found))))
-        x[i, -1] = 1.0
+        raw = text.translate(DIGITS).encode("utf-8", "surrogatepass")
+        found = [zlib.crc32(raw[i : i + n], ord(mark)) % size for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
+        buckets += found
+        values += [max(1, len(found)) ** -0.5] * len(found)
+    return np.asarray(buckets, dtype=np.int64), np.asarray(values)
+
+
+def train_url_model(table: Iterable[tuple[str, str, int]] | None = None, bits: int = 16, l2: float = 1e-5, most_steps: int = 2000, tolerance: float = 1e-5) -> np.ndarray:
+    """Logistic regression by accelerated gradient steps on all rows until the gradient is below ``tolerance``; the last weight is the intercept.
+
+    A table without rows gives weights of zero.
+    """
+    rows = list(labelled_urls() if table is None else table)
+    out = np.zeros((1 << bits) + 1)
+    if not rows:
+        return out
+    grams = [ngram_buckets(host, path, bits) for host, path, _ in rows]
+    column, value = np.concatenate([b for b, _ in grams]), np.concatenate([v for _, v in grams])
+    sizes = np.array([len(b) for b, _ in grams])
+    row, begins = np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes) - sizes
     y = np.asarray([r[2] for r in rows], dtype=np.float64)
-    w = np.zeros(x.shape[1])
-    for _ in range(epochs):
-        p = 1.0 / (1.0 + np.exp(-(x @ w)))
-        w -= rate * (x.T @ (p - y) / max(1, len(y)) + l2 * np.append(w[:-1], 0.0))
-    return w
+    longest = np.bincount(row, weights=value**2).max() + 1.0  # a row's squared length is at most this, repeats of an n-gram apart
+    w = v = out
+    step = 1.0 / (0.5 * longest + l2)
+    for t in range(most_steps):
+        off = 1.0 / (1.0 + np.exp(-(np.add.reduceat(value * v[column], begins) + v[-1]))) - y
+        gradient = np.bincount(column, weights=value * off[row], minlength=len(v)) / len(y) + l2 * v
+        gradient[-1] = off.mean()
+        if np.abs(gradient).max() < tolerance:
+            break
+        ahead = v - step * gradient
+        w, v = ahead, ahead + t / (t + 3) * (ahead - w)
+    return v
+
+
+@cache
+def usual_model() -> np.ndarray:
+    return train_url_model()
 
 
 def score_urls(df: DataFrame, host_col: str, path_col: str, weights: np.ndarray, out: str = "score") -> DataFrame:
@@ -111,22 +154,23 @@ def score_urls(df: DataFrame, host_col: str, path_col: str, weights: np.ndarray,
         for hosts, paths in batches:
             out = np.empty(len(hosts))
             for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-                found = ngram_buckets(h or "", p or "", bits)
-                out[i] = w[-1] + (w[found].sum() / np.sqrt(len(found)) if len(found) else 0.0)
+                found, values = ngram_buckets(h or "", p or "", bits)
+                out[i] = w[-1] + w[found] @ values
             yield pd.Series(1.0 / (1.0 + np.exp(-out)))
 
     return df.withColumn(out, model(F.col(host_col), F.col(path_col)))
 
 
-def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, table=LABELLED_URLS, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, table=None, threshold: float = 0.5) -> DataFrame:
     """Keeps ``pages``' columns other than the five it sets: host, path, rule, score, verdict."""
-    weights = train_url_model(table)
-    df = pages.drop("host", "path", "rule", "score", "verdict") if url_col not in ("host", "path") else pages
-    df = df.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
+    weights = usual_model() if table is None else train_url_model(table)
+    url, by_rule = fresh_names(pages, "url_read", "by_rule")
+    df = pages.withColumn(url, F.col(url_col)).drop("host", "path", "rule", "score", "verdict")
+    df = df.withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url))).drop(url)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    df = score_urls(df.withColumn("rule", rule).withColumn("_by_rule", verdict), "host", "path", weights)
+    df = score_urls(df.withColumn("rule", rule).withColumn(by_rule, verdict), "host", "path", weights)
     by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return df.withColumn("verdict", F.coalesce("_by_rule", by_model)).drop("_by_rule")
+    return df.withColumn("verdict", F.coalesce(by_rule, by_model)).drop(by_rule)
 
 
 def op1_url_filter(spark, sf_dir):
