@@ -136,11 +136,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@cache
-def lattices_of(path: str) -> Lattices:
-    """One set of tables for all tasks that a worker runs."""
-    return Lattices(vocabulary(path))
-
 
 def chunks(text: str) -> list[str]:
     """Words with the spaces before them; joined they are the normalised text with its leading space."""
@@ -163,7 +158,7 @@ class Lattices:
     probability, ``upto`` the running one, ``rest`` that of the node's other edges.
     """
 
-    def __init__(self, vocab: Vocabulary, most_edges: int = 3_000_000):
+    def __init__(self, vocab: Vocabulary, most_edges: int = 2_000_000):
         self.vocab, self.most_edges = vocab, most_edges
         self.roots: dict[str, int] = {}
         self.nodes, self.edges = 1, 0
@@ -496,7 +491,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        lattices = lattices_of(model)
+        lattices = Lattices(vocab)
 
         def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
             plain = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(np.uint64)

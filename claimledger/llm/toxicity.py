@@ -90,9 +90,9 @@ class ToxicModel:
 
 
 class WordLogits(dict):
-    """token -> its share of the segment logit; starts anew when it has grown past ``most`` tokens."""
+    """token -> its share of the segment logit; starts anew when it has grown past ``most`` tokens, a bound on memory alone."""
 
-    def __init__(self, model: ToxicModel, most: int = 1_000_000):
+    def __init__(self, model: ToxicModel, most: int = 200_000):
         super().__init__()
         self.model, self.most = model, most
 
@@ -101,13 +101,14 @@ class WordLogits(dict):
         if len(self) >= self.most:
             self.clear()
         new = list({w for words in texts for w in words if w not in self})
-        if new:
-            bucket, count = subword_table(new, self.model.bits)
+        for first in range(0, len(new), 10_000):
+            some = new[first : first + 10_000]
+            bucket, count = subword_table(some, self.model.bits)
             z = np.add.reduceat(self.model.weights[bucket], np.cumsum(count) - count) / count
-            self.update(zip(new, z.tolist(), strict=True))
+            self.update(zip(some, z.tolist(), strict=True))
 
 
-def worst_segments(texts: Sequence[str | None], logits: WordLogits, block: int = 500) -> np.ndarray:
+def worst_segments(texts: Sequence[str | None], logits: WordLogits, block: int = 200) -> np.ndarray:
     """The greatest segment logit of each text."""
     out, model = np.full(len(texts), logits.model.bias), logits.model
     for first in range(0, len(texts), block):
