@@ -10,6 +10,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimledger.functions.scalars import WIDE_SPACE
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -18,9 +20,13 @@ class Rule:
     name: str
     pattern: str
     flag: str | None = None
+    #: Lower-case texts of which a match holds one; where none occurs the pattern is not tried.
+    needles: tuple[str, ...] = ()
 
 
 W, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: White space of any script, as F19 has it.
+S = WIDE_SPACE
 FLAGS = ("extension", "correction", "withdrawal", "reopening")
 #: The notice vocabulary, each alternative a whole word.
 NOTICE_RULES = (
@@ -31,17 +37,23 @@ NOTICE_RULES = (
 )
 #: Land withdrawals, which are no comment-period notices.
 DENIALS = (
-    Rule("land order", rf"(?i){W}public\s+lands?\s+orders?{E}"),
-    Rule("land withdrawal", rf"(?i){W}land[\s-]?withdrawal{E}"),
-    Rule("withdrawal of lands", rf"(?i){W}withdraw(al\s+of|s|ing)?\s+((certain|public|national|forest|system)\s+)*lands?{E}"),
-    Rule("forest withdrawal", rf"(?i){W}national\s+forest{E}[^.]*{W}withdrawal{E}|{W}withdrawal{E}[^.]*{W}national\s+forest{E}"),
-    Rule("notice of withdrawal", rf"(?i){W}notice\s+of\s+(proposed\s+)?withdrawal{E}"),
+    Rule("land order", rf"(?i){W}public{S}+lands?{S}+orders?{E}"),
+    Rule("land withdrawal", rf"(?i){W}land({S}|-)?withdrawal{E}"),
+    Rule("withdrawal of lands", rf"(?i){W}withdraw(al{S}+of|s|ing)?{S}+((certain|public|national|forest|system){S}+)*lands?{E}"),
+    Rule("forest withdrawal", rf"(?i){W}national{S}+forest{E}[^.]*{W}withdrawal{E}|{W}withdrawal{E}[^.]*{W}national{S}+forest{E}"),
+    Rule("notice of withdrawal", rf"(?i){W}notice{S}+of{S}+(proposed{S}+)?withdrawal{E}"),
 )
 
 
 def matches(text: Column, rules: Sequence[Rule]) -> Column:
     """True if any pattern occurs; false for null."""
-    return reduce(or_, [F.coalesce(text.rlike(r.pattern), F.lit(False)) for r in rules], F.lit(False))
+    low = F.lower(text)
+
+    def found(r: Rule) -> Column:
+        near = reduce(or_, [F.contains(low, F.lit(n)) for n in r.needles]) if r.needles else F.lit(True)
+        return F.coalesce(near & text.rlike(r.pattern), F.lit(False))
+
+    return reduce(or_, map(found, rules), F.lit(False))
 
 
 def notice_flags(text: Column, rules: Sequence[Rule] = NOTICE_RULES, flags: Sequence[str] = FLAGS) -> dict[str, Column]:

@@ -101,14 +101,21 @@ def lower_bound(cursor: Column, hours: int = 6) -> Column:
     return cursor - F.make_interval(hours=F.lit(hours))
 
 
+def eastern_text(ts: Column) -> Column:
+    """an instant as New York wall-clock text."""
+    return F.date_format(F.from_utc_timestamp(ts, NEW_YORK), "yyyy-MM-dd HH:mm:ss")
+
+
 def reliance_url(publication_date: Column, document: Column) -> Column:
-    """null unless both parts are there."""
-    return F.concat(F.lit("https://www.govinfo.gov/link/fr/"), document, F.lit("?date="), publication_date)
+    """null unless both parts are there and not empty.  The form of the address is a fixed value."""
+    url = F.format_string("https://www.govinfo.gov/content/pkg/FR-%s/html/%s.htm", publication_date, document)
+    return F.when((publication_date != "") & (document != ""), url)
 
 
-def close_display(day: Column) -> Column:
-    """F13."""
-    return F.concat(day.cast("string"), F.lit(" 11:59 PM ET"))
+def close_display(day: Column, inferred: bool = True) -> Column:
+    """F13, fixed values: ``inferred`` from a date alone, or as the status source has it."""
+    tail = " at 11:59 p.m. ET (inferred from FR date-only value)" if inferred else " (per Regulations.gov)"
+    return F.concat(F.lit("closes "), day.cast("string"), F.lit(tail))
 
 
 def same_close(a: Column, b: Column) -> Column:
@@ -204,6 +211,21 @@ def names_joined(json_array: Column) -> Column:
     return F.array_join(F.transform(F.from_json(json_array, "array<struct<name: string>>"), lambda x: x["name"]), " / ")
 
 
+def first_name(json_array: Column) -> Column:
+    """the first object's name; null without one."""
+    return F.get(F.transform(F.from_json(json_array, "array<struct<name: string>>"), lambda x: x["name"]), F.lit(0))
+
+
+def moved_count(history: Column) -> Column:
+    """how often a close moved; 0 for null."""
+    return F.greatest(F.coalesce(F.size(history), F.lit(0)), F.lit(0))
+
+
+def head(text: Column, most: int = 300) -> Column:
+    """the first characters of a text."""
+    return F.substring(text, 1, most)
+
+
 def days_left(close: Column, now: Column) -> Column:
     """whole days to the close, rounded up, 0 at least."""
     return F.greatest(F.lit(0), F.ceil((F.unix_timestamp(close) - F.unix_timestamp(now)) / 86400))

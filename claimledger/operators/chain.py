@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
 from claimledger.functions.rules import is_denied
+from claimledger.operators.projection import merge_conflicts
+from claimledger.operators.reconcile import extract_primary, latest_claims
+from claimledger.operators.steps import stored
+
+#: The verdicts an adjudicator can give.
+CLASSES = ("affirm", "reject", "uncertain")
 
 
 def shares_any(a: Column, b: Column) -> Column:
@@ -21,24 +28,46 @@ def shares_any(a: Column, b: Column) -> Column:
 def chain_pairs(candidates: DataFrame, recency_days: int = 60) -> DataFrame:
     """(a, b) structs of original and later amendment on a shared docket, and ``confident``.
 
-    Amendments are few, so they are filtered before dockets are exploded; the join is on the docket
-    with the range as residual, so a docket of any size is split by the skew handling of the join.
-    Only keys and the columns of the predicates travel; pairs that meet on several dockets count once.
+    ``candidates`` has one row per entity.  Amendments are few, so they are filtered before dockets are
+    exploded; the join is on the docket with the range as residual, so a docket of any size is split by
+    the skew handling of the join.  Only ids, days and the close meet there, pairs that meet on several
+    dockets become one, and the attributes are joined to the pairs that are left.
     """
     c = candidates.withColumn("_day", F.try_to_date("publication_date", "yyyy-MM-dd"))
     flagged = F.col("is_extension") | F.col("is_correction") | F.col("is_withdrawal") | F.col("is_reopening")
     keys = ["ocd_id", "fr_observation_id", "fr_document_number", "rins", "_day", "dates_text", "status", "resolved_close_utc", *[f"is_{f}" for f in ("extension", "correction", "withdrawal", "reopening")], "govinfo_url"]
-    dated = c.where(F.col("_day").isNotNull()).withColumn("_docket", F.explode(F.array_distinct("docket_ids"))).where("_docket <> ''")
-    b_rows = dated.where(flagged & ~is_denied(F.col("title"), F.col("dates_text"))).select("_docket", F.struct(*keys).alias("b"))
-    a_rows = dated.select("_docket", F.struct(*keys).alias("a"))
+    slim = lambda rows: rows.select("ocd_id", "fr_observation_id", "_day", (F.col("status") == "open").alias("_open"), F.to_date("resolved_close_utc").alias("_close"), F.explode(F.array_distinct("docket_ids")).alias("_docket")).where("_docket <> ''")
+    dated = c.where(F.col("_day").isNotNull())
+    a, b = slim(dated).alias("a"), slim(dated.where(flagged & ~is_denied(F.col("title"), F.col("dates_text")))).drop("_open", "_close").alias("b")
     later = (F.col("b._day") > F.col("a._day")) & (F.col("a.ocd_id") != F.col("b.ocd_id")) & (F.col("a.fr_observation_id") != F.col("b.fr_observation_id"))
-    near = (F.col("a.status") == "open") | (F.to_date(F.col("a.resolved_close_utc")) >= F.date_sub(F.col("b._day"), recency_days))
-    met = a_rows.join(b_rows, "_docket").where(later & F.coalesce(near, F.lit(False)))
-    once = met.groupBy(F.col("a.ocd_id").alias("ocd_id"), F.col("b.ocd_id").alias("ocd_id_b")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    near = F.col("a._open") | (F.col("a._close") >= F.date_sub(F.col("b._day"), recency_days))
+    met = a.join(b, F.col("a._docket") == F.col("b._docket")).where(later & F.coalesce(near, F.lit(False)))
+    ids = met.select(F.col("a.ocd_id").alias("ocd_id"), F.col("b.ocd_id").alias("ocd_id_b")).distinct()
+    whole = lambda name, key: dated.select(F.col("ocd_id").alias(key), F.struct(*keys).alias(name))
+    once = ids.join(whole("a", "ocd_id"), "ocd_id").join(whole("b", "ocd_id_b"), "ocd_id_b").select("ocd_id", "ocd_id_b", "a", "b")
     explicit = S.references(F.col("b.dates_text"), F.coalesce("a.fr_document_number", F.lit("")))
     return once.withColumn("confident", shares_any(F.col("a.rins"), F.col("b.rins")) | explicit)
 
 
+def chain_candidates(log: DataFrame, projection: DataFrame) -> DataFrame:
+    """L1: one candidate for every entity with a primary observation, its fields from the latest raw document."""
+    flags = ["is_extension", "is_correction", "is_withdrawal", "is_reopening"]
+    newest = latest_claims(log, fields=["observation_id", "raw", *flags]).where("a IS NOT NULL")
+    x = newest.select("ocd_id", "a", F.struct(*[v.alias(k) for k, v in extract_primary(F.col("a.raw")).items()]).alias("x"))
+    rows = x.join(projection.select("ocd_id", "status", "resolved_close_utc", "govinfo_url"), "ocd_id")
+    return rows.select(
+        "ocd_id", F.col("a.observation_id").alias("fr_observation_id"), F.col("x.document_number").alias("fr_document_number"), F.col("x.docket_ids").alias("docket_ids"), F.col("x.rins").alias("rins"),
+        *[F.coalesce(f"a.{f}", F.lit(False)).alias(f) for f in flags], F.col("x.title").alias("title"), F.col("x.publication_date").alias("publication_date"), "govinfo_url",
+        F.col("x.dates_text").alias("dates_text"), "status", "resolved_close_utc",
+    )
+
+
+def adjudication_input(pairs: DataFrame) -> DataFrame:
+    """Adds ``content_hash``, a hash of what the adjudicator gets to see of both notices."""
+    seen = ("fr_document_number", "rins", "dates_text", *[f"is_{f}" for f in ("extension", "correction", "withdrawal", "reopening")])
+    return pairs.withColumn("content_hash", F.sha2(F.to_json(F.struct(*[F.struct(*[F.col(f"{s}.{c}") for c in seen]).alias(s) for s in ("a", "b")])), 256))
+
+
 def link_flags(multi: Column) -> Column:
     """L7, in order."""
     b = lambda f: F.coalesce(F.col(f"b.is_{f}"), F.lit(False))
@@ -96,29 +125,61 @@ def python_provider(judge: Callable[[dict], tuple[str, str]]) -> Callable[[DataF
     return run
 
 
-def adjudicate(pairs: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, who: str, now: Column, budget: int = 25, order=("ocd_id", "ocd_id_b")) -> tuple[DataFrame, DataFrame]:
+def adjudicate(
+    pairs: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, who: str, now: Column, budget: int = 25, order=("ocd_id", "ocd_id_b"), tries: int = 2, classes: Sequence[str] = CLASSES
+) -> tuple[DataFrame, DataFrame]:
     """(pairs with ``outcome``, cache with the new verdicts).
 
-    ``pairs`` carry ``content_hash``.  Cached hashes are free; the others are ranked by their first
-    pair and the first ``budget`` are put to the provider, once per hash; the rest are *deferred*.
-    Errors are not cached.  Without a provider the cache is neither read nor written.
+    ``pairs`` carry ``content_hash``.  Cached hashes are free; the others are ranked by their first pair
+    and the first ``budget`` are put to the provider; the rest are *deferred*.  A hash whose answer is an
+    error, or none of ``classes``, spends budget and is not cached; if it has more pairs it is put again,
+    after the others, up to ``tries`` times and while the budget lasts.  Answers are stored before
+    anything reads them, so a provider sees no row twice.  Without one the cache is neither read nor
+    written.
     """
     if provider is None:
         return pairs.withColumn("outcome", F.lit("ambiguous")).withColumn("classification", F.lit(None).cast("string")), cache
     known = cache.where(F.col("adjudicator_id") == who).select("content_hash", F.col("classification").alias("_cached"))
+    pairs = stored(pairs)
     missing = pairs.join(known, "content_hash", "left_anti")
-    asked = missing.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("_first")).orderBy("_first", "content_hash").limit(max(0, budget))
-    inputs = missing.join(asked.select("content_hash"), "content_hash", "left_semi").dropDuplicates(["content_hash"])
-    answers = provider(inputs)
-    j = pairs.join(known, "content_hash", "left").join(answers.select("content_hash", F.col("classification").alias("_new"), "error", F.lit(True).alias("_asked")), "content_hash", "left")
+    todo = missing.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("_first"), F.min_by(F.struct(*pairs.columns), F.struct(*order)).alias("_row"), F.count("*").alias("_n"))
+    left, rounds = max(0, budget), []
+    for k in range(tries):
+        asked = stored(todo.where(F.col("_n") > k).orderBy("_first", "content_hash").limit(left))
+        left -= asked.count()
+        got = provider(asked.select("_row.*")).select("content_hash", "classification", "rationale")
+        rounds.append(stored(asked.select("content_hash").join(got.where(F.col("classification").isin(*classes)), "content_hash", "left")))
+        todo = asked.join(rounds[-1].where("classification IS NULL"), "content_hash", "left_semi")
+        if left <= 0 or todo.isEmpty():
+            break
+    answers = reduce(DataFrame.unionByName, rounds).groupBy("content_hash").agg(F.max("classification").alias("_new"), F.max("rationale").alias("rationale"))
+    j = pairs.join(known, "content_hash", "left").join(answers.select("content_hash", "_new", F.lit(True).alias("_asked")), "content_hash", "left")
     verdict = F.coalesce("_cached", "_new")
     outcome = (
         F.when(verdict == "affirm", "linked").when(verdict.isNotNull(), F.lit("not_linked")).when(F.coalesce("_asked", F.lit(False)), "error").otherwise("deferred")
     )
-    fresh = answers.where("classification IS NOT NULL").select("content_hash", F.lit(who).alias("adjudicator_id"), "classification", "rationale", now.alias("created_at"))
+    fresh = answers.where("_new IS NOT NULL").select("content_hash", F.lit(who).alias("adjudicator_id"), F.col("_new").alias("classification"), "rationale", now.alias("created_at"))
     return j.withColumn("outcome", outcome).withColumn("classification", verdict).select(*pairs.columns, "outcome", "classification"), cache.unionByName(fresh)
 
 
+def chain_sweep(log: DataFrame, projection: DataFrame, conflicts: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, who: str, now: Column, budget: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(conflicts with the chain links of the whole log, cache, one-row counts).
+
+    Confident and affirmed links are disjoint.  Open cross-window rows that are no longer linked are
+    retired, all of them if nothing is; rows of the other scope stay.
+    """
+    pairs = stored(chain_pairs(chain_candidates(log, projection)))
+    judged, cache = adjudicate(adjudication_input(pairs.where("NOT confident")), cache, provider, who, now, budget)
+    judged = stored(judged)
+    live = chain_conflicts(pairs.where("confident"), now).unionByName(chain_conflicts(judged.where("outcome = 'linked'"), now, "llm_corroborated"))
+    merged = stored(merge_conflicts(conflicts, live, now, "cross_window"))
+    one = pairs.agg(F.count_if("confident").alias("linked"), F.count_if(~F.col("confident")).alias("ambiguous"))
+    two = judged.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("linked", "affirmed"), ("deferred", "deferred"), ("error", "errors"))])
+    was_open = conflicts.where("conflict_scope = 'cross_window' AND resolved_at IS NULL").agg(F.count("*").alias("was_open"))
+    now_open = merged.where("conflict_scope = 'cross_window'").agg(F.count_if(F.col("resolved_at").isNull()).alias("live"), F.count_if(F.col("resolved_at") == now).alias("retired"))
+    return merged, cache, one.crossJoin(two).crossJoin(was_open).crossJoin(now_open)  # one row each
+
+
 def score_binary(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     """One row of tp, fp, fn, tn, n and the ratios, 0 where a denominator is."""
     ok = lambda c: F.coalesce(c, F.lit(False))
@@ -131,11 +192,26 @@ def score_binary(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 
 
 def confusion(df: DataFrame, gold: str, predicted: str, classes) -> DataFrame:
-    """Every (gold, predicted) cell, zeros included."""
+    """Every (gold, predicted) cell, zeros included; ``exact`` is the share of rows on the diagonal (null without rows)."""
     spark = df.sparkSession
     grid = spark.createDataFrame([(g, p) for g in classes for p in classes], "gold string, predicted string")
     counts = df.groupBy(F.col(gold).cast("string").alias("gold"), F.col(predicted).cast("string").alias("predicted")).agg(F.count("*").alias("n"))
-    return grid.join(counts, ["gold", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    cells = grid.join(counts, ["gold", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    every = cells.agg(F.try_divide(F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum("n")).alias("exact"))
+    return cells.crossJoin(F.broadcast(every))  # one row
+
+
+def dataset_items(df: DataFrame, kinds: Sequence[str], cap: int, include_null: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(selected rows, counts of every kind and class, zeros included) of a verdict cache.
+
+    Rows of null adjudicators go before anything else, so none shadows a later real one, as do rows
+    of other kinds and classes.
+    """
+    real = F.lit(True) if include_null else ~F.col("adjudicator_id").startswith("null:")
+    items = stratified(df.where(real & F.col("kind").isin(*kinds) & F.col("classification").isin(*CLASSES)), ["kind", "classification"], "content_hash", "created_at", cap)
+    grid = df.sparkSession.createDataFrame([(k, c) for k in kinds for c in CLASSES], "kind string, classification string")
+    counts = items.groupBy("kind", "classification").agg(F.count("*").alias("n"))
+    return items, grid.join(counts, ["kind", "classification"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def stratified(df: DataFrame, strata, hash_col: str, age: str, cap: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Differential jobs (J1-J5, J18, A2-A7, A11, A12, U2, U4, X1-X4, X6-X8, of X5 the rates): join rates, conflict rates, mirror checks, volumes."""
+"""Differential jobs (J1-J5, J18, A2-A7, A11, A12, U2, U4, X1-X8): join rates, conflict rates, mirror checks, volumes."""
 
 from __future__ import annotations
 
@@ -38,6 +38,17 @@ def coverage(rate: DataFrame, recovered: DataFrame) -> DataFrame:
     return one.withColumn("combined", percent(F.col("n_joined") + F.col("n_recovered"), F.col("n")))
 
 
+def enough(rates: DataFrame, rate: str, least: float = 60.0) -> DataFrame:
+    """Adds ``verdict``: is the rate at least ``least`` per cent?"""
+    return rates.withColumn("verdict", F.when(F.col(rate) >= least, "go").otherwise("no-go"))
+
+
+def zone_samples(pairs: DataFrame, a_day: str, b_instant: str, order: Sequence[Column], n: int = 10) -> DataFrame:
+    """The first pairs whose dates differ in UTC only, the false positives of a naive comparison."""
+    ny, utc = S.new_york_date(F.col(b_instant)), F.to_date(b_instant)
+    return pairs.where((utc != F.col(a_day)) & (ny == F.col(a_day))).orderBy(*order).limit(n)
+
+
 def date_conflicts(pairs: DataFrame, a_day: str, b_instant: str) -> DataFrame:
     """Of pairs with both dates: conflicts by New York day, by UTC day, and those the zone explains."""
     both = pairs.where(F.col(a_day).isNotNull() & F.col(b_instant).isNotNull())
@@ -73,10 +84,16 @@ def histogram(df: DataFrame, column: str, values: Sequence[str] = CATEGORIES) ->
 
 
 def carry_triage(findings: DataFrame, previous: DataFrame, key: str, allowed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(findings with the earlier triage of the same entity and category, triage rows that found no finding)."""
-    old = previous.select(key, "category", F.when(F.col("triage").isin(*allowed), F.col("triage")).alias("triage"), "note")
+    """(findings with the earlier triage of the same entity and category, triage rows that found no finding).
+
+    Only the two disagreements carry triage.  A value that is not ``allowed`` is left out with
+    ``triage_warning`` set; its note stays.
+    """
+    known = F.col("triage").isin(*allowed)
+    old = previous.where(F.col("category").isin(*DISAGREEMENTS))
+    old = old.select(key, "category", F.when(known, F.col("triage")).alias("triage"), "note", (F.col("triage").isNotNull() & ~known).alias("triage_warning"))
     some = findings.where(F.col("category").isin(*DISAGREEMENTS))
-    kept = findings.join(old, [key, "category"], "left")
+    kept = findings.join(old, [key, "category"], "left").withColumn("triage_warning", F.coalesce("triage_warning", F.lit(False)))
     return kept, previous.join(some.select(key, "category"), [key, "category"], "left_anti")
 
 
@@ -97,6 +114,20 @@ def density(df: DataFrame, day: str, bucket: str, today: Column, n_quarters: int
     return q.join(counts, "label", "left").select("label", *[F.coalesce(F.col(f"`{b}`"), F.lit(0)).cast("long").alias(b) for b in buckets], total.cast("long").alias("total"))
 
 
+def density_summary(quarters: DataFrame, buckets: Sequence[str], least_average: float) -> DataFrame:
+    """One row: totals, average per quarter, each bucket's share in per cent and the threshold's verdict."""
+    one = quarters.agg(F.count("*").alias("n_quarters"), F.sum("total").alias("total"), F.avg("total").alias("average"), *[F.sum(F.col(f"`{b}`")).alias(b) for b in buckets])
+    shares = [percent(F.col(f"`{b}`"), F.col("total")).alias(f"{b}_share") for b in buckets]
+    return one.select("n_quarters", "total", "average", *shares, F.when(F.col("average") >= least_average, "dense").otherwise("sparse").alias("verdict"))
+
+
+def owned_keywords(docs: DataFrame, text: Column, stems: Sequence[str], period: str, doc: str) -> DataFrame:
+    """(period, doc, keyword) of the first keyword of the list to hit a document in a period, no shuffle of texts."""
+    hits = docs.select(period, doc, F.get(S.keywords_in(text, stems), F.lit(0)).alias("keyword")).where("keyword IS NOT NULL")
+    rank = F.array_position(F.array(*map(F.lit, stems)), F.col("keyword"))
+    return hits.groupBy(period, doc).agg(F.min_by("keyword", rank).alias("keyword"))
+
+
 def first_keyword_owner(hits: DataFrame, period: str, doc: str, rank: str) -> DataFrame:
     """The first keyword (by rank) to hit a document owns it inside a period."""
     w = Window.partitionBy(period, doc).orderBy(rank)

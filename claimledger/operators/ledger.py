@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,18 +34,17 @@ def document_key() -> Column:
 def changed_payloads(log: DataFrame | None, batch: DataFrame, keys: Sequence[str], hash_col: str, order: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose hash differs from the one before it, in the log or in the batch.
 
-    A payload that changes and comes back is kept again.  Rows with a null key are always kept.
-    Only the log's latest hash per key meets the batch.
+    A payload that changes and comes back is kept again.  Rows with a null key are always kept; they
+    are set apart first, so they don't meet in one task.  Only the log's latest hash per key meets the batch.
     """
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    apart, batch = batch.where(no_key), batch.where(~no_key)
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = batch.withColumn("_prev", F.lag(hash_col).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     if log is not None:
-        seen = log.groupBy(*keys).agg(F.max_by(hash_col, F.struct(*order)).alias("_stored"))
+        seen = log.where(~no_key).groupBy(*keys).agg(F.max_by(hash_col, F.struct(*order)).alias("_stored"))
         rows = rows.join(seen, list(keys), "left").withColumn("_prev", F.when(F.col("_first"), F.col("_stored")).otherwise(F.col("_prev"))).drop("_stored")
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    return rows.where(no_key | ~F.col(hash_col).eqNullSafe(F.col("_prev"))).select(*batch.columns)
+    return rows.where(~F.col(hash_col).eqNullSafe(F.col("_prev"))).select(*batch.columns).unionByName(apart)
 
 
 def new_targets(bridge: DataFrame, observations: DataFrame) -> DataFrame:

@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 
 def increases(samples: DataFrame, labels: Sequence[str], at: str, value: str, tie: str, every: str = "1 hour") -> DataFrame:
-    """M1: increase of a counter per label set and window; a fall is a reset, the new value counts from 0."""
-    w = Window.partitionBy(*labels).orderBy(at, tie)
-    before = F.lag(value).over(w)
-    rows = samples.withColumn("_d", F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
-    return rows.groupBy(*labels, F.window(at, every).alias("_w")).agg(F.sum("_d").alias("increase")).select(*labels, F.col("_w.start").alias("window_start"), "increase")
+    """M1: increase of a counter per label set and window; a fall is a reset, the new value counts from 0.
+
+    Samples are ordered inside their window only.  What leads over from one window of a label set to
+    the next are its first and last samples, one row a window, so a label set of any length is spread over tasks.
+    """
+    step = lambda before: F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    rows = samples.select(*labels, at, tie, value, F.window(at, every)["start"].alias("window_start"))
+    inside = Window.partitionBy(*labels, "window_start").orderBy(at, tie)
+    rows = rows.withColumn("_d", step(F.lag(value).over(inside)))
+    order = F.struct(at, tie)
+    parts = rows.groupBy(*labels, "window_start").agg(F.sum("_d").alias("_inside"), F.min_by(value, order).alias(value), F.max_by(value, order).alias("_last"))
+    across = Window.partitionBy(*labels).orderBy("window_start")
+    return parts.select(*labels, "window_start", (F.col("_inside") + step(F.lag("_last").over(across))).alias("increase"))
 
 
 def bucket_quantile(buckets: DataFrame, labels: Sequence[str], le: str, count: str, q: float) -> DataFrame:
@@ -32,6 +40,31 @@ def ratio(df: DataFrame, by: Sequence[str], part: Column, whole: Column) -> Data
     return df.groupBy(*by).agg(F.count_if(part).alias("part"), F.count_if(whole).alias("whole")).withColumn("ratio", F.try_divide("part", "whole"))
 
 
+def increase_ratio(parts: DataFrame, wholes: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """M3: per label set and window the ratio of two counters' increases (``increases``); null over nothing."""
+    key = [*labels, "window_start"]
+    j = wholes.select(*key, F.col("increase").alias("whole")).join(parts.select(*key, F.col("increase").alias("part")), key, "left")
+    return j.withColumn("part", F.coalesce("part", F.lit(0.0))).withColumn("ratio", F.try_divide("part", "whole"))
+
+
+def increase_alert(rows: DataFrame, most: float) -> DataFrame:
+    """M5: windows in which a counter rose by more than ``most``."""
+    return rows.withColumn("firing", F.col("increase") > most)
+
+
+def missing_successes(attempts: DataFrame, successes: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """M5: errors of a provider as attempts less successes, per label set and window, never below 0."""
+    key = [*labels, "window_start"]
+    j = attempts.select(*key, F.col("increase").alias("attempts")).join(successes.select(*key, F.col("increase").alias("successes")), key, "left")
+    return j.withColumn("errors", F.greatest(F.col("attempts") - F.coalesce("successes", F.lit(0.0)), F.lit(0.0)))
+
+
+def summary_outcomes(summaries: DataFrame, source: str, outcomes: Sequence[str]) -> DataFrame:
+    """M8: (source, outcome, value) rows from cycle summaries with one column per outcome; zeros stay."""
+    pairs = F.array(*[F.struct(F.lit(o).alias("outcome"), F.coalesce(F.col(o).cast("long"), F.lit(0)).alias("value")) for o in outcomes])
+    return summaries.select(source, F.explode(pairs).alias("p")).groupBy(source, F.col("p.outcome").alias("outcome")).agg(F.sum("p.value").alias("value"))
+
+
 def freshness_alert(beats: DataFrame, wanted: DataFrame, key: str, at: str, now: Column, most_seconds: int = 2700) -> DataFrame:
     """M4: age of the latest heartbeat; a key that never beat is infinitely old (null age) and firing."""
     last = beats.groupBy(key).agg(F.max(at).alias("last"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
-from claimledger.operators.ledger import latest_by
+from claimledger.operators.projection import replay, states_over_time
 
 PRIMARY, STATUS = "federal_register", "regulations_gov"
 
@@ -14,12 +16,13 @@ PRIMARY, STATUS = "federal_register", "regulations_gov"
 def latest_claims(log: DataFrame, a: str = PRIMARY, b: str = STATUS, fields=None) -> DataFrame:
     """Per entity structs ``a`` and ``b`` with the latest observation of either source.
 
-    Of equal times the smallest observation id wins.  One shuffle by entity, with partial aggregation.
+    Of equal times the smallest observation id wins; rows without a time are the oldest.  One shuffle
+    by entity, with partial aggregation.
     """
     cols = fields or [c for c in log.columns if c not in ("ocd_id", "source")]
-    newest = latest_by(log.where(F.col("source").isin(a, b)), ["ocd_id", "source"], F.struct("fetched_at", -F.xxhash64("observation_id"), "observation_id"))
-    pick = lambda s: F.max(F.when(F.col("source") == s, F.struct(*cols)))
-    return newest.groupBy("ocd_id").agg(pick(a).alias("a"), pick(b).alias("b"))
+    newest_first = F.struct(F.coalesce(-F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(2**63 - 1)).alias("age"), "observation_id")
+    pick = lambda s: F.min_by(F.struct(*cols), F.when(F.col("source") == s, newest_first))
+    return log.where(F.col("source").isin(a, b)).groupBy("ocd_id").agg(pick(a).alias("a"), pick(b).alias("b"))
 
 
 def extract_primary(raw: Column) -> dict[str, Column]:
@@ -80,27 +83,52 @@ def reconcile_claims(claims: DataFrame, now: Column) -> DataFrame:
     out = claims
     for name, value in claim_columns(now).items():
         out = out.withColumn(name, value)
-    day = F.when(F.col("resolved_close_utc").isNotNull(), S.close_display(S.new_york_date(F.col("resolved_close_utc"))))
-    return out.withColumn("resolved_close_display", day)
+    shown = F.when(F.col("b_close").isNotNull(), S.close_display(S.new_york_date(F.col("b_close")), inferred=False)).otherwise(S.close_display(F.col("a_date"), inferred=True))
+    return out.withColumn("resolved_close_display", F.when(F.col("resolved_close_utc").isNotNull(), shown))
 
 
 def reconcile_log(log: DataFrame, now: Column) -> DataFrame:
-    """R1-R13 from raw observations: the projection's columns, one row per entity."""
-    p = latest_claims(log, fields=["observation_id", "raw", "fetched_at"])
-    p = p.withColumn("x", F.struct(*[v.alias(k) for k, v in extract_primary(F.col("a.raw")).items()]))
+    """R1-R12 from raw observations: the projection's columns, one row per entity, version 0 and no history.
+
+    R13: ``checked`` splits the result into rows that keep the invariants and rows that do not.
+    """
+    return derive(latest_claims(log, fields=["observation_id", "raw", "fetched_at"]), now)
+
+
+def replay_log(log: DataFrame, now: Column) -> DataFrame:
+    """T4: folds a whole log: each entity's state at each of its instants is reconciled, closes that differ from the one before are versions.
+
+    (ocd_id, version, resolved_close_utc, history); what cycles that merge one instant after the other arrive at.
+    """
+    one = log.groupBy("ocd_id", "source", "fetched_at").agg(F.min_by(F.struct("observation_id", "raw"), "observation_id").alias("claim"))
+    states = states_over_time(one, "ocd_id", "source", "fetched_at", "claim", [PRIMARY, STATUS])
+    closes = derive(states.select("ocd_id", "fetched_at", F.col(PRIMARY).alias("a"), F.col(STATUS).alias("b")), now, ("ocd_id", "fetched_at"))
+    return replay(closes.select("ocd_id", "fetched_at", "resolved_close_utc"), "ocd_id", "fetched_at", "resolved_close_utc", "fetched_at")
+
+
+def derive(claims: DataFrame, now: Column, keys: Sequence[str] = ("ocd_id",)) -> DataFrame:
+    """The projection's columns from structs ``a`` and ``b`` (observation_id, raw) of either source's claim."""
+    p = claims.withColumn("x", F.struct(*[v.alias(k) for k, v in extract_primary(F.col("a.raw")).items()]))
     p = p.withColumn("y", F.struct(*[v.alias(k) for k, v in extract_status(F.col("b.raw")).items()]))
     none = F.array().cast("array<string>")
     flat = p.select(
-        "ocd_id", F.col("a.observation_id").alias("a_id"), F.col("b.observation_id").alias("b_id"), F.col("x.close_date").alias("a_date"), F.col("y.raw_end").alias("b_raw_end"),
+        *keys, F.col("a.observation_id").alias("a_id"), F.col("b.observation_id").alias("b_id"), F.col("x.close_date").alias("a_date"), F.col("y.raw_end").alias("b_raw_end"),
         S.utc_instant(F.col("y.raw_end")).alias("b_close"), F.col("y.open").alias("b_open"), F.col("y.withdrawn").alias("b_withdrawn"), F.col("y.allow_late").alias("b_allow_late"),
         F.coalesce("x.document_number", "y.document_number").alias("fr_document_number"), F.coalesce("y.document_id", "x.document_id").alias("regs_document_id"),
         F.coalesce("y.object_id", "x.object_id").alias("regs_object_id"), F.array_distinct(F.concat(F.coalesce("x.docket_ids", none), F.array_compact(F.array("y.docket_id")))).alias("docket_id"),
-        F.col("x.rin").alias("rin"), F.col("x.comment_url").alias("submission_url"), S.reliance_url(F.col("x.publication_date"), F.col("x.document_number")).alias("govinfo_url"),
+        F.col("x.rin").alias("rin"), F.col("x.comment_url").alias("submission_url"), S.reliance_url(F.col("x.publication_date"), F.coalesce("x.document_number", "y.document_number")).alias("govinfo_url"),
+        F.lit("comment").alias("window_type"), F.col("x.close_date").alias("raw_fr_close_date"), F.col("y.raw_end").alias("raw_regs_close_datetime"), none.alias("tags"),
     )
     out = reconcile_claims(flat, now).withColumn("current_observation_ids", F.array_compact(F.array("a_id", "b_id")))
     clash = F.col("confidence") == "conflicting"
     agreeing, conflicting = F.when(clash, none).otherwise(F.col("current_observation_ids")), F.when(clash, F.col("current_observation_ids")).otherwise(none)
-    return out.withColumn("provenance", F.struct(agreeing.alias("agreeing_observation_ids"), conflicting.alias("conflicting_observation_ids"))).withColumn("derived_at", now)
+    return out.withColumn("provenance", F.struct(agreeing.alias("agreeing_observation_ids"), conflicting.alias("conflicting_observation_ids"))).withColumn("derived_at", now).withColumn("version", F.lit(0))
+
+
+def checked(projection: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep every invariant, rows that break one, with ``violations``)."""
+    broken = violations(projection, "projection")
+    return projection.where(F.size(broken_invariants("projection")) == 0), broken
 
 
 def conflict_rows(projection: DataFrame, now: Column) -> DataFrame:
@@ -137,5 +165,9 @@ INVARIANTS = {
 
 def violations(df: DataFrame, table: str) -> DataFrame:
     """V1: rows that break an invariant, with the names of all they break."""
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(cond), F.lit(False)), name) for name, cond in INVARIANTS[table].items()]))
-    return df.withColumn("violations", broken).where(F.size("violations") > 0)
+    return df.withColumn("violations", broken_invariants(table)).where(F.size("violations") > 0)
+
+
+def broken_invariants(table: str) -> Column:
+    """Names of the invariants that a row breaks."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(F.expr(cond), F.lit(False)), name) for name, cond in INVARIANTS[table].items()]))

@@ -1,4 +1,4 @@
-"""Read models (P1-P12, O1-O5, O7, of O6 lists up to ``MOST_ROWS``, J17, J20, W7-W9, A9, A10): filters, pages, details, feeds, timelines."""
+"""Read models (P1-P12, O1-O7, J17, J20, W7-W9, A9, A10): filters, pages, details, feeds, timelines."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimledger.operators.steps import stored
+
 MOST_ROWS, USUAL_ROWS = 200, 50
 
 
@@ -46,6 +48,38 @@ def list_windows(projection: DataFrame, limit: int | None = None, offset: int |
     return page(rows, [F.col("resolved_close_utc").asc_nulls_last(), F.col("ocd_id")], n, skip), rows.agg(F.count("*").alias("total")), n, skip
 
 
+def window(projection: DataFrame, ident: str) -> DataFrame:
+    """P5: the row of one entity; no row when it is absent."""
+    return projection.where(F.col("ocd_id") == ident)
+
+
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """A dashboard's list of the first ``n`` rows, whatever the page limit."""
+    return df.orderBy(*order).limit(n)
+
+
+def dashboard_lists(projection: DataFrame, n: tuple[int, int, int] = (400, 30, 12)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows by close, moved windows by close, conflicting windows by derivation, the newest first."""
+    by_close = [F.col("resolved_close_utc").asc_nulls_last(), F.col("ocd_id")]
+    moved = projection.withColumn("n_moved", F.size("change_history")).where("n_moved > 0")
+    clash = projection.where("confidence = 'conflicting'")
+    return first_rows(projection, by_close, n[0]), first_rows(moved, by_close, n[1]), first_rows(clash, [F.col("derived_at").desc(), F.col("ocd_id")], n[2])
+
+
+def counters(windows: DataFrame, observations: DataFrame, conflicts: DataFrame, agencies: Column, now: Column, days: int = 30) -> DataFrame:
+    """One row of dashboard counters, one pass over each table; ``agencies`` is an array of names per observation."""
+    soon = F.col("resolved_close_utc").between(now, now + F.make_interval(days=F.lit(days)))
+    level = lambda c: F.count_if(F.col("confidence") == c).alias(f"n_{c}")
+    w = windows.agg(
+        F.count("*").alias("n_windows"), F.count_if(F.col("status") == "open").alias("n_open"), F.count_if((F.col("status") == "open") & soon).alias("n_soon"), level("high"), level("conflicting"),
+        F.count_if(F.size("change_history") > 0).alias("n_moved"), F.count_if(F.col("resolved_close_utc").isNull()).alias("n_without_close"),
+    )
+    o = observations.agg(F.count("*").alias("n_observations"), F.max("fetched_at").alias("latest"))
+    names = observations.select(F.explode(agencies).alias("agency")).agg(F.count_distinct("agency").alias("n_agencies"))
+    c = conflicts.agg(F.count_if(F.col("resolved_at").isNull()).alias("n_live_conflicts"))
+    return w.crossJoin(o).crossJoin(names).crossJoin(c)  # one row each
+
+
 def conflict_feed(conflicts: DataFrame, entity: str | None = None, live_only: bool = True) -> DataFrame:
     """Live rows, of one entity on either side; the empty string names no entity."""
     rows = conflicts.where("resolved_at IS NULL") if live_only else conflicts
@@ -75,10 +109,11 @@ def top_groups(df: DataFrame, by: Sequence[str], n: int = 12) -> DataFrame:
 def ranks(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Adds ``rank`` (from 1) over the whole table without one task for all rows.
 
-    Rows are dealt by range; ranks inside a range plus the sizes of the earlier ranges.
+    Rows are dealt by range and stored, so that ranks inside a range and the sizes of the earlier
+    ranges belong to one deal (two plans of a deal can sample other bounds).
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    dealt = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row per partition
     inside = Window.partitionBy("_part").orderBy(*order)

@@ -1,4 +1,4 @@
-"""Post-deadline verification (E1-E6, E9, of E8 the 90-day ratio, J10-J13, A8): every watch at once, no per-entity reads."""
+"""Post-deadline verification (E1-E9, J10-J13, A8): every watch at once, no per-entity reads."""
 
 from __future__ import annotations
 
@@ -54,6 +54,43 @@ def post_close(watches: DataFrame, linked: DataFrame) -> DataFrame:
     return watches.join(got, ["ocd_id", "window_version"], "left").withColumn("since", F.coalesce("since", F.array().cast(SINCE)))
 
 
+def open_watches(watches: DataFrame, windows: DataFrame, records: DataFrame, stamps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(watches without a record, with their window's current close and re-check stamp; rows that can't be judged, with ``error``)."""
+    key = ["ocd_id", "window_version"]
+    now_at = windows.select("ocd_id", "regs_document_id", F.col("resolved_close_utc").alias("current_close_utc"), F.lit(True).alias("_window"))
+    j = watches.join(records.select(*key), key, "left_anti").join(now_at, "ocd_id", "left").join(stamps.select("regs_document_id", "last_checked_at"), "regs_document_id", "left")
+    error = F.when(F.col("_window").isNull(), "no window").when(F.col("published_close_utc").isNull(), "no published close").when(F.col("snapshotted_at").isNull(), "no snapshot time")
+    rows = j.withColumn("error", error).drop("_window", "regs_document_id")
+    return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL")
+
+
+def verification_run(windows: DataFrame, watches: DataFrame, records: DataFrame, observations: DataFrame, bridge: DataFrame | None, stamps: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """E1-E8 as one job: ``watches`` and ``records`` as they are after it, ``new`` records, ``set_aside`` rows and a ``summary``."""
+    linked = linked_observations(observations, bridge)
+    fresh = snapshot_scope(windows, watches, records, linked, now)
+    all_ = watches.unionByName(fresh)
+    rows, set_aside = open_watches(all_, windows, records, stamps)
+    seen = post_close(rows, linked)
+    stamp = F.when(F.col("last_checked_at") > F.col("published_close_utc"), F.col("last_checked_at"))
+    seen = seen.withColumn("observed_at", F.greatest("observed_at", stamp))  # E2; greatest passes over nulls
+    judged = seen.withColumn("state", horizon_state(F.col("published_close_utc"), F.col("observed_at"), F.col("snapshotted_at"), now))
+    new = verdicts(judged, now)
+    return {"watches": all_, "records": records.unionByName(new), "new": new, "set_aside": set_aside, "summary": verdict_counts(new)}
+
+
+def verdict_counts(records: DataFrame) -> DataFrame:
+    """Records by basis and verdict (null: lapsed)."""
+    return records.groupBy("basis", "was_correct").agg(F.count("*").alias("n"))
+
+
+def replay_fixtures(fixtures: DataFrame) -> DataFrame:
+    """Fixtures {meta, input, expected} whose recomputed verdict differs from the expected one; none should."""
+    ids = contradictions(F.col("input.observationsSinceClose"), F.col("input.publishedCloseUtc"), F.col("input.currentCloseUtc"))
+    rows = fixtures.where("expected.basis <> 'unverified_lapsed'").withColumn("ids", ids)
+    same = F.col("ids").eqNullSafe(F.array_sort("expected.contradicting_observation_ids")) & (F.size("ids") == 0).eqNullSafe(F.col("expected.was_correct"))
+    return rows.where(~same)
+
+
 def contradictions(since: Column, published: Column, current: Column) -> Column:
     """Sorted ids of the observations that contradict the published close; empty if none do."""
     moved = ~current.eqNullSafe(published)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
-from claimledger.operators import chain, crosscheck, ledger, projection
+from claimledger.operators import chain, crosscheck, ledger, projection, reconcile, steps
+from claimledger.sources import files
 
 
 def open_set(docs: DataFrame, close_day: str, now: Column) -> DataFrame:
@@ -29,6 +30,11 @@ def changed_set(docs: DataFrame, modified: str, cursor: Column, hours: int = 6)
     return docs.where(F.col(modified) >= S.lower_bound(cursor, hours))
 
 
+def report_set(docs: DataFrame, day: str, kind: str, first: str, last: str, kinds: Sequence[str]) -> DataFrame:
+    """Documents of some kinds published in a period, both ends included."""
+    return docs.where(F.col(day).between(first, last) & F.col(kind).isin(*kinds))
+
+
 def listed(parts: Sequence[DataFrame], key: str, date: str) -> DataFrame:
     """The union of the sets, one row per key (A1)."""
     rows = reduce(DataFrame.unionByName, [p.select(key, date).withColumn("seq", F.lit(i)) for i, p in enumerate(parts)])
@@ -73,6 +79,56 @@ def primary_cycle(found: DataFrame, log: DataFrame, dead: DataFrame, key: str =
     return todo, one
 
 
+STATUS_KEY = ["source", "regs_document_id"]
+
+
+def status_cycle(state: dict[str, DataFrame], feed: DataFrame, details: DataFrame, now: Column, version: str, threshold: int = 5) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One cycle of the status source: (state after it, one-row summary).
+
+    ``state`` holds log, projection, conflicts, cursors, stamps and failures.  ``feed`` (id, date, seq)
+    lists what changed, ``details`` (id, raw, fetched_at, error) is what fetching the documents gave.  Dead
+    letters are not looked at; a document without details, with an error, or whose details can't be read has
+    failed.  All that succeeded are reconciled, stamped and cleared, whether their payload is new or not;
+    the cursor stops before the first failure.
+    """
+    rows = ledger.keep_latest(feed, "id", "date", "seq")
+    dead = dead_keys(state["failures"], reconcile.STATUS).select(F.col("document_key").alias("id"))
+    live = steps.stored(rows.join(dead, "id", "left_anti").join(details.select("id", "raw", "fetched_at", F.col("error").alias("fetch_error")), "id", "left"))
+    read, rejects = files.status_observations(live.where("raw IS NOT NULL AND fetch_error IS NULL").select("id", "raw", "fetched_at"), version)
+    read = read.withColumn("observation_id", F.sha2(F.concat_ws("|", "source", "regs_document_id", "payload_hash", F.col("fetched_at").cast("string")), 256)).drop("id")
+    read = steps.stored(read)
+    ok = read.select(F.col("regs_document_id").alias("id")).distinct()
+    unread = live.where("raw IS NULL OR fetch_error IS NOT NULL").select("id", F.coalesce("fetch_error", F.lit("no details")).alias("error"))
+    failed = unread.unionByName(rejects.select("id", "error")).dropDuplicates(["id"]).join(ok, "id", "left_anti")
+    named = lambda df: df.withColumn("source", F.lit(reconcile.STATUS)).withColumnRenamed("id", "document_key")
+
+    new = steps.stored(ledger.changed_payloads(state["log"], read, STATUS_KEY, "payload_hash", ["fetched_at", "observation_id"]))
+    log = state["log"].unionByName(new)
+    touched = read.select("ocd_id").distinct()
+    derived = steps.stored(reconcile.reconcile_log(log.join(touched, "ocd_id", "left_semi"), now))
+    cleared, recovered = projection.clear_failures(state["failures"], named(ok))
+    failures = steps.stored(projection.merge_failures(cleared, named(failed), now, threshold))
+    prefix = projection.success_prefix(live.join(failed.select("id", F.lit(True).alias("failed")), "id", "left").withColumn("failed", F.coalesce("failed", F.lit(False))), "date", "id", "failed")
+    moved = prefix.select(F.lit(reconcile.STATUS).alias("source"), F.try_to_timestamp("cursor").alias("cursor_last_modified"))
+    after = {
+        "log": log, "projection": projection.merge_projection(state["projection"], derived.drop("version"), now),
+        "conflicts": projection.merge_conflicts(state["conflicts"], reconcile.conflict_rows(derived, now), now, "cross_source", touched),
+        "cursors": projection.merge_cursor(state["cursors"], moved, now), "stamps": projection.merge_stamps(state["stamps"], read.select("regs_document_id", now.alias("last_checked_at"))),
+        "failures": failures.drop("newly_dead"),
+    }
+    counts = (
+        rows.agg(F.count("*").alias("listed")), live.agg(F.count("*").alias("live")), new.agg(F.count("*").alias("ingested")), read.agg(F.count("*").alias("read")), failed.agg(F.count("*").alias("failed")),
+        failures.agg(F.count_if("newly_dead").alias("dead_lettered")), recovered.agg(F.count("*").alias("recovered")), prefix.select("cursor"),
+    )
+    summary = reduce(DataFrame.crossJoin, counts).withColumn("deduped", F.col("read") - F.col("ingested")).withColumn("skipped_dead", F.col("listed") - F.col("live"))  # one row each
+    return after, summary.drop("read", "live")
+
+
+def repoll_batch(eligible: DataFrame, budget: int | None = 200, key: str = "regs_document_id") -> tuple[DataFrame, DataFrame]:
+    """The stalest rows within the budget (absent or below 0: the default) and the counts."""
+    return projection.budget_cut(eligible, 200 if budget is None or budget < 0 else budget, [F.col("last_checked_at").asc_nulls_first(), F.col(key)])
+
+
 def gold_template(cache: DataFrame, kinds: Sequence[str], cap: int = 10) -> DataFrame:
     """Rows to be labelled: real adjudicators' verdicts, one per hash, capped per kind and class, ``gold`` null."""
     real = cache.where(~F.col("adjudicator_id").startswith("null:") & F.col("kind").isin(*kinds))

@@ -84,10 +84,12 @@ def a3(spark, sf):
 
 
 @query("a4_date_conflicts", """
-SELECT count(*) AS n, count(*) FILTER (ny <> d) AS n_conflicts, 0 AS n_naive, 0 AS n_zone_only, round(100.0 * count(*) FILTER (ny <> d) / count(*), 1) AS rate
-FROM (SELECT CAST(ts AS DATE) AS d, CAST(((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS DATE) AS ny FROM events)""")
+WITH e AS (SELECT event_id % 3 AS m, CAST(ts AS DATE) AS utc, CAST(((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS DATE) AS ny FROM events),
+d AS (SELECT *, CASE m WHEN 0 THEN utc WHEN 1 THEN ny ELSE utc + 1 END AS d FROM e)
+SELECT count(*) AS n, count(*) FILTER (ny <> d) AS n_conflicts, count(*) FILTER (utc <> d) AS n_naive, count(*) FILTER (utc <> d AND ny = d) AS n_zone_only, round(100.0 * count(*) FILTER (ny <> d) / count(*), 1) AS rate FROM d""")
 def a4(spark, sf):
-    rows = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "ts")
+    m, utc = c("event_id") % 3, F.to_date("ts")
+    rows = table(spark, sf, "events").select(F.when(m == 0, utc).when(m == 1, S.new_york_date(c("ts"))).otherwise(F.date_add(utc, 1)).alias("day"), "ts")
     return crosscheck.date_conflicts(rows, "day", "ts")
 
 
@@ -416,7 +418,7 @@ def a14(spark, sf):
 SELECT g.x AS gold, p.x AS predicted, count(l.doc_id) AS n FROM (VALUES ('0'), ('1'), ('2')) g(x) CROSS JOIN (VALUES ('0'), ('1'), ('2')) p(x)
 LEFT JOIN labels l ON CAST(l.quality AS VARCHAR) = g.x AND CAST(l.toxic AS VARCHAR) = p.x GROUP BY 1, 2""")
 def a15(spark, sf):
-    return chain.confusion(table(spark, sf, "labels"), "quality", "toxic", ["0", "1", "2"])
+    return chain.confusion(table(spark, sf, "labels"), "quality", "toxic", ["0", "1", "2"]).drop("exact")
 
 
 @query("a13_stratified", """
@@ -430,7 +432,8 @@ def a13(spark, sf):
 # ---- rules and scalars ----------------------------------------------------------------------------
 
 #: Whole words without look-around, so that both regex dialects take them.
-DOC_RULES = tuple(R.Rule(n, rf"(?i)(^|[^A-Za-z0-9_])({p})([^A-Za-z0-9_]|$)", n) for n, p in (("licence", "licensed|license"), ("insult", "idiot|moron|clown|loser"), ("address", "[a-z0-9.]+@[a-z0-9.]+"), ("and", "and")))
+NEEDLES = {"licence": ("license",), "insult": ("idiot", "moron", "clown", "loser"), "address": ("@",), "and": ("and",)}
+DOC_RULES = tuple(R.Rule(n, rf"(?i)(^|[^A-Za-z0-9_])({p})([^A-Za-z0-9_]|$)", n, NEEDLES[n]) for n, p in (("licence", "licensed|license"), ("insult", "idiot|moron|clown|loser"), ("address", "[a-z0-9.]+@[a-z0-9.]+"), ("and", "and")))
 
 
 @query("c1_flags", "SELECT doc_id, " + ", ".join(f"regexp_matches(coalesce(text, ''), '{r.pattern}') AS {r.flag}" for r in DOC_RULES) + " FROM documents")
@@ -447,9 +450,9 @@ def c5(spark, sf):
     return crosscheck.keyword_volume(table(spark, sf, "documents").select("text"), c("text"), ["idiot", "license", "akia"], hint, 90, 0.5)
 
 
-@query("f4_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, false AS k_is_text FROM events")
+@query("f4_json_fields", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 3 = 0 AS k_is_text FROM events")
 def f4(spark, sf):
-    v = F.try_parse_json("props")
+    v = F.try_parse_json(F.when(c("event_id") % 3 > 0, c("props")).otherwise(F.format_string('{"k": "%s"}', c("event_type"))))
     return table(spark, sf, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), S.json_string(v, "$.k").isNotNull().alias("k_is_text"))
 
 
@@ -743,6 +746,12 @@ def a16(spark, sf):
 
 
 @query("x8_statements", """
-SELECT count(*) AS n, count(*) AS close, count(*) FILTER (regexp_matches(p_name, '(?i)draft|final|notice of intent')) AS stage, 0 AS state FROM part WHERE trim(p_name) <> ''""")
+SELECT count(*) AS n, count(*) FILTER (p_partkey % 6 > 0) AS close, count(*) FILTER (p_partkey % 5 IN (1, 2, 3)) AS stage, count(*) FILTER (p_partkey % 5 IN (0, 2)) AS state FROM part WHERE p_partkey % 7 > 0""")
 def x8(spark, sf):
-    return jobs.statement_report(table(spark, sf, "part").select("p_name", "p_retailprice"), "p_name", "p_retailprice")
+    m = c("p_partkey") % 5
+    said = F.when(m == 0, ": land in Ohio").when(m == 1, ": Draft of a plan").when(m == 2, ": Final Supplement, North Dakota").when(m == 3, ": Notice of  Intent").otherwise(": drift of Utahns")
+    title = F.when(c("p_partkey") % 7 > 0, F.concat("p_name", said)).otherwise(" \u00a0 ")
+    return jobs.statement_report(table(spark, sf, "part").select(title.alias("title"), F.when(c("p_partkey") % 6 > 0, c("p_retailprice")).alias("close_day")), "title", "close_day")
+
+
+from claimledger.plans import job_queries  # noqa: E402, F401  registers its queries here

@@ -34,15 +34,14 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def write_windows(projection: DataFrame, path: str) -> None:
-    """One JSON object per line, by key, instants in ISO UTC."""
-    cols = [c for c in EXPORT if c in projection.columns]
-    projection.select(*cols).orderBy("ocd_id").write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").option("ignoreNullFields", False).json(path)
+    """One JSON object per line, by key, instants in ISO UTC; a projection that lacks a column of ``EXPORT`` is refused."""
+    projection.select(*EXPORT).orderBy("ocd_id").write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").option("ignoreNullFields", False).json(path)
 
 
 def list_rows(pages: DataFrame, results: str, key: str, date: str) -> DataFrame:
     """Landed result pages (page, results array of structs) to (key, date), one row per key, the latest date."""
     rows = pages.select("page", F.posexplode(results).alias("at", "r")).select("page", "at", F.col(f"r.{key}").alias(key), F.col(f"r.{date}").alias(date))
-    return keep_latest(rows.withColumn("seq", F.col("page") * 1_000_000 + F.col("at")), key, date, "seq").select(key, date)
+    return keep_latest(rows.withColumn("seq", F.col("page").cast("long") * 1_000_000 + F.col("at")), key, date, "seq").select(key, date)
 
 
 def truncated(pages: DataFrame, results: str, cap: int, page_size: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimledger.operators.ledger import changed_payloads, keep_latest
-from claimledger.operators.projection import merge_cursor, success_prefix
+from claimledger.operators.projection import clear_failures, merge_cursor, merge_failures, success_prefix
 
 
 class Snapshots:
@@ -67,6 +67,21 @@ def ingest_step(spark: SparkSession, log_path: str, heads: Snapshots, keys: Sequ
     return step
 
 
+def failure_step(failures: Snapshots, now: Callable[[int], Column], threshold: int = 5) -> Callable[[DataFrame, int], None]:
+    """Counts failures over micro-batches of (source, document_key, ok, error); a success clears its key.
+
+    In one batch a key that succeeded at all has succeeded.  The ledger is a snapshot per batch, so a batch that is run again changes nothing.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        key = ["source", "document_key"]
+        seen = batch.groupBy(*key).agg(F.bool_or("ok").alias("ok"), F.max("error").alias("error"))
+        cleared, _ = clear_failures(failures.before(number), seen.where("ok"))
+        failures.write(number, merge_failures(cleared, seen.where("NOT ok").select(*key, "error"), now(number), threshold).drop("newly_dead"))
+
+    return step
+
+
 def feed_cycle(cursors: DataFrame, feed: DataFrame, outcome: DataFrame, source: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """(new cursors, one-row summary) of a change-feed cycle.
 

@@ -70,7 +70,7 @@ def test_reconcile_from_raw(spark):
     got = {r.ocd_id: r for r in reconcile.reconcile_log(log, NOW).collect()}
     w = got["w"]
     assert (w.confidence, w.docket_id, w.rin, w.regs_document_id, w.b_open) == ("high", ["D1", "D2"], "R", "X", None)
-    assert w.provenance.agreeing_observation_ids == ["o1", "o2"] and w.govinfo_url.endswith("2026-1?date=2026-05-01")
+    assert w.provenance.agreeing_observation_ids == ["o1", "o2"] and w.govinfo_url == "https://www.govinfo.gov/content/pkg/FR-2026-05-01/html/2026-1.htm"
     assert got["v"].confidence == "unknown" and reconcile.violations(reconcile.reconcile_log(log, NOW), "projection").count() == 0
 
 
