@@ -1,14 +1,15 @@
 """Chat formatting: drop logged conversations that are prefixes of longer ones, render the rest.
 
-Every turn gets the rolling hash of the turns up to it: two running XORs of 64-bit hashes of
-(position, role, text), so equal prefixes have equal pairs.  Running values come from windows over
+Only hashes of roles and texts travel until it is known which conversations stay.  Every turn gets the rolling hash of the turns up to it: two running XORs of 64-bit hashes of
+(position, hashes of role and text), so equal prefixes have equal pairs.  Running values come from windows over
 blocks of ``block`` turns and over block totals, so a conversation of any length is spread over
 tasks.  A conversation goes if its whole hash is a proper prefix hash of another one; of equal
 conversations the smallest id stays.  Rendering is by parts of ``block`` turns, in order.
 
 Positions are ranks of ``turn``; turns that tie are ordered by role and text, and exact repeats of
 a turn count once.  A null role or text is rendered as empty but differs from an empty one in the
-hash.  Rows without conv_id or turn are left out.  Extra columns do not matter.
+hash.  Rows without conv_id or turn are left out.  Extra columns do not matter, an empty table gives an
+empty result, and texts of any length are hashed and rendered whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,24 @@ from claimledger.llm.common import read_table, store, work_dir
 TURN_START, TURN_END = "<|", "<|end|>\n"
 
 
+def turn_hash(salt: int) -> Column:
+    """Hash of a turn's role and text; tags keep a null apart from an empty text."""
+    return F.xxhash64(F.lit(salt), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+
+
+def light_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, h1, h2, tie: distinct turns by two hashes of role and text, and the rank among turns of one number.
+
+    Texts stay where they are, but for those of turns that share a number: their order decides the rank.
+    """
+    all_ = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", turn_hash(1).alias("h1"), turn_hash(2).alias("h2"))
+    light = all_.select("conv_id", "turn", "h1", "h2").distinct()
+    several = light.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "turn")
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ranked = all_.join(several, ["conv_id", "turn"], "left_semi").distinct().select("conv_id", "turn", "h1", "h2", F.row_number().over(order).alias("tie"))
+    return light.join(ranked, ["conv_id", "turn", "h1", "h2"], "left").withColumn("tie", F.coalesce("tie", F.lit(1)))
+
+
 def _positions(turns: DataFrame, block: int) -> DataFrame:
     """Adds ``pos``, the 0-based rank of the turn in its conversation, without one task per conversation.
 
@@ -29,7 +48,7 @@ def _positions(turns: DataFrame, block: int) -> DataFrame:
     ranges add up to the position.
     """
     t = turns.withColumn("_range", F.floor(F.col("turn") / block))
-    inside = Window.partitionBy("conv_id", "_range").orderBy("turn", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    inside = Window.partitionBy("conv_id", "_range").orderBy("turn", "tie")
     t = t.withColumn("_rank", F.row_number().over(inside) - 1)
     before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = turns.groupBy("conv_id", F.floor(F.col("turn") / block).alias("_range")).agg(F.count("*").alias("_size"))
@@ -37,22 +56,20 @@ def _positions(turns: DataFrame, block: int) -> DataFrame:
     return t.join(sizes, ["conv_id", "_range"]).withColumn("pos", F.col("_rank") + F.col("_before")).drop("_rank", "_before")
 
 
-def _turn_hash(salt: int) -> Column:
-    """Tags keep a null apart from an empty text; the position makes the XOR depend on the order."""
-    return F.xxhash64(F.lit(salt), F.col("pos"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-
-
 def prefix_hashes(turns: DataFrame, block: int = 1000) -> DataFrame:
-    """conv_id, turn, role, text, _range, pos and the rolling hashes p1, p2 of the turns up to this one."""
-    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
-    t = _positions(t, block).withColumn("_a", _turn_hash(1)).withColumn("_b", _turn_hash(2))
+    """conv_id, turn, h1, h2, _range, pos and the rolling hashes p1, p2 of the turns up to this one; ``turns`` as ``light_turns`` gives them.
+
+    The position is hashed too, so the XOR depends on the order.
+    """
+    placed = lambda salt: F.xxhash64(F.lit(salt), F.col("pos"), F.col("h1"), F.col("h2"))
+    t = _positions(turns, block).withColumn("_a", placed(3)).withColumn("_b", placed(4))
     run = Window.partitionBy("conv_id", "_range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = t.groupBy("conv_id", "_range").agg(F.bit_xor("_a").alias("_x"), F.bit_xor("_b").alias("_y"))
     totals = totals.select("conv_id", "_range", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("_x", "_y")])
     t = t.withColumn("_ra", F.bit_xor("_a").over(run)).withColumn("_rb", F.bit_xor("_b").over(run))
     t = t.join(totals, ["conv_id", "_range"])
-    return t.select("conv_id", "turn", "role", "text", "_range", "pos", F.col("_ra").bitwiseXOR(F.col("_x")).alias("p1"), F.col("_rb").bitwiseXOR(F.col("_y")).alias("p2"))
+    return t.select("conv_id", "turn", "h1", "h2", "_range", "pos", F.col("_ra").bitwiseXOR(F.col("_x")).alias("p1"), F.col("_rb").bitwiseXOR(F.col("_y")).alias("p2"))
 
 
 def maximal_conversations(hashes: DataFrame) -> DataFrame:
@@ -65,19 +82,24 @@ def maximal_conversations(hashes: DataFrame) -> DataFrame:
     return whole.join(inner, ["pos", "p1", "p2"], "left_anti").select("conv_id", (F.col("pos") + 1).alias("n_turns"), "n_logged")
 
 
-def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row per kept conversation and part: conv_id, part, n_turns, n_logged, text."""
+def render(turns: DataFrame, places: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row per kept conversation and part: conv_id, part, n_turns, n_logged, text.
+
+    ``places`` are the turns' positions; the texts of kept conversations meet them and then their part.
+    """
     line = F.concat(F.lit(TURN_START), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit(TURN_END))
-    rows = turns.select("conv_id", "_range", "pos", line.alias("line")).join(kept, "conv_id")
-    parts = rows.groupBy("conv_id", "n_turns", "n_logged", "_range").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    key = ["conv_id", "turn", "h1", "h2"]
+    lines = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), turn_hash(1).alias("h1"), turn_hash(2).alias("h2"), line.alias("line"))
+    wanted = places.select(*key, "_range", "pos").join(kept, "conv_id")
+    parts = wanted.join(lines, key).groupBy("conv_id", "n_turns", "n_logged", "_range").agg(F.sort_array(F.collect_set(F.struct("pos", "line"))).alias("l"))  # repeats of a turn count once
     number = Window.partitionBy("conv_id").orderBy("_range")
     return parts.select("conv_id", (F.row_number().over(number) - 1).alias("part"), "n_turns", "n_logged", F.array_join(F.col("l.line"), "").alias("text"))
 
 
 def format_conversations(turns: DataFrame, block: int = 1000) -> DataFrame:
     folder = work_dir(turns.sparkSession)
-    hashes = store(prefix_hashes(turns, block), folder, "hashes")
-    return render(hashes, maximal_conversations(hashes))
+    places = store(prefix_hashes(store(light_turns(turns), folder, "turns"), block), folder, "hashes")
+    return render(turns, places, maximal_conversations(places))
 
 
 def op4_chat_format(spark, sf_dir):

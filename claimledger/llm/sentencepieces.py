@@ -24,7 +24,6 @@ import heapq
 import os
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 from math import log
 
 import numpy as np
@@ -137,18 +136,65 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 
-def chunks(text: str) -> list[str]:
-    """Words with the spaces before them; joined they are the normalised text with its leading space."""
-    words = text.split(" ")
-    if len(words) == 1 or "" not in words:
-        return [SPACE + w for w in words]
-    out, spaces = [], ""
-    for w in words:
-        spaces += SPACE
-        if w:
-            out.append(spaces + w)
-            spaces = ""
-    return [*out, spaces] if spaces else out
+def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of the normalised texts, where their words start, words per text).
+
+    A normalised text has a space in front and the piece mark for spaces; a word is a run of spaces with what
+    follows it up to the next space.  An empty text has no words.
+    """
+    raw = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    space = raw == 32
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[begins[sizes > 0]] = True
+    starts = np.flatnonzero(first)
+    chars = raw.astype(np.int64)
+    chars[space] = ord(SPACE)
+    return chars, starts, np.diff(np.searchsorted(starts, np.append(begins, len(raw))))
+
+
+class WordTable:
+    """Open-addressed table from 64-bit word hashes to roots; 0 marks a free place."""
+
+    def __init__(self, bits: int = 16):
+        self.clear(bits)
+
+    def clear(self, bits: int) -> None:
+        self.bits, self.keys, self.roots, self.used = bits, np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Roots of the hashes, -1 where they are unknown."""
+        at = self._slots(h)
+        got = self.keys[at]
+        open_ = np.flatnonzero((got != h) & (got != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            got[open_] = self.keys[at[open_]]
+            open_ = open_[(got[open_] != h[open_]) & (got[open_] != 0)]
+        return np.where(got == h, self.roots[at], -1)
+
+    def insert(self, h: np.ndarray, roots: np.ndarray) -> None:
+        """Adds hashes that are not there yet, each once."""
+        if self.used + len(h) > len(self.keys) // 2:
+            known = self.keys != 0
+            old = self.keys[known], self.roots[known]
+            self.clear(int(4 * (self.used + len(h))).bit_length())
+            self.insert(*old)
+        self.used += len(h)
+        at = self._slots(h)
+        while len(h):
+            free = np.flatnonzero(self.keys[at] == 0)
+            self.keys[at[free]] = h[free]  # of several at one place the last one stays
+            won = free[self.keys[at[free]] == h[free]]
+            self.roots[at[won]] = roots[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            h, roots, at = h[rest], roots[rest], (at[rest] + 1) & (len(self.keys) - 1)
 
 
 class Lattices:
@@ -160,7 +206,8 @@ class Lattices:
 
     def __init__(self, vocab: Vocabulary, most_edges: int = 2_000_000):
         self.vocab, self.most_edges = vocab, most_edges
-        self.roots: dict[str, int] = {}
+        self.words, self.power, self.inverse = WordTable(), np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.hashes, self.begins, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the words, in the order of their roots
         self.nodes, self.edges = 1, 0
         self.first, self.again = np.zeros(2, np.int64), np.zeros(2, bool)
         self.piece, self.target = np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -173,12 +220,10 @@ class Lattices:
         """
         if self.edges <= self.most_edges:
             return
-        kept = [(w, r) for w, r in self.roots.items() if self.again[r]]
-        old = np.array([r for _, r in kept], dtype=np.int64)
-        lengths = np.array([len(w) for w, _ in kept], dtype=np.int64)
-        per_word = self.first[old + lengths] - self.first[old] if len(old) else old
-        room = int(np.searchsorted(np.cumsum(per_word), self.most_edges // 2, side="right"))
-        kept, old, lengths, per_word = kept[:room], old[:room], lengths[:room], per_word[:room]
+        kept = np.flatnonzero(self.again[self.begins])
+        per_word = self.first[self.begins[kept] + self.lengths[kept]] - self.first[self.begins[kept]]
+        kept = kept[: int(np.searchsorted(np.cumsum(per_word), self.most_edges // 2, side="right"))]
+        old, lengths, per_word = self.begins[kept], self.lengths[kept], per_word[: len(kept)]
         new = 1 + np.cumsum(lengths) - lengths
         node = np.repeat(old - new, lengths) + np.arange(1, 1 + int(lengths.sum()))
         edge_end = np.cumsum(per_word)
@@ -191,14 +236,14 @@ class Lattices:
         self.first[1] = 0
         self.first[2 : len(node) + 2] = np.cumsum(sizes)
         self.again[:] = False
-        self.roots = dict(zip([w for w, _ in kept], new.tolist(), strict=True))
+        self.hashes, self.begins, self.lengths = self.hashes[kept], new, lengths
+        self.words.clear(16)
+        self.words.insert(self.hashes, new)
         self.nodes, self.edges = 1 + len(node), len(edge)
 
-    def _raw_edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _raw_edges(self, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges per character, pieces, lengths): all pieces that start at each character, longest first."""
         v = self.vocab
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
         at, state, n, found = np.arange(len(chars)), None, 0, []
         while len(at):
@@ -221,10 +266,9 @@ class Lattices:
             fill[a] += 1
         return per_node, pieces, longs
 
-    def add(self, words: list[str]) -> None:
-        """Builds the words' lattices: beta of a node is the log mass of all cuts from there to the word's end."""
-        per_node, piece, long = self._raw_edges(words)
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
+    def add(self, hashes: np.ndarray, chars: np.ndarray, lengths: np.ndarray) -> None:
+        """Builds the lattices of words: beta of a node is the log mass of all cuts from there to the word's end."""
+        per_node, piece, long = self._raw_edges(chars, lengths)
         n, m = len(per_node), len(piece)
         start = np.append(0, np.cumsum(per_node))
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)  # characters from the node to the word's end
@@ -255,8 +299,9 @@ class Lattices:
         rest = 1.0 - p
         rest[sure] = np.add.reduceat(np.where(sure, 0.0, p), start[:-1])[source[sure]]
         self._append(start[1:], piece, np.where(target == n, 0, target + self.nodes), upto, p, rest)
-        at = self.nodes + np.append(0, np.cumsum(lengths))
-        self.roots.update(zip(words, at.tolist(), strict=False))
+        begins = self.nodes + np.cumsum(lengths) - lengths
+        self.words.insert(hashes, begins)
+        self.hashes, self.begins, self.lengths = np.append(self.hashes, hashes), np.append(self.begins, begins), np.append(self.lengths, lengths)
         self.nodes += n
         self.edges += m
 
@@ -277,13 +322,36 @@ class Lattices:
         self.first[self.nodes] = self.edges
         self.first[self.nodes + 1 : nodes + 1] = self.edges + ends
 
-    def roots_of(self, words: list[str]) -> np.ndarray:
-        found = np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
+    def _hash(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One hash per word, never 0: its characters' codes as a polynomial, shifted to the word's start, and its length."""
+        prime = 0x9E3779B97F4A7C15
+        while len(self.power) < len(chars) + 1:
+            for name, base in (("power", prime), ("inverse", pow(prime, -1, 2**64))):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, old * np.uint64(pow(base, len(old), 2**64))]))
+        with np.errstate(over="ignore"):
+            code = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+            code = (code ^ (code >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            run = np.append(np.uint64(0), np.cumsum(code * self.power[: len(chars)]))
+            z = (run[ends] - run[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (z ^ (z >> np.uint64(31))) | np.uint64(1)
+
+    def roots_of(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The words' roots; words met for the first time are added.  Words are told apart by 63-bit hashes."""
+        ends = np.append(starts[1:], len(chars))
+        h = self._hash(chars, starts, ends)
+        found = self.words.find(h)
         self.again[found[found > 0]] = True
-        late = np.flatnonzero(found < 0).tolist()
-        if late:
-            self.add(list(dict.fromkeys([words[i] for i in late])))
-            found[late] = [self.roots[words[i]] for i in late]
+        late = np.flatnonzero(found < 0)
+        if len(late):
+            new, one = np.unique(h[late], return_index=True)
+            one = late[one]
+            lengths = ends[one] - starts[one]
+            upto = np.cumsum(lengths)
+            self.add(new, chars[np.repeat(starts[one] - (upto - lengths), lengths) + np.arange(upto[-1])], lengths)
+            found[late] = self.words.find(h[late])
         return found
 
     def tables(self) -> tuple[np.ndarray, ...]:
@@ -360,14 +428,9 @@ def branch_values(tables, edges: np.ndarray, prefix: np.ndarray, log_tau: np.nda
 
 def sample_batch(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
     """For each text up to ``k`` samples (log_prob, inclusion, piece ids), best perturbed value first."""
-    words, owner_len = [], []
-    for text in texts:
-        got = chunks(text) if text else []
-        words.extend(got)
-        owner_len.append(len(got))
-    roots = lattices.roots_of(words)
+    chars, starts, owner_len = split_words(texts)
+    roots = lattices.roots_of(chars, starts)
     tables = lattices.tables()
-    owner_len = np.asarray(owner_len, dtype=np.int64)
     row = np.repeat(np.arange(len(texts)), owner_len)
     word_at = np.append(0, np.cumsum(owner_len))
     place = np.arange(len(roots)) - word_at[row] if len(roots) else roots

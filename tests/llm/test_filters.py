@@ -256,6 +256,32 @@ def test_rules_learn_and_keep_clean(spark, sf):
     assert n.get((1, False), 0) <= 0.02 * n[1, True] and n.get((0, False), 0) >= 2 * n.get((0, True), 0)
 
 
+def test_op9_against_brute_force(spark, sf):
+    """Statistics, base rules, the number of the first rule that fires and the verdict, row by row over the whole table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = quality_rules.train_rules(docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = quality_rules.op9_quality_rules(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n, chars, symbols, lines, repeats = stats = brute_stats(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == stats
+        marks, d = sum((texts[r.doc_id] or "").count(x) for x in "!?"), max(n, 1)
+        row = {"symbols_per_word": symbols / d, "repeat_share": repeats / d, "dup_lines_per_word": lines / d, "marks_per_word": marks / d, "chars_per_word": chars / d}
+        fires = [i for i, tests in enumerate(rules) if all((row[t.feature] > t.threshold) == t.above for t in tests)]
+        assert r.base_failed == (n < 50 or 100 * repeats > 50 * n)
+        assert r.rule == (fires[0] if fires else None) and r.kept == (not r.base_failed and not fires)
+
+
+def test_op9_edges(spark):
+    df = spark.createDataFrame([(1, None, 1, 2, 3), (1, "", 1, 2, 3)], "doc_id long, text string, words int, word_hashes int, grams int")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rules = quality_rules.train_rules(df, none)
+    got = quality_rules.judge(df, rules).collect()
+    assert rules == [] and [(r.base_failed, r.kept, r.words, r.grams) for r in got] == [(True, False, 1, 3)] * 2
+    assert quality_rules.judge(df.limit(0), rules).count() == 0
+
+
 def test_rules_are_ordered_conditions():
     bad = [{"symbols_per_word": 2.0, "repeat_share": 0.0, "dup_lines_per_word": 0.0, "marks_per_word": 0.0, "chars_per_word": 5.0 + i % 3} for i in range(30)]
     good = [b | {"symbols_per_word": 0.0} for b in bad]
@@ -276,6 +302,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_archives_of_long_and_extra(spark):
+    rows = [(1, "u", "x" * 3_000_000, "mine"), (2, "u", "x" * 3_000_000, "mine"), (3, "u", None, "mine")]
+    got = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string, payload string"), with_content=False).collect()}
+    assert (got[1].record_type, got[1].refers_to, got[2].payload_bytes, got[3].payload_bytes) == ("revisit", 2, 3_000_000, 0)
+
+
 def test_archive_file_format(tmp_path):
     import io
     import struct

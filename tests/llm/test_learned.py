@@ -85,6 +85,61 @@ def test_scorers_take_odd_texts(spark):
     assert toxicity.score_toxicity(df.limit(0), m).count() == quality_pu.score_quality(df.limit(0), q).count() == 0
 
 
+def brute_toxic(text, m):
+    """Score of a text from the model's weights alone, word by word."""
+    words = toxicity.distinct_runs(text)
+    z = []
+    for w in words:
+        bucket, _ = toxicity.subword_table([w], m.bits)
+        z.append(sum(m.weights[b] for b in bucket) / len(bucket))
+    starts = list(range(0, len(z), m.segment))
+    if len(starts) > 1 and len(z) - starts[-1] < (m.segment + 1) // 2:
+        starts.pop()
+    parts = [z[a:b] for a, b in zip(starts, [*starts[1:], len(z)], strict=True)]
+    worst = m.bias + (m.segment * max(sum(p) / len(p) for p in parts) if z else 0.0)
+    return 1 / (1 + math.exp(-(m.slope * worst + m.offset)))
+
+
+def test_scores_against_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    m = toxicity.train_toxicity(docs, labels)
+    got = toxicity.op8_toxicity(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r.score - brute_toxic(texts[r.doc_id], m)) < 1e-6 and r.predicted == (r.score >= 0.3)
+    q = quality_pu.train_quality(docs, labels)
+    for r in quality_pu.op3_quality_pu(spark, sf).collect():
+        z = q.bias
+        at = 0
+        for x, cuts in zip(quality_pu.text_features(texts[r.doc_id]), q.cuts, strict=True):
+            z += q.weights[at + sum(x > c for c in cuts)]
+            at += len(cuts) + 1
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+def test_too_few_labels(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(12)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(i, 1, 0) for i in range(12)], none.schema)
+    for labels in (none, one):
+        got = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels)).collect()
+        assert len({r.score for r in got}) == 1 and {r.predicted for r in got} == {0}
+        assert {r.predicted for r in quality_pu.score_quality(docs, quality_pu.train_quality(docs, none)).collect()} == {1}
+    empty = docs.limit(0)
+    assert toxicity.score_toxicity(empty, toxicity.train_toxicity(empty, none)).count() == quality_pu.score_quality(empty, quality_pu.train_quality(empty, none)).count() == 0
+
+
+def test_samples_are_of_the_smallest_hash(spark):
+    from claimledger.llm.common import fresh_names, sample_by_hash
+
+    ids = spark.range(5000).unionByName(spark.range(0, 2000, 1).selectExpr("id * 0 AS id")).withColumnRenamed("id", "doc_id")
+    got = [r.doc_id for r in sample_by_hash(ids.repartition(7), "doc_id", 40).collect()]
+    want = [r.doc_id for r in ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()]
+    assert sorted(got) == sorted(want) and sample_by_hash(ids.limit(0), "doc_id", 40).count() == 0
+    assert fresh_names(spark.range(1).withColumn("rank", F.lit(1)), "rank", "x") == ["rank_", "x"]
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(2, 1, (3000, 2)), rng.normal(-2, 1, (1200, 2))
@@ -142,6 +197,37 @@ def test_edit_distance_and_recall():
     assert found >= 0.95 * n
 
 
+@pytest.mark.parametrize("size", [12, 25, 40, 60, 120, 250, 500])
+def test_recall_at_the_edit_limit(size):
+    """Passages as many edits away as an item allows, at every length; longer items are sought by pieces."""
+    rng = random.Random(size)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocab, k=size))) for i in range(30)]
+    index, found, n = decontamination.build_index(items), 0, 0
+    for item in index.items:
+        w = list(item.words)
+        for p in rng.sample(range(len(w)), item.edits):  # no two at one place, so the distance is the limit
+            w[p] = 0
+        hits = decontamination.find_in_batch([np.array([0] * 9 + w + [0] * 9)], index)[0]
+        n, found = n + 1, found + any(h[0] == item.item_id and h[1] <= item.edits for h in hits)
+        assert decontamination.find_in_batch([np.array(list(item.words))], index)[0][0][:2] == (item.item_id, 0)
+    assert found >= 0.9 * n
+
+
+def test_short_and_unspaced_items(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "x one two, three. y"), (3, "one two four three"), (4, "日本語の文をここに書く"), (5, "本語"), (6, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "One two three!"), (2, "本語の文"), (3, "語の文をここに書"), (4, "")], "item_id long, text string")
+    got = {r.doc_id: [(h.item_id, h.start_word) for h in r.found] for r in decontamination.with_hits(docs, bench, out="found").collect()}
+    assert got == {1: [(1, 0)], 2: [(1, 1)], 3: [], 4: [(2, 1), (3, 2)], 5: [], 6: []}
+
+
+def test_pieces_cover_an_item():
+    for n in range(1, 700):
+        parts = decontamination.pieces_of(n, 40)
+        assert sum(m for _, m in parts) == n and max(m for _, m in parts) <= 40 and min(m for _, m in parts) >= min(n, 20)
+        assert all(a + m == b for (a, m), (b, _) in zip(parts, parts[1:], strict=False))
+
+
 def test_decontamination_finds_every_verbatim_passage(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
     bench = spark.read.parquet(f"{BIG}/benchmark.parquet").collect()
@@ -315,6 +401,27 @@ def test_pipeline_stages(spark):
     assert last.where("sample = 0").count() == docs.count() and last.where("NOT decodes").count() == 0
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated ids, columns named like the stages' own, an empty table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    odd = spark.createDataFrame([(None, None, None), (None, "some text", "en"), (900_001, None, None), (900_001, "", "en"), (900_002, "one word " * 70, None), (900_002, "one word " * 70, None)], docs.schema)
+    docs = docs.unionByName(odd)
+    for name in ("score", "predicted", "hits", "rank", "keep", "text_hash", "sample"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, sf)
+            assert out.columns == columns
+            rows = out.collect()
+            assert all(r.score == r.hits == r.rank == "mine" for r in rows) and (rows or some is not docs)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.where("sample = 0").count() == docs.count() and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
 def test_held_out_fold(spark):
     import zlib
 
