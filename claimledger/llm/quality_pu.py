@@ -3,10 +3,10 @@
 Features are shares of character classes and of repeated words over the whole text, cut into
 quantile bins; the scorer is additive over the bins.  It minimises the non-negative unbiased risk
 ``pi R_P(+) + max(0, R_U(-) - pi R_P(-))`` from trusted positives and unlabelled web text.  The class
-prior ``pi`` is estimated from the two samples alone: the least ratio, over score thresholds, of
-unlabelled to positive rows above it (best-bin estimation).
+prior ``pi`` is the least ratio, over score thresholds, of the shares of unlabelled to positive rows above
+it (best-bin estimation); the unlabelled shares are counted over all documents outside the held-out fold.
 
-Both samples are bounded (``positives``, ``unlabelled``); scoring reads every text whole.  Null and
+The rows of the gradient steps are bounded samples (``positives``, ``unlabelled``); scoring reads every text whole.  Null and
 empty texts have all-zero features and get a score like any other; repeated rows and ties score alike, extra
 columns pass through, and an empty table gives an empty result.
 """
@@ -78,13 +78,15 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, least_share: float = 0.3) -> float:
-    """Least ratio of the shares of unlabelled and positive rows above a threshold.
+def prior_thresholds(pos: np.ndarray, least_share: float = 0.3, most: int = 100) -> np.ndarray:
+    """Score thresholds at which the prior is looked for: quantiles of the positives that ``least_share`` of them pass at least; beyond, ratios are noise."""
+    return np.unique(np.quantile(pos, np.linspace(0, 1 - least_share, most)))
 
-    Only thresholds that at least ``least_share`` of the positives pass count; beyond them the ratio is noise.
-    """
-    ratios = [(unl >= c).mean() / (pos >= c).mean() for c in np.quantile(pos, np.linspace(0, 1 - least_share, 100))]
-    return float(np.clip(min(ratios), 0.02, 0.98))
+
+def estimate_prior(pos: np.ndarray, thresholds: np.ndarray, above: np.ndarray) -> float:
+    """Least ratio of the shares of unlabelled (``above``, one for each threshold) and positive rows at or above a threshold."""
+    ratios = above / np.array([(pos >= c).mean() for c in thresholds])
+    return float(np.clip(ratios.min(), 0.02, 0.98))
 
 
 def _adam(grad, size: int, steps: int, rate: float) -> np.ndarray:
@@ -96,17 +98,38 @@ def _adam(grad, size: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def fit_pu(pos: np.ndarray, unl: np.ndarray, bins: int = 12, steps: int = 500, rate: float = 0.05, l2: float = 2e-4) -> PuModel:
-    """Prior from a plain positive-against-unlabelled fit on one half, then the non-negative risk on all rows."""
+@dataclass(frozen=True)
+class PlainModel:
+    """Positive against unlabelled rows, fitted on every second row; it only ranks."""
+
+    cuts: tuple[tuple[float, ...], ...]
+    weights: np.ndarray
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return one_hot(x, self.cuts) @ self.weights[:-1] + self.weights[-1]
+
+
+def fit_plain(pos: np.ndarray, unl: np.ndarray, bins: int = 12, steps: int = 500, rate: float = 0.05, l2: float = 2e-4) -> PlainModel:
     cuts = bin_edges(np.vstack([pos, unl]), bins)
-    p, u = (np.hstack([one_hot(x, cuts), np.ones((len(x), 1))]) for x in (pos, unl))
+    p, u = (np.hstack([one_hot(x[::2], cuts), np.ones((len(x[::2]), 1))]) for x in (pos, unl))
     reg = np.append(np.full(p.shape[1] - 1, l2), 0.0)
+    return PlainModel(cuts, _adam(lambda w: p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + reg * w, p.shape[1], steps, rate))
 
-    def plain(w):
-        return p[::2].T @ (_sigmoid(p[::2] @ w) - 1) / len(p[::2]) + u[::2].T @ _sigmoid(u[::2] @ w) / len(u[::2]) + reg * w
 
-    w0 = _adam(plain, p.shape[1], steps, rate)
-    prior = estimate_prior(p[1::2] @ w0, u[1::2] @ w0)
+def fit_pu(pos: np.ndarray, unl: np.ndarray, shares=None, bins: int = 12, steps: int = 500, rate: float = 0.05, l2: float = 2e-4) -> PuModel:
+    """The class prior from a plain fit's scores, then the non-negative risk on all rows.
+
+    ``shares(model, thresholds)`` gives the shares of the unlabelled corpus at or above score
+    thresholds; without it they are those of the other half of ``unl``.
+    """
+    plain = fit_plain(pos, unl, bins, steps, rate, l2)
+    held = plain.scores(pos[1::2])
+    at = prior_thresholds(held)
+    rest = plain.scores(unl[1::2])
+    prior = estimate_prior(held, at, shares(plain, at) if shares else np.array([(rest >= c).mean() for c in at]))
+    cuts = plain.cuts
+    p, u = (np.hstack([one_hot(x, cuts), np.ones((len(x), 1))]) for x in (pos, unl))
+    reg = np.append(np.full(p.shape[1] - 1, l2), 0.0)
 
     def risk(w):
         zp, zu = p @ w, u @ w
@@ -143,7 +166,22 @@ def train_quality(docs: DataFrame, labels: DataFrame, positives: int = 3000, unl
     rows = [np.array([r["f"] for r in sorted(_features(df).collect())]).reshape(-1, N_FEATURES) for df in (pos, unl)]
     if min(map(len, rows)) < 4:
         return PuModel(tuple(() for _ in range(N_FEATURES)), np.zeros(N_FEATURES), 4.0, 0.98)
-    return fit_pu(*rows)
+    return fit_pu(*rows, shares=lambda plain, at: corpus_shares(docs.where(~held_out(F.col("doc_id"))), plain, at))
+
+
+def corpus_shares(docs: DataFrame, plain: PlainModel, thresholds: np.ndarray) -> np.ndarray:
+    """Shares of all ``docs`` that score at or above each threshold: one pass, counts of as many groups as thresholds come back."""
+
+    @F.pandas_udf("int")
+    def passed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.array([text_features(t if isinstance(t, str) else None) for t in batch]).reshape(-1, N_FEATURES)
+            yield pd.Series(np.searchsorted(thresholds, plain.scores(x), side="right"))
+
+    counts = np.zeros(len(thresholds) + 1)
+    for r in docs.select(passed("text").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect():
+        counts[r["k"]] = r["n"]
+    return counts[::-1].cumsum()[::-1][1:] / max(1.0, counts.sum())
 
 
 def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.7, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
