@@ -161,6 +161,26 @@ def cascade(text: Column, rules: Sequence[tuple[str, str]], default: str | None
     return out.otherwise(default) if out is not None else F.lit(default)
 
 
+def false_positive_hint(title: Column, keywords: Column) -> Column:
+    """why a title that holds a keyword may be no comment deadline, by six ordered rules; empty if none fires.
+
+    The patterns and hints are fixed values.
+    """
+    t, has = F.lower(F.coalesce(title, F.lit(""))), lambda k: F.array_contains(keywords, k)
+    moves = t.rlike(r"\b(comment|deadline|comment period|reopen)\b")
+    collection = t.rlike(r"\b(information collection|paperwork reduction|omb (review|control)|currently approved collection|collection of information)\b")
+    land = t.rlike(r"\b(public land|land order|\bacres?\b|mineral|national forest|reclamation|grazing|bureau of land management|\bblm\b)\b")
+    approval = t.rlike(r"\bwithdrawal of (the )?(approval|application)|abbreviated new drug|self-regulatory|securities exchange\b")
+    return (
+        F.when(has("extension") & collection & ~moves, "likely PRA/info-collection extension (not a docket comment deadline)")
+        .when(has("withdraw") & land, "likely land-withdrawal FP (not a comment deadline)")
+        .when(has("withdraw") & approval, "likely approval/application withdrawal (not a comment deadline)")
+        .when(has("withdraw") & ~moves, "withdrawal — confirm it touches a comment period")
+        .when(has("correction") & ~moves & ~t.rlike(r"\b(extend|extension)\b"), "likely editorial/technical correction")
+        .otherwise("")
+    )
+
+
 def squeeze(text: Column) -> Column:
     """white space runs to one space, trimmed; null for blanks."""
     flat = F.trim(F.regexp_replace(text, WIDE_SPACE + "+", " "))
@@ -236,16 +256,31 @@ def days_between(a: Column, b: Column) -> Column:
     return F.round((F.unix_timestamp(a) - F.unix_timestamp(b)) / 86400).cast("long")
 
 
-def confidence_text(confidence: Column, flags: Column, n_sources: Column) -> Column:
-    """F28."""
+#: F28, fixed values: what is said of each confidence.
+HIGH_TEXT = "Both sources carry this window and agree on the same Eastern calendar date — the strongest signal the rulebook awards."
+MEDIUM_TEXT = "One usable source with no contradiction (or full agreement with a minor caveat%s). Reliable, but not independently confirmed."
+LOW_BOTH_TEXT = (
+    "Regulations.gov lists this record but supplies no usable close date%s, so the deadline rests on the Federal Register's date-only value with the standard 11:59 p.m. ET convention. "
+    "LOW means: correct as far as one source goes — verify before relying on it."
+)
+LOW_ONE_TEXT = (
+    "Only the Federal Register carries this notice — there is no Regulations.gov record to cross-check (common for information-collection notices where comments go to OMB or an email address instead). "
+    "The closing time is inferred from a date-only value via the 11:59 p.m. ET convention. LOW means: correct as far as one source goes — verify before relying on it."
+)
+CLASH_TEXT = "The two sources currently disagree about this window. Both values are kept and shown; nothing is guessed silently."
+UNKNOWN_TEXT = "Neither source supplies a usable close date, so no deadline is asserted at all — an honest unknown beats a fabricated date."
+
+
+def confidence_text(confidence: Column, flags: Column, status_document: Column) -> Column:
+    """an explanation of a confidence from the flags and the status source's document id."""
+    named = F.coalesce(F.array_join(flags, ", "), F.lit(""))
+    caveat = lambda form: F.when(named != "", F.format_string(form, named)).otherwise("")
+    listed = F.coalesce(status_document != "", F.lit(False))
     return (
-        F.when(F.array_contains(flags, "withdrawn_vs_open"), "One source has withdrawn what the other still dates.")
-        .when(confidence == "conflicting", "The sources name different days.")
-        .when(confidence == "high", "Both sources name the same day.")
-        .when((confidence == "medium") & (n_sources > 1), "The sources agree in part.")
-        .when(confidence.isin("medium", "low"), "Only one source names a day.")
-        .otherwise("No source names a day.")
-    )
+        F.when(confidence == "high", HIGH_TEXT).when(confidence == "medium", F.format_string(MEDIUM_TEXT, caveat(": %s")))
+        .when((confidence == "low") & listed, F.format_string(LOW_BOTH_TEXT, caveat(" (%s)"))).when(confidence == "low", LOW_ONE_TEXT)
+        .when(confidence == "conflicting", CLASH_TEXT).otherwise(UNKNOWN_TEXT)
+    )
 
 
 def display_with_date(display: Column, close: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,16 @@ def snapshot_differences(live: dict[str, DataFrame], restored: dict[str, DataFra
     return out.select("table", "live", "restored", ok.alias("ok"))
 
 
+def newer_than(rows: DataFrame, at: str, target: Column) -> DataFrame:
+    """Rows that a restore to ``target`` must not hold."""
+    return rows.where(F.col(at) > target)
+
+
+def repeated_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """V1: keys that occur more than once where they must be unique (rule ids, hashes of a gold set), with their count."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def dangling(rows: DataFrame, key: str, target: DataFrame, target_key: str) -> DataFrame:
     """V4: rows whose reference has no target; null references are not references."""
     return rows.where(F.col(key).isNotNull()).join(target.select(F.col(target_key).alias(key)).distinct(), key, "left_anti")

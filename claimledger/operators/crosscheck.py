@@ -83,6 +83,11 @@ def histogram(df: DataFrame, column: str, values: Sequence[str] = CATEGORIES) ->
     return wanted.join(df.groupBy(column).agg(F.count("*").alias("n")), column, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
+def first_abstentions(findings: DataFrame, key: str, n: int = 50) -> DataFrame:
+    """The first entities without a verdict of ours, by key."""
+    return findings.where("category = 'we_abstain'").orderBy(key).limit(n)
+
+
 def carry_triage(findings: DataFrame, previous: DataFrame, key: str, allowed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(findings with the earlier triage of the same entity and category, triage rows that found no finding).
 

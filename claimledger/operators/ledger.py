@@ -53,6 +53,16 @@ def new_targets(bridge: DataFrame, observations: DataFrame) -> DataFrame:
     return rows.join(bridge, ["observation_id", "ocd_id"], "left_anti")
 
 
+def ingest(log: DataFrame, bridge: DataFrame, batch: DataFrame, order: Sequence[str] = ("fetched_at", "observation_id")) -> tuple[DataFrame, DataFrame]:
+    """(rows to append to the log, their primary targets to append to the bridge).
+
+    A payload equal to the latest of its document is left out; a document is named by its source's own key.
+    """
+    keyed = lambda df: df.withColumn("_document", document_key())
+    new = changed_payloads(keyed(log), keyed(batch), ["source", "_document"], "payload_hash", order).drop("_document")
+    return new, new_targets(bridge, new)
+
+
 def insert_absent(current: DataFrame, new: DataFrame, keys: Sequence[str], first: str | None = None) -> DataFrame:
     """Rows of ``new`` whose key is not there yet; of several the least ``first`` wins."""
     rows = new

@@ -127,6 +127,12 @@ def stride_sample(df: DataFrame, order: Sequence[str], n: int = 50, total: int |
     return ranks(df, order).where((F.col("rank") - 1) % step == 0).orderBy("rank").limit(n)
 
 
+def with_changes(events: DataFrame, changes: DataFrame, key: str, at: str, kind: str, name: str = "change") -> DataFrame:
+    """Events with the change events (key, at) spliced in; order by ``at`` and ``_spliced``: a change stands before what was seen at its time."""
+    spliced = changes.select(key, at, F.lit(name).alias(kind), F.lit(0).alias("_spliced"))
+    return events.withColumn("_spliced", F.lit(1)).unionByName(spliced, allowMissingColumns=True)
+
+
 def timeline(events: DataFrame, key: str, order: Sequence[str], kind: str, beats: Sequence[str]) -> DataFrame:
     """Per entity its beats (first sighting of a kind, or a kind in ``beats``), runs of routine rows as one row with a count."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimledger.functions import rules as R
 from claimledger.functions import scalars as S
-from claimledger.operators import chain, crosscheck, ledger, metrics, projection, reconcile, serve, verify
+from claimledger.operators import audit, chain, crosscheck, ledger, metrics, projection, reconcile, serve, verify
 from claimledger.plans import jobs
 from claimledger.plans.queries import MID, NOW, STAMP, c, query, table, text
 from claimledger.sources import files
@@ -654,3 +654,71 @@ def l1(spark, sf):
     log = _log(spark, sf).join(flags, "observation_id")
     out = chain.chain_candidates(log, reconcile.reconcile_log(log, S.instant(NOW)))
     return out.select("ocd_id", "fr_observation_id", "fr_document_number", F.array_join("rins", ",").alias("rins"), "is_extension")
+
+
+# ---- texts, timelines and audits ------------------------------------------------------------------
+
+
+@query("f18_hints", """
+SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'likely PRA/info-collection extension (not a docket comment deadline)' WHEN 1 THEN 'likely land-withdrawal FP (not a comment deadline)'
+  WHEN 2 THEN 'likely approval/application withdrawal (not a comment deadline)' WHEN 3 THEN 'withdrawal — confirm it touches a comment period' WHEN 4 THEN 'likely editorial/technical correction' ELSE '' END AS hint FROM part""")
+def f18(spark, sf):
+    k = c("p_partkey") % 7
+    title = F.concat("p_name", F.when(k == 0, ": Information Collection; extension").when(k == 1, " withdraws 40 acres").when(k == 2, ": withdrawal of approval").when(k == 3, " withdrawn").when(k == 4, ": Correction").when(k == 5, ": Information Collection; extension of comment period").otherwise(": correction of the deadline"))
+    return table(spark, sf, "part").select("p_partkey", S.false_positive_hint(title, S.keywords_in(title, ["extension", "withdraw", "correction"])).alias("hint"))
+
+
+@query("f28_explanations", f"""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '{S.HIGH_TEXT}' WHEN 1 THEN replace('{S.MEDIUM_TEXT}', '%s', CASE WHEN o_custkey % 2 = 0 THEN ': a, b' ELSE '' END)
+  WHEN 2 THEN CASE WHEN o_custkey % 3 = 0 THEN '{S.LOW_ONE_TEXT}' ELSE replace('{S.LOW_BOTH_TEXT.replace("'", "''")}', '%s', CASE WHEN o_custkey % 2 = 0 THEN ' (a, b)' ELSE '' END) END
+  WHEN 3 THEN '{S.CLASH_TEXT}' ELSE '{S.UNKNOWN_TEXT}' END AS said FROM orders""")
+def f28(spark, sf):
+    k, m = c("o_orderkey") % 6, c("o_custkey")
+    confidence = F.when(k == 0, "high").when(k == 1, "medium").when(k == 2, "low").when(k == 3, "conflicting").when(k == 4, "unknown")
+    flags = F.when(m % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "orders").select("o_orderkey", S.confidence_text(confidence, flags, F.when(m % 3 != 0, "R")).alias("said"))
+
+
+def _documents_of(events):
+    return events.select(
+        k_text("event_id").alias("observation_id"), F.when(c("user_id") % 2 == 0, reconcile.STATUS).otherwise(reconcile.PRIMARY).alias("source"), k_text("user_id").alias("ocd_id"), c("ts").alias("fetched_at"),
+        F.when(c("user_id") % 2 == 0, k_text("user_id")).alias("regs_document_id"), F.when(c("user_id") % 3 != 0, k_text("user_id")).alias("fr_document_number"), F.floor(c("value") / 100).cast("string").alias("payload_hash"))
+
+
+@query("s8_ingest", f"""
+WITH e AS (SELECT event_id, user_id, ts, CASE WHEN user_id % 2 = 0 OR user_id % 3 <> 0 THEN user_id END AS d, floor(value / 100) AS h FROM events),
+l AS (SELECT *, row_number() OVER w AS n, lag(h) OVER w AS p FROM e WHERE d IS NOT NULL WINDOW w AS (PARTITION BY d ORDER BY ts, CAST(event_id AS VARCHAR)))
+SELECT CAST(event_id AS VARCHAR) AS observation_id, CAST(user_id AS VARCHAR) AS ocd_id FROM l WHERE ts >= TIMESTAMP '{MID}' AND (n = 1 OR h <> p)
+UNION ALL SELECT CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR) FROM e WHERE d IS NULL AND ts >= TIMESTAMP '{MID}'""")
+def s8(spark, sf):
+    ev = table(spark, sf, "events")
+    log, batch = _documents_of(ev.where(c("ts") < S.instant(MID))), _documents_of(ev.where(c("ts") >= S.instant(MID)))
+    return ledger.ingest(log, log.select("observation_id", "ocd_id"), batch)[1]
+
+
+@query("a20_newer", f"SELECT event_id FROM events WHERE ts > TIMESTAMP '{MID}'")
+def a20_newer(spark, sf):
+    return audit.newer_than(table(spark, sf, "events").select("event_id", "ts"), "ts", S.instant(MID)).select("event_id")
+
+
+@query("v1_repeated", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def v1_repeated(spark, sf):
+    return audit.repeated_keys(table(spark, sf, "orders"), ["o_custkey"])
+
+
+@query("w9_changes", f"""
+WITH e AS (SELECT user_id, ts, event_id, event_type, 1 AS s FROM events UNION ALL SELECT DISTINCT user_id, TIMESTAMP '{MID}', NULL, 'change', 0 FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, s, event_id NULLS FIRST) AS n, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, s, event_id NULLS FIRST) = 1 OR event_type = 'change' AS beat FROM e),
+i AS (SELECT *, CASE WHEN beat THEN n ELSE -sum(CAST(beat AS INTEGER)) OVER (PARTITION BY user_id ORDER BY n) END AS island FROM r),
+g AS (SELECT user_id, beat, island, min(n) AS first_n, count(*) AS n_rows, arg_min(event_type, n) AS kind FROM i GROUP BY 1, 2, 3)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_n) AS INTEGER) AS position, CASE WHEN beat THEN kind ELSE 'routine' END AS event, n_rows FROM g""")
+def w9_changes(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", c("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    changes = ev.select("user_id", S.instant(MID).alias("ts")).distinct()
+    return serve.timeline(serve.with_changes(ev, changes, "user_id", "ts", "event_type"), "user_id", ["ts", "_spliced", "event_id"], "event_type", ["change"])
+
+
+@query("x4_abstentions", "SELECT o_orderkey FROM orders WHERE o_custkey % 9 = 0 ORDER BY o_orderkey LIMIT 50")
+def x4(spark, sf):
+    found = table(spark, sf, "orders").select("o_orderkey", F.when(c("o_custkey") % 9 == 0, "we_abstain").otherwise("agree").alias("category"))
+    return crosscheck.first_abstentions(found, "o_orderkey").select("o_orderkey")
