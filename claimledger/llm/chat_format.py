@@ -28,14 +28,15 @@ def turn_hash(salt: int) -> Column:
     return F.xxhash64(F.lit(salt), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
 
 
-def light_turns(turns: DataFrame) -> DataFrame:
+def light_turns(turns: DataFrame, folder: str) -> DataFrame:
     """conv_id, turn, h1, h2, tie: distinct turns by two hashes of role and text, and the rank among turns of one number.
 
     Texts stay where they are, but for those of turns that share a number: their order decides the rank.
+    The shared numbers are stored first, so Spark knows their size and moves no texts to few or none of them.
     """
     all_ = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", turn_hash(1).alias("h1"), turn_hash(2).alias("h2"))
-    light = all_.select("conv_id", "turn", "h1", "h2").distinct()
-    several = light.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "turn")
+    light = store(all_.select("conv_id", "turn", "h1", "h2").distinct(), folder, "distinct")
+    several = store(light.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "turn"), folder, "several")
     order = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     ranked = all_.join(several, ["conv_id", "turn"], "left_semi").distinct().select("conv_id", "turn", "h1", "h2", F.row_number().over(order).alias("tie"))
     return light.join(ranked, ["conv_id", "turn", "h1", "h2"], "left").withColumn("tie", F.coalesce("tie", F.lit(1)))
@@ -98,7 +99,7 @@ def render(turns: DataFrame, places: DataFrame, kept: DataFrame) -> DataFrame:
 
 def format_conversations(turns: DataFrame, block: int = 1000) -> DataFrame:
     folder = work_dir(turns.sparkSession)
-    places = store(prefix_hashes(store(light_turns(turns), folder, "turns"), block), folder, "hashes")
+    places = store(prefix_hashes(store(light_turns(turns, folder), folder, "turns"), block), folder, "hashes")
     return render(turns, places, maximal_conversations(places))
 
 
