@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +47,14 @@ def changed_payloads(log: DataFrame | None, batch: DataFrame, keys: Sequence[str
     return rows.where(~F.col(hash_col).eqNullSafe(F.col("_prev"))).select(*batch.columns).unionByName(apart)
 
 
+def latest_heads(heads: DataFrame, batch: DataFrame, keys: Sequence[str], hash_col: str, order: Sequence[str]) -> DataFrame:
+    """Latest hash per key of a log and a batch: what ``changed_payloads`` has to know of a log.  Null keys have none."""
+    cols = [*keys, hash_col, *order]
+    both = heads.select(*cols).unionByName(batch.select(*cols))
+    known = both.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    return known.groupBy(*keys).agg(F.max_by(F.struct(hash_col, *order), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
 def new_targets(bridge: DataFrame, observations: DataFrame) -> DataFrame:
     """(observation_id, ocd_id) rows that the bridge lacks."""
     rows = observations.select("observation_id", "ocd_id").where("ocd_id IS NOT NULL").dropDuplicates()

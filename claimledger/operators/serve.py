@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimledger.operators.steps import stored
+from claimledger.operators.steps import pinned
 
 MOST_ROWS, USUAL_ROWS = 200, 50
 
@@ -113,7 +113,7 @@ def ranks(df: DataFrame, order: Sequence[str], partitions: int | None = None) ->
     ranges belong to one deal (two plans of a deal can sample other bounds).
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    dealt = pinned(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row per partition
     inside = Window.partitionBy("_part").orderBy(*order)

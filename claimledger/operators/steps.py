@@ -1,25 +1,68 @@
-"""Rows that are made once and read several times: written to the cluster's shared checkpoint folder."""
+"""Rows that are made once and read several times: written to the cluster's shared folder, removed when their job is over."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+#: Folders that the jobs under way have written, the innermost job's last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.  Only a local session may lack the setting; it then gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="claimledger-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and written to the folder in ``spark.checkpoint.dir``.
+    """The rows of ``df``, computed once and written as Parquet to the shared folder.
 
-    What reads the result never runs ``df``'s plan again, so rows of a provider, or rows dealt into
-    partitions, are the same for all readers.  Only a local session may lack the setting.
+    What reads the result never runs ``df``'s plan again and reads only the columns that it needs, so rows of a
+    provider are the same for all readers.  Inside a ``scope`` the files go when the scope ends, else they stay.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored`` rows, and aggregates over them that were taken while they were written."""
+    seen = Observation()
+    rows = stored(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]))
+    return rows, dict(seen.get)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Rows computed once that keep their partitions: a reliable checkpoint, for what depends on how rows are dealt."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="claimledger-")
-        context.setCheckpointDir(base)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes what is stored inside it when it ends; results read later must have been written elsewhere by then."""
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for folder in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

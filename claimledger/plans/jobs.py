@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
-from claimledger.operators import chain, crosscheck, ledger, projection, reconcile, steps
+from claimledger.operators import chain, crosscheck, ledger, projection, reconcile, steps, verify
 from claimledger.sources import files
+from claimledger.sources.tables import Kind, Tables
 
 
 def open_set(docs: DataFrame, close_day: str, now: Column) -> DataFrame:
@@ -80,48 +81,130 @@ def primary_cycle(found: DataFrame, log: DataFrame, dead: DataFrame, key: str =
 
 
 STATUS_KEY = ["source", "regs_document_id"]
+ORDER = ["fetched_at", "observation_id"]
 
 
-def status_cycle(state: dict[str, DataFrame], feed: DataFrame, details: DataFrame, now: Column, version: str, threshold: int = 5) -> tuple[dict[str, DataFrame], DataFrame]:
-    """One cycle of the status source: (state after it, one-row summary).
+def due_since(cursors: DataFrame, source: str, now: Column, hours: int = 48) -> DataFrame:
+    """One row (since): the source's cursor, or ``hours`` before ``now`` where it has none yet."""
+    own = cursors.where(F.col("source") == source).agg(F.max("cursor_last_modified").alias("cursor"))
+    return own.select(F.coalesce("cursor", now - F.make_interval(hours=F.lit(hours))).alias("since"))
 
-    ``state`` holds log, projection, conflicts, cursors, stamps and failures.  ``feed`` (id, date, seq)
-    lists what changed, ``details`` (id, raw, fetched_at, error) is what fetching the documents gave.  Dead
-    letters are not looked at; a document without details, with an error, or whose details can't be read has
-    failed.  All that succeeded are reconciled, stamped and cleared, whether their payload is new or not;
-    the cursor stops before the first failure.
+
+def status_read(failures: DataFrame, feed: DataFrame, details: DataFrame, version: str) -> dict:
+    """The reading half of a status cycle: ``live`` rows, observations ``read``, ``ok`` ids, ``failed`` (id, error), and ``counts``.
+
+    Only the dead letters of ``failures`` are looked at.
     """
-    rows = ledger.keep_latest(feed, "id", "date", "seq")
-    dead = dead_keys(state["failures"], reconcile.STATUS).select(F.col("document_key").alias("id"))
-    live = steps.stored(rows.join(dead, "id", "left_anti").join(details.select("id", "raw", "fetched_at", F.col("error").alias("fetch_error")), "id", "left"))
-    read, rejects = files.status_observations(live.where("raw IS NOT NULL AND fetch_error IS NULL").select("id", "raw", "fetched_at"), version)
-    read = read.withColumn("observation_id", F.sha2(F.concat_ws("|", "source", "regs_document_id", "payload_hash", F.col("fetched_at").cast("string")), 256)).drop("id")
-    read = steps.stored(read)
+    dead = dead_keys(failures, reconcile.STATUS).select(F.col("document_key").alias("id"), F.lit(True).alias("dead"))
+    got = details.select("id", "raw", "fetched_at", F.col("error").alias("fetch_error"))
+    rows = ledger.keep_latest(feed, "id", "date", "seq").join(dead, "id", "left").join(got, "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
+    listed, counts = steps.counted(rows, listed=F.count("*"), skipped_dead=F.count_if("dead"))
+    live = listed.where("NOT dead").drop("dead")
+    good, rejects = files.status_observations(live.where("raw IS NOT NULL AND fetch_error IS NULL").select("id", "raw", "fetched_at"), version)
+    named = good.withColumn("observation_id", F.sha2(F.concat_ws("|", "source", "regs_document_id", "payload_hash", F.col("fetched_at").cast("string")), 256)).drop("id")
+    read, n_read = steps.counted(named, read=F.count("*"))
     ok = read.select(F.col("regs_document_id").alias("id")).distinct()
     unread = live.where("raw IS NULL OR fetch_error IS NOT NULL").select("id", F.coalesce("fetch_error", F.lit("no details")).alias("error"))
-    failed = unread.unionByName(rejects.select("id", "error")).dropDuplicates(["id"]).join(ok, "id", "left_anti")
-    named = lambda df: df.withColumn("source", F.lit(reconcile.STATUS)).withColumnRenamed("id", "document_key")
+    failed, n_failed = steps.counted(unread.unionByName(rejects.select("id", "error")).dropDuplicates(["id"]).join(ok, "id", "left_anti"), failed=F.count("*"))
+    return {"live": live, "read": read, "ok": ok, "failed": failed, "counts": counts | n_read | n_failed}
+
 
-    new = steps.stored(ledger.changed_payloads(state["log"], read, STATUS_KEY, "payload_hash", ["fetched_at", "observation_id"]))
+def status_merge(state: dict[str, DataFrame], seen: dict, now: Column, threshold: int = 5) -> tuple[dict[str, DataFrame], dict]:
+    """The writing half: (tables after the cycle and ``broken`` rows, counts).
+
+    ``state`` holds projection, conflicts, cursors, stamps, failures, the log of at least the entities read, and may hold
+    ``heads`` (latest hash per document), else the log is asked for them.  A row of the projection that breaks an invariant
+    (R13) is not merged, nor its conflict; it comes back in ``broken``.
+    """
+    named = lambda df: df.withColumn("source", F.lit(reconcile.STATUS)).withColumnRenamed("id", "document_key")
+    live, read, ok, failed = (seen[k] for k in ("live", "read", "ok", "failed"))
+    new, n_new = steps.counted(ledger.changed_payloads(state.get("heads", state["log"]), read, STATUS_KEY, "payload_hash", ORDER), ingested=F.count("*"))
     log = state["log"].unionByName(new)
     touched = read.select("ocd_id").distinct()
     derived = steps.stored(reconcile.reconcile_log(log.join(touched, "ocd_id", "left_semi"), now))
+    sound, broken = reconcile.checked(derived)
     cleared, recovered = projection.clear_failures(state["failures"], named(ok))
-    failures = steps.stored(projection.merge_failures(cleared, named(failed), now, threshold))
-    prefix = projection.success_prefix(live.join(failed.select("id", F.lit(True).alias("failed")), "id", "left").withColumn("failed", F.coalesce("failed", F.lit(False))), "date", "id", "failed")
+    recovered, n_recovered = steps.counted(recovered, recovered=F.count("*"))
+    failures, n_dead = steps.counted(projection.merge_failures(cleared, named(failed), now, threshold), dead_lettered=F.count_if("newly_dead"))
+    prefix = steps.stored(projection.success_prefix(live.join(failed.select("id", F.lit(True).alias("failed")), "id", "left").withColumn("failed", F.coalesce("failed", F.lit(False))), "date", "id", "failed"))
     moved = prefix.select(F.lit(reconcile.STATUS).alias("source"), F.try_to_timestamp("cursor").alias("cursor_last_modified"))
+    merged = projection.merge_conflicts(state["conflicts"], reconcile.conflict_rows(sound, now), now, "cross_source", sound.select("ocd_id"))
     after = {
-        "log": log, "projection": projection.merge_projection(state["projection"], derived.drop("version"), now),
-        "conflicts": projection.merge_conflicts(state["conflicts"], reconcile.conflict_rows(derived, now), now, "cross_source", touched),
+        "log": log, "new": new, "projection": projection.merge_projection(state["projection"], sound.drop("version"), now), "conflicts": merged, "broken": broken,
         "cursors": projection.merge_cursor(state["cursors"], moved, now), "stamps": projection.merge_stamps(state["stamps"], read.select("regs_document_id", now.alias("last_checked_at"))),
         "failures": failures.drop("newly_dead"),
     }
-    counts = (
-        rows.agg(F.count("*").alias("listed")), live.agg(F.count("*").alias("live")), new.agg(F.count("*").alias("ingested")), read.agg(F.count("*").alias("read")), failed.agg(F.count("*").alias("failed")),
-        failures.agg(F.count_if("newly_dead").alias("dead_lettered")), recovered.agg(F.count("*").alias("recovered")), prefix.select("cursor"),
-    )
-    summary = reduce(DataFrame.crossJoin, counts).withColumn("deduped", F.col("read") - F.col("ingested")).withColumn("skipped_dead", F.col("listed") - F.col("live"))  # one row each
-    return after, summary.drop("read", "live")
+    if "heads" in state:
+        after["heads"] = ledger.latest_heads(state["heads"], read, STATUS_KEY, "payload_hash", ORDER)
+    return after, seen["counts"] | n_new | n_recovered | n_dead | {"cursor": prefix.first()["cursor"]}
+
+
+def status_cycle(state: dict[str, DataFrame], feed: DataFrame, details: DataFrame, now: Column, version: str, threshold: int = 5) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One cycle of the status source: (state after it, one-row summary).
+
+    ``state`` holds log, projection, conflicts, cursors, stamps and failures.  ``feed`` (id, date, seq)
+    lists what changed, ``details`` (id, raw, fetched_at, error) is what fetching the documents gave.  Dead
+    letters are not looked at; a document without details, with an error, or whose details can't be read has
+    failed.  All that succeeded are reconciled, stamped and cleared, whether their payload is new or not;
+    the cursor stops before the first failure.  The summary is counted while the rows are written (A18, M8).
+    """
+    seen = status_read(state["failures"], feed, details, version)
+    after, counts = status_merge(state, seen, now, threshold)
+    return after, status_summary(feed.sparkSession, counts)
+
+
+def status_summary(spark, counts: dict) -> DataFrame:
+    """The cycle's counts as one row."""
+    names = ("listed", "ingested", "failed", "dead_lettered", "recovered", "deduped", "skipped_dead")
+    row = counts | {"deduped": counts["read"] - counts["ingested"]}
+    return spark.createDataFrame([(*[row[n] for n in names], row["cursor"])], ", ".join(f"{n} long" for n in names) + ", cursor string")
+
+
+LOG = "ocd_id string, observation_id string, source string, fr_document_number string, regs_document_id string, regs_object_id string, payload_hash string, fetched_at timestamp, parser_version string, raw_dates_text string, is_extension boolean, is_correction boolean, is_withdrawal boolean, is_reopening boolean, raw string"
+FAILURES = "source string, document_key string, attempts int, first_failed_at timestamp, last_failed_at timestamp, last_error string, dead_lettered_at timestamp, last_retry_at timestamp"
+CONFLICTS = "ocd_id string, observation_a_id string, observation_b_id string, source_a string, source_b string, conflict_flags array<string>, govinfo_url string, detected_at timestamp, resolved_at timestamp, conflict_scope string, ocd_id_b string, govinfo_url_b string"
+
+
+def status_tables(spark) -> dict[str, Kind]:
+    """The tables of the status source's cycle, each with the key that deals it into buckets."""
+    empty = reconcile.reconcile_log(spark.createDataFrame([], LOG), S.instant("2000-01-01 00:00:00")).drop("version")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in empty.schema)
+    return {
+        "log": Kind(LOG, "ocd_id", append=True), "heads": Kind("source string, regs_document_id string, payload_hash string, fetched_at timestamp, observation_id string", "regs_document_id"),
+        "projection": Kind(f"{columns}, version int, change_history {projection.HISTORY}", "ocd_id"), "conflicts": Kind(CONFLICTS, "ocd_id"), "broken": Kind(f"{columns}, version int, violations array<string>", "ocd_id", append=True),
+        "cursors": Kind("source string, cursor_last_modified timestamp, last_polled_at timestamp", "source"), "stamps": Kind("regs_document_id string, last_checked_at timestamp", "regs_document_id"), "failures": Kind(FAILURES, "document_key"),
+    }
+
+
+def status_step(tables: Tables, fetch: Callable[[DataFrame], DataFrame], version: str, now: Callable[[int], Column], threshold: int = 5) -> Callable[[DataFrame, int], None]:
+    """I1 for ``foreachBatch``: a micro-batch of feed rows (id, date, seq) is one cycle and one epoch of ``tables``.
+
+    ``fetch`` gives the details (id, raw, fetched_at, error) of rows (id).  Log, heads, projection, conflicts, cursors, stamps and
+    failures move together or not at all, and an epoch that is complete is not run again.  Only the buckets that the
+    batch's documents and entities fall into are read and written.
+    """
+
+    def step(feed: DataFrame, epoch: int) -> None:
+        if epoch in tables.epochs():
+            return
+        spark = feed.sparkSession
+        with steps.scope(spark):
+            old = tables.manifest(epoch)
+            feed = steps.stored(feed.select("id", "date", "seq"))
+            ids = feed.select("id").where("id <> ''").distinct()
+            documents = tables.buckets_of(ids, "id")
+            failures = tables.read("failures", documents, old)
+            asked = ids.join(dead_keys(failures, reconcile.STATUS).select(F.col("document_key").alias("id")), "id", "left_anti")
+            seen = status_read(failures, feed, steps.stored(fetch(asked).select("id", "raw", "fetched_at", "error")), version)
+            entities = tables.buckets_of(seen["read"], "ocd_id")
+            # a payload may name another document than the one that was asked for
+            documents = sorted({*documents, *tables.buckets_of(seen["read"], "regs_document_id")})
+            state = {n: tables.read(n, documents, old) for n in ("heads", "stamps", "failures")} | {n: tables.read(n, entities, old) for n in ("log", "projection", "conflicts")} | {"cursors": tables.read("cursors", None, old)}
+            after, counts = status_merge(state, seen, now(epoch), threshold)
+            changes = {n: (after[n], documents) for n in ("heads", "stamps", "failures")} | {n: (after[n], entities) for n in ("projection", "conflicts", "broken")} | {"log": (after["new"], entities), "cursors": (after["cursors"], None)}
+            tables.commit(epoch, changes, counts)
+
+    return step
 
 
 def repoll_batch(eligible: DataFrame, budget: int | None = 200, key: str = "regs_document_id") -> tuple[DataFrame, DataFrame]:
@@ -143,13 +226,23 @@ def evaluate(gold: DataFrame, predictions: DataFrame, threshold: float = 0.85) -
     return one.crossJoin(total).withColumn("gate", F.try_divide(F.col("tp") + F.col("tn"), F.col("n_gold"))).withColumn("passed", F.coalesce(F.col("gate") >= threshold, F.lit(False)))
 
 
-def regression_fixtures(records: DataFrame, watches: DataFrame, windows: DataFrame, since: DataFrame) -> DataFrame:
-    """One nested document {meta, input, expected} for each accuracy record."""
+def regression_fixtures(records: DataFrame, watches: DataFrame, windows: DataFrame, since: DataFrame, stamps: DataFrame | None = None) -> DataFrame:
+    """One nested document {meta, input, expected} for each accuracy record.
+
+    ``meta`` holds the window's documents, its confidence and display at the close and, given ``stamps``, the last re-check.
+    """
     key = ["ocd_id", "window_version"]
-    j = records.join(watches.select(*key, "snapshotted_at"), key, "left").join(windows.select("ocd_id", "resolved_close_utc", "status"), "ocd_id", "left").join(since, key, "left")
+    own = windows.select("ocd_id", "resolved_close_utc", "status", *[c for c in ("fr_document_number", "regs_document_id") if c in windows.columns])
+    j = records.join(watches.select(*key, "snapshotted_at"), key, "left").join(own, "ocd_id", "left").join(since, key, "left")
+    if stamps is not None:
+        j = j.join(stamps.select("regs_document_id", "last_checked_at"), "regs_document_id", "left")
+    meta = [c for c in (*key, "fr_document_number", "regs_document_id", "confidence_at_close", "published_close_display", "snapshotted_at", "last_checked_at") if c in j.columns]
     return j.select(
-        F.struct(*key, "snapshotted_at").alias("meta"),
-        F.struct(F.col("published_close_utc").alias("publishedCloseUtc"), F.col("resolved_close_utc").alias("currentCloseUtc"), F.col("status").alias("currentStatus"), F.col("since").alias("observationsSinceClose")).alias("input"),
+        F.struct(*meta).alias("meta"),
+        F.struct(
+            F.col("published_close_utc").alias("publishedCloseUtc"), F.col("resolved_close_utc").alias("currentCloseUtc"), F.col("status").alias("currentStatus"), F.coalesce("since", F.array().cast(verify.SINCE)).alias("observationsSinceClose"),
+            F.col("basis").eqNullSafe("unverified_lapsed").alias("lapsed"),
+        ).alias("input"),
         F.struct("was_correct", "basis", "contradicting_observation_ids").alias("expected"),
     )
 

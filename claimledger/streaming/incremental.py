@@ -1,4 +1,4 @@
-"""Incremental cycles (I1-I4, I9, I10): the batch operators inside ``foreachBatch``.
+"""Incremental cycles (I1, I9, I10): the batch operators inside ``foreachBatch``; ``keyed`` has the forms with keyed state.
 
 State is kept as Parquet snapshots: a batch reads the snapshot its pointer names, writes a new one
 and moves the pointer last, so a batch that is run again after a failure gives the same state.
@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimledger.operators.ledger import changed_payloads, keep_latest
+from claimledger.operators.ledger import changed_payloads, keep_latest, latest_heads
 from claimledger.operators.projection import clear_failures, merge_cursor, merge_failures, success_prefix
 
 
@@ -59,10 +59,7 @@ def ingest_step(spark: SparkSession, log_path: str, heads: Snapshots, keys: Sequ
         head = heads.before(number)
         new = changed_payloads(head, batch, keys, hash_col, order)
         new.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        cols = [*keys, hash_col, *order]
-        both = head.select(*cols).unionByName(batch.select(*cols))
-        newest = both.groupBy(*keys).agg(F.max_by(F.struct(hash_col, *order), F.struct(*order)).alias("r")).select(*keys, "r.*")
-        heads.write(number, newest.select(*cols))
+        heads.write(number, latest_heads(head, batch, keys, hash_col, order))
 
     return step
 
@@ -93,8 +90,3 @@ def feed_cycle(cursors: DataFrame, feed: DataFrame, outcome: DataFrame, source:
     moved = prefix.select(F.lit(source).alias("source"), F.try_to_timestamp("cursor").alias("cursor_last_modified"))
     summary = rows.agg(F.count("*").alias("listed"), F.count_if("failed").alias("failed"), F.count_if(~F.col("failed")).alias("ingested"))
     return merge_cursor(cursors, moved, now), summary
-
-
-def once_within(stream: DataFrame, at: str, keys: Sequence[str], overlap: str = "6 hours") -> DataFrame:
-    """At-least-once feed to once per key, with a watermark; keeps the first row, A1 keeps the latest."""
-    return stream.withWatermark(at, overlap).dropDuplicatesWithinWatermark(list(keys))
