@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
 from claimledger.functions.rules import is_denied
+from claimledger.operators.ledger import insert_absent, latest_by
 from claimledger.operators.projection import merge_conflicts
-from claimledger.operators.reconcile import extract_primary, latest_claims
-from claimledger.operators.steps import stored
+from claimledger.operators.reconcile import PRIMARY, broken_invariants, extract_primary
+from claimledger.operators.steps import counted, stored
 
 #: The verdicts an adjudicator can give.
 CLASSES = ("affirm", "reject", "uncertain")
@@ -25,47 +26,97 @@ def shares_any(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(full(a), full(b)), F.lit(False))
 
 
+FLAGS = ("is_extension", "is_correction", "is_withdrawal", "is_reopening")
+#: Longest stretch of days that is one key of the interval join: 2**LEVELS.
+LEVELS = 12
+
+
+def _node(level: int, place: Column) -> Column:
+    """A stretch of 2**level days as one number."""
+    return F.lit(level * (1 << 40)) + place.cast("long")
+
+
+def interval_nodes(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """The days ``first`` to ``last`` (numbers) as few aligned stretches of 2**level days; empty if last < first.
+
+    Each day inside is in exactly one stretch, so what a day's own stretches (``day_nodes``) meet on these keys it meets once.
+    """
+    floor = lambda x, k: F.floor(x / (1 << k)).cast("long")
+    out = []
+    for k in range(levels):
+        lo, hi = floor(first + ((1 << k) - 1), k), floor(last + 1, k)  # stretches lo .. hi - 1 lie inside
+        out += [F.when((lo < hi) & (F.pmod(lo, F.lit(2)) == 1), _node(k, lo)), F.when((lo < hi) & (F.pmod(hi, F.lit(2)) == 1), _node(k, hi - 1))]
+    lo, hi = floor(first + ((1 << levels) - 1), levels), floor(last + 1, levels)
+    widest = F.when(lo < hi, F.transform(F.sequence(lo, F.greatest(lo, hi - 1)), lambda p: _node(levels, p))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.array_compact(F.array(*out)), widest)
+
+
+def day_nodes(day: Column, levels: int = LEVELS) -> Column:
+    """The aligned stretches that hold a day, one of each level."""
+    return F.array(*[_node(k, F.floor(day / (1 << k))) for k in range(levels + 1)])
+
+
 def chain_pairs(candidates: DataFrame, recency_days: int = 60) -> DataFrame:
     """(a, b) structs of original and later amendment on a shared docket, and ``confident``.
 
-    ``candidates`` has one row per entity.  Amendments are few, so they are filtered before dockets are
-    exploded; the join is on the docket with the range as residual, so a docket of any size is split by
-    the skew handling of the join.  Only ids, days and the close meet there, pairs that meet on several
+    ``candidates`` has one row per entity.  An original is in reach of the amendments from the day after its publication to
+    ``recency_days`` after its close, or for ever while it is open.  That is an interval join on (docket, stretch of days): an
+    original goes to the few stretches that its days are made of, an amendment to those that hold its day, so a docket of any size makes
+    the pairs in reach only.  Ids and days alone meet there, pairs that meet on several
     dockets become one, and the attributes are joined to the pairs that are left.
     """
     c = candidates.withColumn("_day", F.try_to_date("publication_date", "yyyy-MM-dd"))
     flagged = F.col("is_extension") | F.col("is_correction") | F.col("is_withdrawal") | F.col("is_reopening")
-    keys = ["ocd_id", "fr_observation_id", "fr_document_number", "rins", "_day", "dates_text", "status", "resolved_close_utc", *[f"is_{f}" for f in ("extension", "correction", "withdrawal", "reopening")], "govinfo_url"]
-    slim = lambda rows: rows.select("ocd_id", "fr_observation_id", "_day", (F.col("status") == "open").alias("_open"), F.to_date("resolved_close_utc").alias("_close"), F.explode(F.array_distinct("docket_ids")).alias("_docket")).where("_docket <> ''")
+    keys = ["ocd_id", "fr_observation_id", "fr_document_number", "rins", "_day", "title", "publication_date", "dates_text", "status", "resolved_close_utc", *FLAGS, "govinfo_url"]
     dated = c.where(F.col("_day").isNotNull())
-    a, b = slim(dated).alias("a"), slim(dated.where(flagged & ~is_denied(F.col("title"), F.col("dates_text")))).drop("_open", "_close").alias("b")
-    later = (F.col("b._day") > F.col("a._day")) & (F.col("a.ocd_id") != F.col("b.ocd_id")) & (F.col("a.fr_observation_id") != F.col("b.fr_observation_id"))
-    near = F.col("a._open") | (F.col("a._close") >= F.date_sub(F.col("b._day"), recency_days))
-    met = a.join(b, F.col("a._docket") == F.col("b._docket")).where(later & F.coalesce(near, F.lit(False)))
+    number = F.unix_date("_day")
+    until = F.when(F.col("status") == "open", F.lit(1 << 16)).otherwise(F.unix_date(F.to_date("resolved_close_utc")) + recency_days)
+    on_dockets = lambda rows, nodes: (
+        rows.select("ocd_id", "fr_observation_id", nodes.alias("_nodes"), F.explode(F.array_distinct("docket_ids")).alias("_docket"))
+        .where("_docket <> ''").select("ocd_id", "fr_observation_id", "_docket", F.explode("_nodes").alias("_node"))
+    )
+    a = on_dockets(dated.where(until.isNotNull()), interval_nodes(number + 1, until)).alias("a")
+    b = on_dockets(dated.where(flagged & ~is_denied(F.col("title"), F.col("dates_text"))), day_nodes(number)).alias("b")
+    other = (F.col("a.ocd_id") != F.col("b.ocd_id")) & (F.col("a.fr_observation_id") != F.col("b.fr_observation_id"))
+    met = a.join(b, (F.col("a._docket") == F.col("b._docket")) & (F.col("a._node") == F.col("b._node"))).where(other)
     ids = met.select(F.col("a.ocd_id").alias("ocd_id"), F.col("b.ocd_id").alias("ocd_id_b")).distinct()
     whole = lambda name, key: dated.select(F.col("ocd_id").alias(key), F.struct(*keys).alias(name))
     once = ids.join(whole("a", "ocd_id"), "ocd_id").join(whole("b", "ocd_id_b"), "ocd_id_b").select("ocd_id", "ocd_id_b", "a", "b")
-    explicit = S.references(F.col("b.dates_text"), F.coalesce("a.fr_document_number", F.lit("")))
-    return once.withColumn("confident", shares_any(F.col("a.rins"), F.col("b.rins")) | explicit)
+    return once.withColumn("confident", shares_any(F.col("a.rins"), F.col("b.rins")) | explicit_reference())
+
+
+def explicit_reference() -> Column:
+    """The amendment's dates text names the original."""
+    return S.references(F.col("b.dates_text"), F.coalesce("a.fr_document_number", F.lit("")))
 
 
 def chain_candidates(log: DataFrame, projection: DataFrame) -> DataFrame:
-    """L1: one candidate for every entity with a primary observation, its fields from the latest raw document."""
-    flags = ["is_extension", "is_correction", "is_withdrawal", "is_reopening"]
-    newest = latest_claims(log, fields=["observation_id", "raw", *flags]).where("a IS NOT NULL")
-    x = newest.select("ocd_id", "a", F.struct(*[v.alias(k) for k, v in extract_primary(F.col("a.raw")).items()]).alias("x"))
-    rows = x.join(projection.select("ocd_id", "status", "resolved_close_utc", "govinfo_url"), "ocd_id")
+    """One candidate for every entity with a primary observation, its fields from the latest raw document.
+
+    Of equal times the greatest observation id is the latest; a row without a time is the oldest.  Fields are read before
+    the aggregate, so raw documents don't move.
+    """
+    named = ("document_number", "docket_ids", "rins", "title", "publication_date", "dates_text")
+    x = extract_primary(F.col("raw"))
+    slim = log.where((F.col("source") == PRIMARY) & F.col("ocd_id").isNotNull()).select("ocd_id", "observation_id", "fetched_at", *FLAGS, *[x[n].alias(n) for n in named])
+    newest = latest_by(slim, ["ocd_id"], F.struct("fetched_at", "observation_id"))
+    rows = newest.join(projection.select("ocd_id", "status", "resolved_close_utc", "govinfo_url"), "ocd_id")
     return rows.select(
-        "ocd_id", F.col("a.observation_id").alias("fr_observation_id"), F.col("x.document_number").alias("fr_document_number"), F.col("x.docket_ids").alias("docket_ids"), F.col("x.rins").alias("rins"),
-        *[F.coalesce(f"a.{f}", F.lit(False)).alias(f) for f in flags], F.col("x.title").alias("title"), F.col("x.publication_date").alias("publication_date"), "govinfo_url",
-        F.col("x.dates_text").alias("dates_text"), "status", "resolved_close_utc",
+        "ocd_id", F.col("observation_id").alias("fr_observation_id"), F.col("document_number").alias("fr_document_number"), "docket_ids", "rins",
+        *[F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS], "title", "publication_date", "govinfo_url", "dates_text", "status", "resolved_close_utc",
     )
 
 
-def adjudication_input(pairs: DataFrame) -> DataFrame:
-    """Adds ``content_hash``, a hash of what the adjudicator gets to see of both notices."""
-    seen = ("fr_document_number", "rins", "dates_text", *[f"is_{f}" for f in ("extension", "correction", "withdrawal", "reopening")])
-    return pairs.withColumn("content_hash", F.sha2(F.to_json(F.struct(*[F.struct(*[F.col(f"{s}.{c}") for c in seen]).alias(s) for s in ("a", "b")])), 256))
+def adjudication_input(pairs: DataFrame, rulebook: str = "1") -> DataFrame:
+    """Adds ``input``, all that the adjudicator gets to see of a pair, and its hash ``content_hash`` (F2).
+
+    Titles, dates texts, publication dates, the rulebook's version and the three signals are in it, so a change of any
+    of them asks anew; ids, flags and the adjudicator are not.
+    """
+    of = lambda side: {f"{side}_title": F.coalesce(f"{side}.title", F.lit("")), f"{side}_dates_text": F.col(f"{side}.dates_text"), f"{side}_publication_date": F.col(f"{side}.publication_date")}
+    signals = {"shared_docket": F.lit(True), "shared_rin": shares_any(F.col("a.rins"), F.col("b.rins")), "explicit_reference": explicit_reference()}
+    seen = {"kind": F.lit("chain"), "rulebook_version": F.lit(rulebook)} | of("a") | of("b") | signals
+    return pairs.withColumn("input", F.struct(*[v.alias(k) for k, v in seen.items()])).withColumn("content_hash", S.content_hash(seen))
 
 
 def link_flags(multi: Column) -> Column:
@@ -138,8 +189,8 @@ def adjudicate(
     written.
     """
     if provider is None:
-        return pairs.withColumn("outcome", F.lit("ambiguous")).withColumn("classification", F.lit(None).cast("string")), cache
-    known = cache.where(F.col("adjudicator_id") == who).select("content_hash", F.col("classification").alias("_cached"))
+        return pairs.withColumn("outcome", F.lit("ambiguous")).withColumn("classification", F.lit(None).cast("string")).withColumn("cached", F.lit(False)), cache
+    known = cache.where(F.col("adjudicator_id") == who).groupBy("content_hash").agg(F.min_by("classification", F.struct("created_at", "classification")).alias("_cached"))
     pairs = stored(pairs)
     missing = pairs.join(known, "content_hash", "left_anti")
     todo = missing.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("_first"), F.min_by(F.struct(*pairs.columns), F.struct(*order)).alias("_row"), F.count("*").alias("_n"))
@@ -159,25 +210,38 @@ def adjudicate(
         F.when(verdict == "affirm", "linked").when(verdict.isNotNull(), F.lit("not_linked")).when(F.coalesce("_asked", F.lit(False)), "error").otherwise("deferred")
     )
     fresh = answers.where("_new IS NOT NULL").select("content_hash", F.lit(who).alias("adjudicator_id"), F.col("_new").alias("classification"), "rationale", now.alias("created_at"))
-    return j.withColumn("outcome", outcome).withColumn("classification", verdict).select(*pairs.columns, "outcome", "classification"), cache.unionByName(fresh)
+    judged = j.withColumn("outcome", outcome).withColumn("classification", verdict).withColumn("cached", F.col("_cached").isNotNull())
+    return judged.select(*pairs.columns, "outcome", "classification", "cached"), cache.unionByName(insert_absent(cache, fresh, ["content_hash", "adjudicator_id"]))
 
 
-def chain_sweep(log: DataFrame, projection: DataFrame, conflicts: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, who: str, now: Column, budget: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(conflicts with the chain links of the whole log, cache, one-row counts).
+def chain_cycle(log: DataFrame, projection: DataFrame, conflicts: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, who: str, now: Column, budget: int = 25, rulebook: str = "1") -> dict[str, DataFrame]:
+    """``conflicts`` with the chain links of the whole log, ``cache``, one-row ``counts``, and ``broken`` links.
 
     Confident and affirmed links are disjoint.  Open cross-window rows that are no longer linked are
-    retired, all of them if nothing is; rows of the other scope stay.
+    retired, all of them if nothing is; rows of the other scope stay.  Links that break an invariant (L8) are not merged.
+    Counts are taken while the rows are written.
     """
-    pairs = stored(chain_pairs(chain_candidates(log, projection)))
-    judged, cache = adjudicate(adjudication_input(pairs.where("NOT confident")), cache, provider, who, now, budget)
-    judged = stored(judged)
-    live = chain_conflicts(pairs.where("confident"), now).unionByName(chain_conflicts(judged.where("outcome = 'linked'"), now, "llm_corroborated"))
-    merged = stored(merge_conflicts(conflicts, live, now, "cross_window"))
-    one = pairs.agg(F.count_if("confident").alias("linked"), F.count_if(~F.col("confident")).alias("ambiguous"))
-    two = judged.agg(*[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("linked", "affirmed"), ("deferred", "deferred"), ("error", "errors"))])
-    was_open = conflicts.where("conflict_scope = 'cross_window' AND resolved_at IS NULL").agg(F.count("*").alias("was_open"))
-    now_open = merged.where("conflict_scope = 'cross_window'").agg(F.count_if(F.col("resolved_at").isNull()).alias("live"), F.count_if(F.col("resolved_at") == now).alias("retired"))
-    return merged, cache, one.crossJoin(two).crossJoin(was_open).crossJoin(now_open)  # one row each
+    flagged = F.col("is_extension") | F.col("is_correction") | F.col("is_withdrawal") | F.col("is_reopening")
+    candidates, n = counted(chain_candidates(log, projection), candidates=F.count("*"), amendments=F.count_if(flagged))
+    pairs, n_pairs = counted(chain_pairs(candidates), linked=F.count_if("confident"), ambiguous=F.count_if(~F.col("confident")))
+    judged, cache = adjudicate(adjudication_input(pairs.where("NOT confident"), rulebook), cache, provider, who, now, budget)
+    outcomes = {name: F.count_if(F.col("outcome") == o) for o, name in (("linked", "affirmed"), ("deferred", "deferred"), ("error", "errors"))}
+    judged, n_judged = counted(judged, **outcomes, cache_hits=F.count_if("cached"))
+    links = chain_conflicts(pairs.where("confident"), now).unionByName(chain_conflicts(judged.where("outcome = 'linked'"), now, "llm_corroborated"))
+    links, n_links = counted(links.withColumn("violations", broken_invariants("conflicts")), broken=F.count_if(F.size("violations") > 0))
+    merged = merge_conflicts(conflicts, links.where(F.size("violations") == 0).drop("violations"), now, "cross_window")
+    mine = F.col("conflict_scope") == "cross_window"
+    merged, n_merged = counted(merged, live=F.count_if(mine & F.col("resolved_at").isNull()), retired=F.count_if(mine & F.coalesce(F.col("resolved_at") == now, F.lit(False))))
+    was_open = conflicts.where("conflict_scope = 'cross_window' AND resolved_at IS NULL").count()
+    row = n | n_pairs | n_judged | n_links | {"was_open": was_open} | n_merged
+    counts = log.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
+    return {"conflicts": merged, "cache": cache, "counts": counts, "broken": links.where(F.size("violations") > 0)}
+
+
+def chain_sweep(log: DataFrame, projection: DataFrame, conflicts: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, who: str, now: Column, budget: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``chain_cycle`` as (conflicts, cache, counts)."""
+    out = chain_cycle(log, projection, conflicts, cache, provider, who, now, budget)
+    return out["conflicts"], out["cache"], out["counts"]
 
 
 def score_binary(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:

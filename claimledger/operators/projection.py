@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimledger.operators.steps import stored
+
 HISTORY = "array<struct<version: int, resolved_close_utc: timestamp, observation_ids: array<string>, changed_at: timestamp>>"
 CONFLICT_KEY = ("ocd_id", "observation_a_id", "observation_b_id", "ocd_id_b")
 
@@ -43,6 +47,38 @@ def replay(states: DataFrame, key: str, at: str, close: str, tie: str) -> DataFr
     return runs.select(key, (F.size("h") - 1).alias("version"), F.element_at("h", -1)["close"].alias(close), F.slice("h", F.lit(1), F.size("h") - 1).alias("history"))
 
 
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Rows stored by ranges of (keys, order) with the number of their range in ``_block``: a key of any length is spread over tasks."""
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *keys, *order).withColumn("_block", F.spark_partition_id()))
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """A segmented scan over ``dealt`` rows: running sums, and the last value so far that is not null, of each key in order.
+
+    Rows are scanned inside their block.  What leads over is one row for each key and block: its sum and last value, scanned
+    over the blocks and joined back.  Rows with a null key are not seen.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    rows = rows.select("*", *[v.alias(f"_s_{n}") for n, v in sums.items()], *[v.alias(f"_l_{n}") for n, v in lasts.items()])
+    ends = rows.groupBy(*keys, "_block").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums], *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.struct(*order))).alias(f"_l_{n}") for n in lasts])
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, "_block", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums], *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts])
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = rows.join(carry, [*keys, "_block"])
+    added = {n: F.sum(f"_s_{n}").over(inside) + F.col(f"_c_{n}") for n in sums} | {n: F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(inside), f"_c_{n}") for n in lasts}
+    return j.withColumns(added).drop(*[f"_{k}_{n}" for n in added for k in "slc"])
+
+
+def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """The value (not null) of the row before, over ``dealt`` rows; null on a key's first row."""
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    rows = rows.withColumn("_v", value)
+    ends = rows.groupBy(*keys, "_block").agg(F.max_by("_v", F.struct(*order)).alias("_v"))
+    carry = ends.select(*keys, "_block", F.lag("_v").over(Window.partitionBy(*keys).orderBy("_block")).alias("_c"))
+    return rows.join(carry, [*keys, "_block"]).withColumn(name, F.coalesce(F.lag("_v").over(inside), "_c")).drop("_v", "_c")
+
+
 def states_over_time(log: DataFrame, key: str, source: str, at: str, claim: str, sources: Sequence[str]) -> DataFrame:
     """T4: at each instant the latest claim of every source so far, as one column per source."""
     w = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
@@ -113,14 +149,18 @@ def clear_failures(current: DataFrame, succeeded: DataFrame) -> tuple[DataFrame,
 
 
 def failure_runs(attempts: DataFrame, key: Sequence[str], at: Sequence[str], ok: str, threshold: int = 5) -> DataFrame:
-    """Per key the run of failures it ends in, its longest run, and when it first reached ``threshold``."""
-    w = Window.partitionBy(*key).orderBy(*at)
-    rows = attempts.withColumn("_island", F.sum(F.col(ok).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*key, "_island").orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.sum((~F.col(ok)).cast("long")).over(inside))
-    order = F.struct(*at)
+    """Per key the run of failures it ends in, its longest run, and when it first reached ``threshold``.
+
+    A run is the failures so far less those at the last success, both from one segmented scan, so a key with very
+    many attempts is spread over tasks.  Rows with a null key are left out.
+    """
+    failed = (~F.col(ok)).cast("long")
+    known = attempts.where(reduce(and_, [F.col(k).isNotNull() for k in key]))
+    rows = running(dealt(known, key, at), key, at, sums={"_failed": failed})
+    rows = running(rows, key, at, lasts={"_cleared": F.when(F.col(ok), F.col("_failed"))})
+    rows = rows.withColumn("_run", F.col("_failed") - F.coalesce("_cleared", F.lit(0)))
     return rows.groupBy(*key).agg(
-        F.max_by("_run", order).alias("attempts"), F.max("_run").alias("longest_run"), F.min(F.when(F.col("_run") >= threshold, F.col(at[0]))).alias("dead_lettered_at")
+        F.max_by("_run", F.struct(*at)).alias("attempts"), F.max("_run").alias("longest_run"), F.min(F.when(F.col("_run") >= threshold, F.col(at[0]))).alias("dead_lettered_at")
     )
 
 

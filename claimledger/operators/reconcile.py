@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
-from claimledger.operators.projection import replay, states_over_time
+from claimledger.operators.projection import HISTORY, dealt, previous, running
 
 PRIMARY, STATUS = "federal_register", "regulations_gov"
 
@@ -96,23 +96,49 @@ def reconcile_log(log: DataFrame, now: Column) -> DataFrame:
 
 
 def replay_log(log: DataFrame, now: Column) -> DataFrame:
-    """T4: folds a whole log: each entity's state at each of its instants is reconciled, closes that differ from the one before are versions.
+    """T4: (ocd_id, version, resolved_close_utc, history) of ``replay_projection``; history holds the earlier closes (_n, since, close)."""
+    whole = replay_projection(log, now)
+    history = F.transform("change_history", lambda h: F.struct((h["version"] + 1).alias("_n"), h["changed_at"].alias("until"), h["resolved_close_utc"].alias("close")))
+    return whole.select("ocd_id", "version", "resolved_close_utc", history.alias("history"))
 
-    (ocd_id, version, resolved_close_utc, history); what cycles that merge one instant after the other arrive at.
+
+def replay_projection(log: DataFrame, now: Column, blocks: int | None = None) -> DataFrame:
+    """T4: the whole projection from a whole log: every column, version and change history.
+
+    What cycles that merge one instant after the other arrive at: each entity is reconciled at each of its instants, and where the close
+    differs from the one before, the old version, close and observation ids go into the history at that instant.  ``status`` and
+    ``derived_at`` are those at ``now``.  Documents are parsed once for each observation.  The latest claim of either source so far
+    comes from a segmented scan, so an entity of any length is spread over tasks.  Of one source's observations at one
+    instant the smallest id counts; rows without an entity or an instant are left out.
     """
-    one = log.groupBy("ocd_id", "source", "fetched_at").agg(F.min_by(F.struct("observation_id", "raw"), "observation_id").alias("claim"))
-    states = states_over_time(one, "ocd_id", "source", "fetched_at", "claim", [PRIMARY, STATUS])
-    closes = derive(states.select("ocd_id", "fetched_at", F.col(PRIMARY).alias("a"), F.col(STATUS).alias("b")), now, ("ocd_id", "fetched_at"))
-    return replay(closes.select("ocd_id", "fetched_at", "resolved_close_utc"), "ocd_id", "fetched_at", "resolved_close_utc", "fetched_at")
+    key, at = ["ocd_id"], ["fetched_at"]
+    pick = lambda s: F.min_by(F.struct("observation_id", "raw"), F.when(F.col("source") == s, F.col("observation_id")))
+    one = log.where(F.col("source").isin(PRIMARY, STATUS) & F.col("ocd_id").isNotNull() & F.col("fetched_at").isNotNull()).groupBy("ocd_id", "fetched_at").agg(pick(PRIMARY).alias("a"), pick(STATUS).alias("b"))
+    claim = lambda side, fields: F.when(F.col(side).isNotNull(), F.struct(F.col(f"{side}.observation_id").alias("observation_id"), *[v.alias(k) for k, v in fields(F.col(f"{side}.raw")).items()]))
+    claims = dealt(one.select("ocd_id", "fetched_at", claim("a", extract_primary).alias("a"), claim("b", extract_status).alias("b")), key, at, blocks)
+    states = running(claims.withColumnsRenamed({"a": "_a", "b": "_b"}), key, at, lasts={"a": F.col("_a"), "b": F.col("_b")}).drop("_a", "_b")
+    derived = derive_claims(states, now, ("ocd_id", "fetched_at", "_block"))
+    closes = previous(derived.select("ocd_id", "fetched_at", "_block", "resolved_close_utc", "current_observation_ids"), key, at, F.struct("resolved_close_utc", "current_observation_ids"), "old")
+    moved = closes.where(F.col("old").isNotNull() & ~F.col("resolved_close_utc").eqNullSafe(F.col("old.resolved_close_utc")))
+    steps = moved.groupBy("ocd_id").agg(F.sort_array(F.collect_list(F.struct("fetched_at", "old"))).alias("h"))
+    history = F.transform("h", lambda x, i: F.struct(i.cast("int").alias("version"), x["old"]["resolved_close_utc"].alias("resolved_close_utc"), x["old"]["current_observation_ids"].alias("observation_ids"), x["fetched_at"].alias("changed_at")))
+    columns = [c for c in derived.columns if c not in ("fetched_at", "_block", "version")]
+    last = derived.groupBy(F.col("ocd_id").alias("_k")).agg(F.max_by(F.struct(*columns), "fetched_at").alias("r")).select("r.*")
+    return last.join(steps, "ocd_id", "left").withColumn("change_history", F.coalesce(history, F.array().cast(HISTORY))).withColumn("version", F.size("change_history")).drop("h")
 
 
 def derive(claims: DataFrame, now: Column, keys: Sequence[str] = ("ocd_id",)) -> DataFrame:
     """The projection's columns from structs ``a`` and ``b`` (observation_id, raw) of either source's claim."""
-    p = claims.withColumn("x", F.struct(*[v.alias(k) for k, v in extract_primary(F.col("a.raw")).items()]))
-    p = p.withColumn("y", F.struct(*[v.alias(k) for k, v in extract_status(F.col("b.raw")).items()]))
+    fields = lambda side, of: F.struct(F.col(f"{side}.observation_id").alias("observation_id"), *[v.alias(k) for k, v in of(F.col(f"{side}.raw")).items()]).alias(side)
+    return derive_claims(claims.select(*keys, fields("a", extract_primary), fields("b", extract_status)), now, keys)
+
+
+def derive_claims(claims: DataFrame, now: Column, keys: Sequence[str] = ("ocd_id",)) -> DataFrame:
+    """The same from structs of fields that are read already."""
+    p = claims.withColumnsRenamed({"a": "x", "b": "y"})
     none = F.array().cast("array<string>")
     flat = p.select(
-        *keys, F.col("a.observation_id").alias("a_id"), F.col("b.observation_id").alias("b_id"), F.col("x.close_date").alias("a_date"), F.col("y.raw_end").alias("b_raw_end"),
+        *keys, F.col("x.observation_id").alias("a_id"), F.col("y.observation_id").alias("b_id"), F.col("x.close_date").alias("a_date"), F.col("y.raw_end").alias("b_raw_end"),
         S.utc_instant(F.col("y.raw_end")).alias("b_close"), F.col("y.open").alias("b_open"), F.col("y.withdrawn").alias("b_withdrawn"), F.col("y.allow_late").alias("b_allow_late"),
         F.coalesce("x.document_number", "y.document_number").alias("fr_document_number"), F.coalesce("y.document_id", "x.document_id").alias("regs_document_id"),
         F.coalesce("y.object_id", "x.object_id").alias("regs_object_id"), F.array_distinct(F.concat(F.coalesce("x.docket_ids", none), F.array_compact(F.array("y.docket_id")))).alias("docket_id"),

@@ -84,11 +84,27 @@ def verdict_counts(records: DataFrame) -> DataFrame:
 
 
 def replay_fixtures(fixtures: DataFrame) -> DataFrame:
-    """Fixtures {meta, input, expected} whose recomputed verdict differs from the expected one; none should."""
-    ids = contradictions(F.col("input.observationsSinceClose"), F.col("input.publishedCloseUtc"), F.col("input.currentCloseUtc"))
-    rows = fixtures.where("expected.basis <> 'unverified_lapsed'").withColumn("ids", ids)
-    same = F.col("ids").eqNullSafe(F.array_sort("expected.contradicting_observation_ids")) & (F.size("ids") == 0).eqNullSafe(F.col("expected.was_correct"))
-    return rows.where(~same)
+    """Fixtures {meta, input, expected} that are broken, with ``differs``; none should be.
+
+    The whole verdict is computed again, lapsed watches included (``input.lapsed``; missing: by the expected basis), and compared field by field,
+    nulls being equal to nulls: was_correct, basis, contradicting_observation_ids.  ``invariant``: the expected verdict breaks
+    a rule of V1 (lapsed and no verdict go together, a miss names its evidence and nothing else does).
+    """
+    expected = F.col("expected")
+    lapsed = F.coalesce(F.col("input.lapsed"), F.lit(False)) if "lapsed" in fixtures.schema["input"].dataType.names else expected["basis"].eqNullSafe("unverified_lapsed")
+    ids = F.when(lapsed, F.array().cast("array<string>")).otherwise(contradictions(F.col("input.observationsSinceClose"), F.col("input.publishedCloseUtc"), F.col("input.currentCloseUtc")))
+    rows = fixtures.withColumn("_ids", ids)
+    got = {"was_correct": F.when(~lapsed, F.size("_ids") == 0), "basis": basis_of(lapsed, F.col("_ids")), "contradicting_observation_ids": F.col("_ids")}
+    want = {"was_correct": expected["was_correct"], "basis": expected["basis"], "contradicting_observation_ids": F.array_sort(expected["contradicting_observation_ids"])}
+    n_ids = F.size(F.coalesce(expected["contradicting_observation_ids"], F.array().cast("array<string>")))
+    unsound = (expected["basis"].eqNullSafe("unverified_lapsed") != expected["was_correct"].isNull()) | (~F.coalesce(expected["was_correct"], F.lit(True)) != (n_ids > 0))
+    differs = F.array_compact(F.array(*[F.when(~got[k].eqNullSafe(want[k]), k) for k in got], F.when(unsound, "invariant")))
+    return rows.withColumn("differs", differs).where(F.size("differs") > 0).drop("_ids")
+
+
+def basis_of(lapsed: Column, ids: Column) -> Column:
+    """E5: what a verdict rests on."""
+    return F.when(lapsed, "unverified_lapsed").when(F.size(ids) > 0, "late_amendment").otherwise("post_close_repoll")
 
 
 def contradictions(since: Column, published: Column, current: Column) -> Column:
@@ -108,7 +124,7 @@ def verdicts(watches: DataFrame, now: Column) -> DataFrame:
     lapsed = F.col("state") == "due_lapsed"
     ids = contradictions(F.col("since"), F.col("published_close_utc"), F.col("current_close_utc"))
     rows = watches.where(F.col("state").isin("due_verdict", "due_lapsed")).withColumn("_ids", F.when(lapsed, F.array().cast("array<string>")).otherwise(ids))
-    basis = F.when(lapsed, "unverified_lapsed").when(F.size("_ids") > 0, "late_amendment").otherwise("post_close_repoll")
+    basis = basis_of(lapsed, F.col("_ids"))
     return rows.select(
         "ocd_id", "window_version", "confidence_at_close", "published_close_utc", "published_close_display", F.when(~lapsed, F.size("_ids") == 0).alias("was_correct"), basis.alias("basis"),
         F.col("_ids").alias("contradicting_observation_ids"), F.col("published_close_utc").alias("closed_at_utc"), now.alias("verified_at_utc"),
