@@ -214,6 +214,45 @@ def test_recall_at_the_edit_limit(size):
     assert found >= 0.9 * n
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete", "mixed"])
+@pytest.mark.parametrize("size", [12, 15, 20, 21, 30, 35, 38, 40, 41, 50, 60, 90])
+def test_recall_of_every_kind_of_edit(size, kind):
+    rng = random.Random(1000 * size + len(kind))
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocab, k=size))) for i in range(25)]
+    index, texts, want = decontamination.build_index(items), [], []
+    for item in index.items:
+        for _ in range(4):
+            w = list(item.words)
+            for _ in range(item.edits):
+                p, one = rng.randrange(len(w)), rng.choice(("replace", "insert", "delete")) if kind == "mixed" else kind
+                w[p : p + (one != "insert")] = [] if one == "delete" else [0]
+            around = [rng.randrange(1, len(index.codes)) for _ in range(25)]
+            texts.append(np.array([*around, *w, *around]))
+            want.append(item.item_id)
+    hits = decontamination.find_in_batch(texts, index)
+    assert sum(any(h[0] == i for h in hs) for hs, i in zip(hits, want, strict=True)) >= 0.93 * len(want)
+
+
+def test_hits_against_alignment_of_everything(spark):
+    """Every item aligned with every text, at the smallest size: what is within the distance is found, and nothing else."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    codes, want = {}, set()
+    code = lambda t: [codes.setdefault(w, len(codes) + 1) for w in decontamination.words_of(t)]
+    items = [(b.item_id, code(b.text)) for b in bench]
+    for d in docs:
+        words = code(d.text)
+        for i, item in items:
+            if len(item) >= 5 and len(set(item) & set(words)) >= 0.5 * len(set(item)):  # a fifth edited leaves more than half
+                limit = int(0.2 * len(item))
+                if decontamination.edit_distance(item, words, limit)[0] <= limit:
+                    want.add((d.doc_id, i))
+    got = {(r.doc_id, r.item_id) for r in decontamination.op7_decontamination(spark, sf).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and want
+
+
 def test_short_and_unspaced_items(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, "x one two, three. y"), (3, "one two four three"), (4, "日本語の文をここに書く"), (5, "本語"), (6, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "One two three!"), (2, "本語の文"), (3, "語の文をここに書"), (4, "")], "item_id long, text string")
