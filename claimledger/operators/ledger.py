@@ -80,12 +80,12 @@ def insert_absent(current: DataFrame, new: DataFrame, keys: Sequence[str], first
 
 
 def rederive_flags(log: DataFrame, derived: dict[str, Column], version: str) -> tuple[DataFrame, DataFrame]:
-    """C4: the log with recomputed flags and parser version where one differs, and (scanned, updated)."""
+    """C4: the log with recomputed flags and parser version where one differs, and one row (scanned, updated, skipped)."""
     differs = F.lit(False)
     for name, value in derived.items():
         differs = differs | ~F.col(name).eqNullSafe(value)
     rows = log.withColumn("_new", F.struct(*[v.alias(k) for k, v in derived.items()])).withColumn("_differs", differs)
-    counts = rows.agg(F.count("*").alias("scanned"), F.count_if("_differs").alias("updated"))
+    counts = rows.agg(F.count("*").alias("scanned"), F.count_if("_differs").alias("updated"), F.count_if(~F.col("_differs")).alias("skipped"))
     for name in derived:
         rows = rows.withColumn(name, F.col(f"_new.{name}"))
     rows = rows.withColumn("parser_version", F.when(F.col("_differs"), F.lit(version)).otherwise(F.col("parser_version")))

@@ -42,7 +42,7 @@ def sliding_increases(samples: DataFrame, labels: Sequence[str], at: str, value:
         raise ValueError("the span is a multiple of the step")
     up = lambda before, now: F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
     v = F.col(value).cast("double")
-    rows = samples.where(F.col(at).isNotNull() & v.isNotNull()).select(*labels, F.unix_micros(at).alias("_t"), F.col(tie).alias("_tie"), v.alias("_v"))
+    rows = samples.where(F.col(at).isNotNull() & v.isNotNull()).select(*labels, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), F.col(tie).alias("_tie"), v.alias("_v"))
     rows = rows.withColumn("_pane", F.ceil(F.col("_t") / pane).cast("long"))
     inside = Window.partitionBy(*labels, "_pane").orderBy("_t", "_tie")
     order = F.struct("_t", "_tie")

@@ -48,6 +48,15 @@ def list_windows(projection: DataFrame, limit: int | None = None, offset: int |
     return page(rows, [F.col("resolved_close_utc").asc_nulls_last(), F.col("ocd_id")], n, skip), rows.agg(F.count("*").alias("total")), n, skip
 
 
+#: The order of conflict rows: the latest first, then by what names a row.
+CONFLICT_ORDER = ("ocd_id", "observation_a_id", "observation_b_id", "ocd_id_b")
+
+
+def list_conflicts(conflicts: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """One page of the conflict rows, latest first, in a total order: nulls of the last key come first."""
+    return page(conflicts, [F.col("detected_at").desc_nulls_last(), *[F.col(k).asc_nulls_first() for k in CONFLICT_ORDER]], limit, offset)
+
+
 def window(projection: DataFrame, ident: str) -> DataFrame:
     """P5: the row of one entity; no row when it is absent."""
     return projection.where(F.col("ocd_id") == ident)

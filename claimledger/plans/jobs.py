@@ -252,3 +252,54 @@ def statement_report(docs: DataFrame, title: str, close: str) -> DataFrame:
     t = S.squeeze(F.col(title))
     rows = docs.where(t.isNotNull()).select(F.col(close).alias("close"), F.when(S.stage(t) != "—", S.stage(t)).alias("stage"), F.array_join(S.states_in(t), ",").alias("state"))
     return crosscheck.field_coverage(rows, ["close", "stage", "state"])
+
+
+def join_rate_report(status: DataFrame, primary: DataFrame, key: str, value: str, arrays: str, least: float = 60.0) -> DataFrame:
+    """One row: how many status rows join by key, how many more by the fallback, both together, and go or no-go."""
+    rate = crosscheck.join_rate(status, primary, key)
+    found = crosscheck.coverage(rate, crosscheck.fallback_matches(status, primary, key, value, arrays))
+    return crosscheck.enough(found, "combined", least)
+
+
+def conflict_report(primary: DataFrame, status: DataFrame, key: str, a_day: str, b_instant: str, order: Sequence[str], n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The two feeds joined on their key: (one row of counts and rates, the first pairs whose days differ in UTC only).
+
+    ``b_instant`` is text.  An instant without an offset can't be compared (F9); such pairs are counted as ``n_refused`` and set apart.
+    """
+    pairs = primary.where(F.col(key).isNotNull()).join(status.select(key, *[c for c in status.columns if c != key]), key)
+    marked = pairs.withColumn("_ok", F.col(b_instant).isNull() | S.has_offset(F.col(b_instant)))
+    refused = marked.agg(F.count_if(~F.col("_ok")).alias("n_refused"))
+    rows = marked.where("_ok").drop("_ok").withColumn(b_instant, S.utc_instant(F.col(b_instant)))
+    counts = crosscheck.date_conflicts(rows, a_day, b_instant).crossJoin(refused)  # one row each
+    return counts, crosscheck.zone_samples(rows, a_day, b_instant, [F.col(c) for c in order], n)
+
+
+def density_report(docs: DataFrame, kind: str, title: str, day: str, today: Column, n_quarters: int = 4, least_average: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(candidates by quarter and bucket, the one-row summary with its verdict)."""
+    rows = docs.withColumn("_bucket", S.topic_bucket(F.col(kind), F.col(title))).where("_bucket IS NOT NULL").select(F.col(day).alias("_on"), "_bucket")
+    counts = crosscheck.density(rows, "_on", "_bucket", today, n_quarters, ("EIS", "Rulemaking"))
+    return counts, crosscheck.density_summary(counts, ("EIS", "Rulemaking"), least_average)
+
+
+def primary_ingest(state: dict[str, DataFrame], found: DataFrame, details: DataFrame, now: Column, version: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One cycle of the primary source up to the log: (log, bridge, failures and entities to reconcile after it, one-row summary).
+
+    ``found`` lists document numbers, ``details`` (fr_document_number, raw, fetched_at, error) is what fetching gave.  Numbers in the log or dead are not
+    fetched; a document that is missing, unreadable or in error has failed and counts towards its dead letter.
+    """
+    dead = dead_keys(state["failures"], reconcile.PRIMARY)
+    todo, one = primary_cycle(found, state["log"], dead)
+    key = "fr_document_number"
+    live = steps.stored(todo.select(key).distinct().join(details.select(key, "raw", "fetched_at", F.col("error").alias("fetch_error")), key, "left"))
+    good, rejects = files.primary_observations(live.where("raw IS NOT NULL AND fetch_error IS NULL").withColumnRenamed(key, "_asked"), version)
+    read = steps.stored(good.withColumn("observation_id", F.sha2(F.concat_ws("|", "source", key, "payload_hash", F.col("fetched_at").cast("string")), 256)).drop("fetch_error"))
+    bad = live.where("raw IS NULL OR fetch_error IS NOT NULL").select(key, F.coalesce("fetch_error", F.lit("no details")).alias("error")).unionByName(rejects.select(F.col("_asked").alias(key), "error"))
+    failed = bad.dropDuplicates([key]).select(F.lit(reconcile.PRIMARY).alias("source"), F.col(key).alias("document_key"), "error")
+    ok = read.select(F.lit(reconcile.PRIMARY).alias("source"), F.col("_asked").alias("document_key")).distinct()
+    new, targets = ledger.ingest(state["log"], state["bridge"], read.select(*state["log"].columns))
+    new, n_new = steps.counted(new, ingested=F.count("*"))
+    cleared, recovered = projection.clear_failures(state["failures"], ok)
+    failures, n_failed = steps.counted(projection.merge_failures(cleared, failed, now), failed=F.count_if(F.col("last_failed_at") == now), dead_lettered=F.count_if("newly_dead"))
+    after = {"log": state["log"].unionByName(new), "bridge": state["bridge"].unionByName(targets), "failures": failures.drop("newly_dead"), "entities": read.select("ocd_id").distinct()}
+    summary = one.crossJoin(recovered.agg(F.count("*").alias("recovered")))  # one row each
+    return after, summary.withColumns({k: F.lit(v) for k, v in (n_new | n_failed).items()})

@@ -754,4 +754,4 @@ def x8(spark, sf):
     return jobs.statement_report(table(spark, sf, "part").select(title.alias("title"), F.when(c("p_partkey") % 6 > 0, c("p_retailprice")).alias("close_day")), "title", "close_day")
 
 
-from claimledger.plans import job_queries  # noqa: E402, F401  registers its queries here
+from claimledger.plans import job_queries, mechanism_queries  # noqa: E402, F401  register their queries here

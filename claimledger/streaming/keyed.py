@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType, TimestampType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The ledger's columns as state; instants are microseconds, which mean the same in every worker.
@@ -62,8 +62,9 @@ def changed_payloads_stream(stream: DataFrame, keys: Sequence[str], hash_col: st
     A late row is compared with the latest hash, as the batch form does, and does not replace it.  Rows with a null key pass.
     """
     kinds = {f.name: f.dataType for f in stream.schema}
-    at = {f"_order{i}": F.unix_micros(c) if isinstance(kinds[c], TimestampType) else F.col(c) for i, c in enumerate(order)}
-    state = StructType([StructField(hash_col, kinds[hash_col]), *[StructField(n, LongType() if isinstance(kinds[c], TimestampType) else kinds[c]) for n, c in zip(at, order, strict=True)]])
+    instant = lambda c: isinstance(kinds[c], (TimestampType, TimestampNTZType))
+    at = {f"_order{i}": F.unix_micros(F.col(c).cast("timestamp")) if instant(c) else F.col(c) for i, c in enumerate(order)}
+    state = StructType([StructField(hash_col, kinds[hash_col]), *[StructField(n, LongType() if instant(c) else kinds[c]) for n, c in zip(at, order, strict=True)]])
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
@@ -134,7 +135,7 @@ def failure_stream(attempts: DataFrame, threshold: int = 5, retry: str = "24 hou
     time has passed that instant.  The ledger itself is the state ``ledger`` (``failure_table``).  Null keys and times are left out.
     """
     seconds = int(attempts.sparkSession.sql(f"SELECT unix_seconds(TIMESTAMP '2000-01-01' + INTERVAL {retry}) - unix_seconds(TIMESTAMP '2000-01-01')").first()[0])
-    rows = attempts.where("source IS NOT NULL AND document_key IS NOT NULL AND at IS NOT NULL").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    rows = attempts.where("source IS NOT NULL AND document_key IS NOT NULL AND at IS NOT NULL").withColumn("ok", F.coalesce("ok", F.lit(False))).withColumn("at", F.col("at").cast("timestamp"))
     rows = rows.withWatermark("at", lateness).withColumn("micros", F.unix_micros("at"))
     schema = StructType.fromDDL("source string, document_key string, event string, attempts int, micros long")
     events = _keyed(rows, ["source", "document_key"], ["source", "document_key", "ok", "error", "at", "micros"], FailureLedger(threshold, seconds), schema, "EventTime")
@@ -149,4 +150,4 @@ def failure_table(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def once_within(stream: DataFrame, at: str, keys: Sequence[str], overlap: str = "6 hours") -> DataFrame:
     """At-least-once feed to once per key, with a watermark; keeps the first row, A1 keeps the latest."""
-    return stream.withWatermark(at, overlap).dropDuplicatesWithinWatermark(list(keys))
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, overlap).dropDuplicatesWithinWatermark(list(keys))
