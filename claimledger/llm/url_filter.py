@@ -32,7 +32,7 @@ RULES = (
 #: Words of hosts and paths that are unwanted, and ones that are not; the training URLs are made of them.
 BAD_WORDS = (
     "casino poker slots jackpot roulette betting bets gamble lottery pills pharmacy viagra cialis steroids adult xxx porn sex cams escort nude dating torrent crack keygen warez "
-    "serial replica payday loans malware phishing spyware virus spam scam ads adserver banner tracker track clicks popunder affiliate"
+    "serial replica bet wager payday loans malware phishing spyware virus spam scam ads adserver banner tracker track clicks popunder affiliate"
 ).split()
 GOOD_WORDS = (
     "news blog library school science museum docs wiki weather city forum health music travel garden history books recipes sports theatre maps physics archive council garage "
@@ -40,8 +40,15 @@ GOOD_WORDS = (
 ).split()
 #: Words that stand with either.
 NEUTRAL_WORDS = "win free cheap best top online live my the fast hot x 24 777 world home center point shop club store one".split()
-SYLLABLES = "tho ran ble ing re an ti on sh er wh or ly en st ha ou ed ca lo mi su pe".split()
-ENDINGS = "s es ing er ers nt ed ly y o a".split()
+#: Plain words and names that hold an unwanted word by chance.
+CHANCE_WORDS = (
+    "essex sussex middlesex wessex sextant sextet bisexual alphabet better betterment tibet abettor diabetes racetrack trackandfield soundtrack tracksuit railtracks backtrack adulthood adultlearning cameras camshaft "
+    "webcams scampi scamper brandads adsorption adstream roads uploads heads dateline datingrocks carbondating firecracker nutcracker crackling cracked serials cereals spamalot hotspam seriality torrential "
+    "genealogy loansharks slotted timeslots pokerface pokers wagers stagewager lotterytickets pillsbury caterpillars spillsafe nudelman denude pornic popcorn antivirus viruses castle castor casual cascade village pillar pillow potters ottery keyboard keynote bannerman stripclub"
+).split()
+#: Syllables of invented plain words.
+SYLLABLES = "ba dor fi gu kel mo na rus vi zan pol quin tem jul vos mar heg nik fen lud bra cor dim".split()
+ENDINGS = "um ix ard ula ek in ovo ette is ana ur".split()
 PATHS = ("", "/", "/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}", "/index.html", "/page/{}", "/a/{}", "/en/{}.html", "/de/{}", "/item/{}", "/story-{}.html", "/view/{}/", "/fr/{}.html", "/es/{}/", "/de/{}/", "/en/{}/", "/p/{}")
 
 
@@ -67,6 +74,23 @@ def labelled_urls() -> list[tuple[str, str, int]]:
         for k, shape in enumerate(("/{w}/{i}", "/{n}-{w}.html")):
             host = f"{pick(subs, i + k)}{good if k else nonsense(i)}.{pick(tlds, i)}"
             rows += [(host, shape.format(w=x, n=n, i=i * 311 % 997), label) for label, x in ((1, w), (0, pick(GOOD_WORDS, i + 3)), (0, pick(GOOD_WORDS, i + 11)), (0, nonsense(i + k)))]
+    for i, w in enumerate(CHANCE_WORDS):
+        for k, shape in enumerate(("{w}", "www.{w}", "{n}-{w}", "{w}{n}", "{w}-{v}")):
+            path, tld = pick(PATHS, i + 3 * k).format(i * 7919 % 99991), pick(tlds, i + k)
+            make = lambda word, shape=shape, j=i + k: shape.format(w=word, n=pick(NEUTRAL_WORDS, j), v=pick(GOOD_WORDS, j))
+            rows += [(f"{make(x)}.{tld}", path, label) for label, x in ((0, w), (0, nonsense(i + 7 * k)), (1, pick(BAD_WORDS, i + k)))]
+        rows.append((f"{pick(GOOD_WORDS, i)}.{pick(tlds, i)}", f"/{w}/{i}", 0))
+    # unwanted words run together with plain or meaningless ones, and plain twins of the same make
+    wide = (*tlds, "io", "co", "tv", "biz", "info", "eu", "de", "fr", "org.uk")
+    for i, w in enumerate(BAD_WORDS):
+        for k, shape in enumerate(("{w}{x}", "{x}{w}", "{w}{g}", "{g}{w}", "{w}{x}-{g}", "{x}{w}{y}")):
+            j = 6 * i + k
+            make = lambda word, shape=shape, j=j: shape.format(w=word, x=nonsense(3 * j), y=nonsense(3 * j + 1), g=pick(GOOD_WORDS, j))
+            tld, path = pick(wide, j), pick(PATHS, j).format(j)
+            rows += [(f"{make(x)}.{tld}", path, label) for label, x in ((1, w), (0, pick(GOOD_WORDS, i + k + 1)), (0, nonsense(5 * j + 2)), (0, pick(CHANCE_WORDS, j)))]
+    # unwanted names with a number
+    numbers = [(i, w, k, n) for i, w in enumerate(BAD_WORDS) for k, n in enumerate(("365", "88", "24-7"))]
+    rows += [(f"{x}{n}.{pick(tlds, i + k)}", pick(PATHS, i + k).format(i), label) for i, w, k, n in numbers for label, x in ((1, w), (0, pick(GOOD_WORDS, i)), (0, nonsense(i + k)))]
     # hosts without a word of their own
     return rows + [(pick(subs, i // 5) + pick(tlds, i), pick(PATHS, i // 3).format(i * 7919 % 99991), 0) for i in range(3 * len(PATHS))]
 
