@@ -15,7 +15,9 @@ neither on batches nor on partitions (log probabilities do in their last digits)
 texts give equal samples.
 
 Null texts count as empty; an empty text has one segmentation, of no pieces.  Texts with fewer than
-``k`` segmentations give all they have, with inclusion 1.
+``k`` segmentations give all they have, with inclusion 1.  A null key takes the random numbers of key 0.  Texts of any length
+are cut whole, word by word; extra columns are left out of the samples; an empty table gives none.  Words are told apart by 63-bit
+hashes; every sample is decoded and compared with its text, so that a collision would show in ``decodes``.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ The regression is trained on the driver, to convergence, from a small labelled U
 (``labelled_urls`` or the caller's own) and its weight vector, of fixed size, goes to the tasks that score the URLs.
 Null URLs and URLs without ``://`` have an empty host and path; no rule fits those and the model
 scores them by its intercept and the empty parts.  Repeated rows are judged one by one, extra columns pass through (those
-named like the five that are set are replaced), an empty table gives an empty one.
+named like the five that are set are replaced), an empty table gives an empty one.  URLs of any length are scored whole.
 """
 
 from __future__ import annotations

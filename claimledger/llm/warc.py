@@ -8,7 +8,8 @@ it, and only reported files are read, so repeated and speculative attempts do no
 Of pages with equal payloads of at least ``least_bytes`` the one with the largest id is stored, the
 others become revisits that name it.  Equal payloads are found by digest and length, with a partial
 maximum before the shuffle.  Null html is an empty payload.  Pages without an id are left out;
-repeated ids with equal payloads are archived as often as they come.
+repeated ids with equal payloads are archived as often as they come.  A payload of any length is one record, held in memory
+by one task at a time; extra columns are not archived; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
