@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written
 as Parquet to the shared checkpoint folder and read again, so a lost executor costs one stage.
+
+All stages but the last return the columns of their input and drop rows, never change them.  Null and empty texts are judged as
+texts without words: they are clean, share nothing with others and hold no benchmark item, so only the quality stage
+may drop them.  Rows without an id pass the near-duplicate stage; of rows that repeat an id it keeps the first text in alphabetical order.
+Repeated rows are judged alike.  Extra columns pass through, whatever their names, up to the encoding.  Texts are judged whole at any
+length.  Empty documents give an empty result.
 """
 
 from __future__ import annotations
