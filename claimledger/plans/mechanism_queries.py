@@ -324,3 +324,58 @@ def v1_accuracy(spark, sf):
 def t1_heads(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
     return ledger.latest_heads(ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1"), ["user_id"], "event_type", ["ts", "event_id"]).select("user_id", "event_type")
+
+
+# ---- sources and adjudication ---------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{steps.shared_folder(spark)}/{name}-{spark.sql('SELECT uuid()').first()[0]}"
+
+
+@query("s1_json_array", "SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 3 = 0")
+def s1(spark, sf):
+    rows = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    folder = _folder(spark, "arrays")
+    lists = rows.groupBy((c("o_orderkey") % 10).alias("file")).agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "day"))).alias("value"))
+    lists.write.partitionBy("file").text(folder)
+    return J.files.read_json_array(spark, folder, "o_orderkey long, o_orderstatus string, day string").select("o_orderkey", "o_orderstatus", "day")
+
+
+@query("s2_json_lines", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS o_custkey FROM orders")
+def s2(spark, sf):
+    folder = _folder(spark, "lines")
+    table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.when(c("o_orderkey") % 4 != 0, c("o_custkey")).alias("o_custkey")).write.json(folder)
+    return J.files.read_json_lines(spark, folder, "o_orderkey long, at string, o_custkey long")
+
+
+@query("s3_columns", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01'")
+def s3(spark, sf):
+    return J.files.read_columns(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_shipdate"]).where(c("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")).select("l_orderkey", "l_quantity")
+
+
+@query("s4_export", "SELECT CAST(user_id AS VARCHAR) AS ocd_id, 'closes ' AS shown, count(*) > 0 AS there FROM events GROUP BY 1")
+def s4(spark, sf):
+    folder = _folder(spark, "export")
+    J.files.write_windows(reconcile.reconcile_log(J._log(spark, sf), S.instant(NOW)), folder)
+    back = J.files.read_json_lines(spark, folder, "ocd_id string, resolved_close_display string, derived_at string, rin string")
+    return back.select("ocd_id", F.substring("resolved_close_display", 1, 7).alias("shown"), (c("derived_at") == "1997-06-01T12:00:00.000Z").alias("there"))
+
+
+@query("g1_outcomes", """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 50 AS h FROM part), f AS (SELECT h, row_number() OVER (ORDER BY min(CAST(k AS VARCHAR)), CAST(h AS VARCHAR)) AS n, count(*) AS c FROM p WHERE h % 5 <> 0 GROUP BY 1)
+SELECT k, CASE WHEN h % 5 = 0 THEN 'linked' WHEN n > 12 THEN 'deferred' WHEN h % 7 = 0 THEN 'error' WHEN h % 2 = 0 THEN 'linked' ELSE 'not_linked' END AS outcome, h % 5 = 0 AS cached FROM p LEFT JOIN f USING (h)""")
+def g1(spark, sf):
+    pairs = table(spark, sf, "part").select(k_text("p_partkey").alias("ocd_id"), F.lit("b").alias("ocd_id_b"), (c("p_partkey") % 50).cast("string").alias("content_hash"))
+    cache = spark.range(0, 50, 5).select(c("id").cast("string").alias("content_hash"), F.lit("p").alias("adjudicator_id"), F.lit("affirm").alias("classification"), F.lit("").alias("rationale"), S.instant(NOW).alias("created_at"))
+    h = c("content_hash").cast("int")
+    provider = lambda df: df.select("content_hash", F.when(h % 7 == 0, F.lit(None)).when(h % 2 == 0, "affirm").otherwise("reject").alias("classification"), F.lit("").alias("rationale"))
+    out, _ = chain.adjudicate(pairs, cache, provider, "p", S.instant(NOW), budget=12, tries=1)
+    return out.select(c("ocd_id").cast("long").alias("k"), "outcome", "cached")
+
+
+@query("g5_without_provider", "SELECT p_partkey AS k, 'ambiguous' AS outcome, p_name IS NULL AS judged FROM part")
+def g5(spark, sf):
+    pairs = table(spark, sf, "part").select(k_text("p_partkey").alias("ocd_id"), F.lit("b").alias("ocd_id_b"), c("p_name").alias("content_hash"))
+    out, _ = chain.adjudicate(pairs, spark.createDataFrame([], "content_hash string, adjudicator_id string, classification string, rationale string, created_at timestamp"), None, "p", S.instant(NOW))
+    return out.select(c("ocd_id").cast("long").alias("k"), "outcome", c("classification").isNotNull().alias("judged"))
