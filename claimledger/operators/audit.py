@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimledger.operators.steps import stored
+
 
 def append_only_breaks(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of the earlier snapshot that the later one lacks or has changed."""
@@ -63,7 +65,8 @@ def differing_ranges(before: DataFrame, after: DataFrame, bits: int = 12, step:
             below = parents.withColumnRenamed("range", "_parent")
             a, b = (t.withColumn("_parent", F.shiftrightunsigned("range", step)).join(below, "_parent", "left_semi") for t in (a, b))
         rows = a.select("range", F.struct("n", "x", "lo", "hi").alias("a")).join(b.select("range", F.struct("n", "x", "lo", "hi").alias("b")), "range", "full_outer")
-        parents = rows.where(~F.col("a").eqNullSafe(F.col("b"))).select("range")
+        # stored, else each level's plan would hold the one above it twice
+        parents = stored(rows.where(~F.col("a").eqNullSafe(F.col("b"))).select("range"))
     return parents
 
 
@@ -74,7 +77,8 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: Sequence[str], tr
     left is counted, plus one after and minus one before, by key and row.
     """
     columns = before.columns
-    a, b = trees or (hash_tree(before, key, bits, step, columns), hash_tree(after, key, bits, step, columns))
+    # a tree is small and read once a level, so it is stored; each snapshot is read twice, for its tree and for the rows of ranges that differ
+    a, b = trees or (stored(hash_tree(before, key, bits, step, columns)), stored(hash_tree(after, key, bits, step, columns)))
     ranges = F.broadcast(differing_ranges(a, b, bits, step).withColumnRenamed("range", "_range"))  # 2**bits numbers at most
     only = lambda df, sign: _hashed(df, key, bits, columns).join(ranges, "_range", "left_semi").select(*key, "_row", F.lit(sign).alias("_n"))
     rows = only(before, -1).unionByName(only(after, 1)).groupBy(*key, "_row").agg(F.sum("_n").alias("_n")).where("_n <> 0")

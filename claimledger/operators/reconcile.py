@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
 from claimledger.operators.projection import HISTORY, dealt, previous, running
+from claimledger.operators.steps import stored
 
 PRIMARY, STATUS = "federal_register", "regulations_gov"
 
@@ -117,7 +118,7 @@ def replay_projection(log: DataFrame, now: Column, blocks: int | None = None) ->
     claim = lambda side, fields: F.when(F.col(side).isNotNull(), F.struct(F.col(f"{side}.observation_id").alias("observation_id"), *[v.alias(k) for k, v in fields(F.col(f"{side}.raw")).items()]))
     claims = dealt(one.select("ocd_id", "fetched_at", claim("a", extract_primary).alias("a"), claim("b", extract_status).alias("b")), key, at, blocks)
     states = running(claims.withColumnsRenamed({"a": "_a", "b": "_b"}), key, at, lasts={"a": F.col("_a"), "b": F.col("_b")}).drop("_a", "_b")
-    derived = derive_claims(states, now, ("ocd_id", "fetched_at", "_block"))
+    derived = stored(derive_claims(states, now, ("ocd_id", "fetched_at", "_block")))
     closes = previous(derived.select("ocd_id", "fetched_at", "_block", "resolved_close_utc", "current_observation_ids"), key, at, F.struct("resolved_close_utc", "current_observation_ids"), "old")
     moved = closes.where(F.col("old").isNotNull() & ~F.col("resolved_close_utc").eqNullSafe(F.col("old.resolved_close_utc")))
     steps = moved.groupBy("ocd_id").agg(F.sort_array(F.collect_list(F.struct("fetched_at", "old"))).alias("h"))
