@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -47,10 +47,13 @@ def replay(states: DataFrame, key: str, at: str, close: str, tie: str) -> DataFr
     return runs.select(key, (F.size("h") - 1).alias("version"), F.element_at("h", -1)["close"].alias(close), F.slice("h", F.lit(1), F.size("h") - 1).alias("history"))
 
 
-def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
-    """Rows stored by ranges of (keys, order) with the number of their range in ``_block``: a key of any length is spread over tasks."""
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None, read: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Rows stored by ranges of (keys, order) with the number of their range in ``_block``: a key of any length is spread over tasks.
+
+    ``read`` makes the stored rows of the dealt ones; ``df`` itself runs twice, once to find the ranges.
+    """
     n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(n, *keys, *order).withColumn("_block", F.spark_partition_id()))
+    return stored(read(df.repartitionByRange(n, *keys, *order).withColumn("_block", F.spark_partition_id())))
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders that the jobs under way have written, the innermost job's last.
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
@@ -39,6 +40,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def once(df: DataFrame, keep: Sequence[str | Column], **fields: Column) -> DataFrame:
+    """``keep`` and ``fields``, each field computed once a row.
+
+    An ordinary column is written out again in every filter above it, so that a JSON text would be parsed dozens of times; a generator's
+    result is not.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))))
+
+
 def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """``stored`` rows, and aggregates over them that were taken while they were written."""
     seen = Observation()

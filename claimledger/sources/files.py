@@ -9,7 +9,8 @@ from pyspark.sql.types import StructType
 from claimledger.functions import scalars as S
 from claimledger.functions.rules import notice_flags, primary_haystack, status_haystack
 from claimledger.operators.ledger import keep_latest
-from claimledger.operators.reconcile import PRIMARY, STATUS, extract_primary, extract_status
+from claimledger.operators.reconcile import PRIMARY, STATUS, primary_fields, status_fields
+from claimledger.operators.steps import once
 
 #: The columns of the window export.
 EXPORT = (
@@ -54,14 +55,22 @@ def _split(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
 
 
+def _read(details: DataFrame, fields: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """``details`` with ``fields`` of its parsed document (``_v``), computed once a row, and the columns that hold them."""
+    rows = once(details.withColumn("_v", F.try_parse_json("raw")), details.columns, **{f"_x_{k}": e for k, e in fields.items()})
+    return rows, {k: F.col(f"_x_{k}") for k in fields}
+
+
 def primary_observations(details: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """(observations, rejects) of details (raw, fetched_at) from the primary source."""
-    v = F.try_parse_json("raw")
-    x = {k: e for k, e in extract_primary(F.col("raw")).items() if k in ("document_number", "document_id", "object_id", "dates_text", "title")}
-    flags = notice_flags(primary_haystack(x["title"], S.json_string(v, "$.type"), S.json_string(v, "$.action")))
-    rows = details.select(
-        "*", F.lit(PRIMARY).alias("source"), S.entity_key(x["document_number"], F.lit(None).cast("string")).alias("ocd_id"), x["document_number"].alias("fr_document_number"),
-        x["document_id"].alias("regs_document_id"), x["object_id"].alias("regs_object_id"), S.canonical_hash(F.col("raw")).alias("payload_hash"), F.lit(version).alias("parser_version"),
+    v = F.col("_v")
+    x = {k: e for k, e in primary_fields(v).items() if k in ("document_number", "document_id", "object_id", "dates_text", "title")}
+    x |= {"type": S.json_string(v, "$.type"), "action": S.json_string(v, "$.action"), "hash": S.parsed_hash(v)}
+    read, x = _read(details, x)
+    flags = notice_flags(primary_haystack(x["title"], x["type"], x["action"]))
+    rows = read.select(
+        *details.columns, F.lit(PRIMARY).alias("source"), S.entity_key(x["document_number"], F.lit(None).cast("string")).alias("ocd_id"), x["document_number"].alias("fr_document_number"),
+        x["document_id"].alias("regs_document_id"), x["object_id"].alias("regs_object_id"), x["hash"].alias("payload_hash"), F.lit(version).alias("parser_version"),
         x["dates_text"].alias("raw_dates_text"), *[c.alias(f"is_{f}") for f, c in flags.items()],
     )
     return _split(rows, F.when(F.col("payload_hash").isNull(), "not JSON").when(F.col("ocd_id").isNull(), "no document number"))
@@ -69,13 +78,15 @@ def primary_observations(details: DataFrame, version: str) -> tuple[DataFrame, D
 
 def status_observations(details: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """(observations, rejects) of details (raw, fetched_at) from the status source."""
-    v = F.try_parse_json("raw")
-    x = extract_status(F.col("raw"))
-    flags = notice_flags(status_haystack(x["title"], S.json_string(v, "$.data.attributes.documentType")))
+    v = F.col("_v")
+    x = {k: e for k, e in status_fields(v).items() if k in ("document_number", "document_id", "object_id", "title", "withdrawn")}
+    x |= {"type": S.json_string(v, "$.data.attributes.documentType"), "hash": S.parsed_hash(v)}
+    read, x = _read(details, x)
+    flags = notice_flags(status_haystack(x["title"], x["type"]))
     flags["withdrawal"] = flags["withdrawal"] | F.coalesce(x["withdrawn"], F.lit(False))
-    rows = details.select(
-        "*", F.lit(STATUS).alias("source"), S.entity_key(x["document_number"], x["object_id"]).alias("ocd_id"), x["document_number"].alias("fr_document_number"),
-        x["document_id"].alias("regs_document_id"), x["object_id"].alias("regs_object_id"), S.canonical_hash(F.col("raw")).alias("payload_hash"), F.lit(version).alias("parser_version"),
+    rows = read.select(
+        *details.columns, F.lit(STATUS).alias("source"), S.entity_key(x["document_number"], x["object_id"]).alias("ocd_id"), x["document_number"].alias("fr_document_number"),
+        x["document_id"].alias("regs_document_id"), x["object_id"].alias("regs_object_id"), x["hash"].alias("payload_hash"), F.lit(version).alias("parser_version"),
         F.lit(None).cast("string").alias("raw_dates_text"), *[c.alias(f"is_{f}") for f, c in flags.items()],
     )
     return _split(rows, F.when(F.col("payload_hash").isNull(), "not JSON").when(F.col("regs_document_id").isNull(), "no document id").when(F.col("ocd_id").isNull(), "no entity key"))

@@ -302,3 +302,27 @@ def test_chain_links_move_no_pairs(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     shuffles = [x for x in plan.splitlines() if "hashpartitioning" in x]
     assert len([x for x in shuffles if "ReusedExchange" not in x]) == 1 and all("_docket" in x for x in shuffles)
+
+
+def test_documents_are_parsed_once(spark, sf):
+    """A filter over derived columns must not write the parsing out again."""
+    from claimledger.plans.queries import QUERIES
+
+    for name, most in (("r11_fields", 2), ("u5_dockets", 2), ("s7_status_observations", 2), ("s6_primary_observations", 1)):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= len(re.findall(r"(?i)parse_?json", plan)) <= most, name
+
+
+def test_dealt_rows_are_read_once(spark):
+    """Finding the ranges must not run the reading of the rows as well."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    df = spark.range(1000).repartition(4)
+    rows = projection.dealt(df, ["id"], ["id"], 4, lambda r: r.withColumn("read", counted("id")))
+    assert rows.where("read = id").count() == 1000 and calls.value == 1000
+    assert [r["n"] for r in rows.groupBy("_block").agg(F.min("id").alias("lo"), F.count("*").alias("n"), F.max("id").alias("hi")).where("hi - lo + 1 = n").collect()] and rows.select("_block").distinct().count() == 4
