@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimledger.operators.steps import stored
 
+#: Observations from which on an entity is joined apart from the others.
+CROWD = 10_000
 SINCE = "array<struct<observation_id: string, fetched_at: timestamp, is_extension: boolean, is_correction: boolean, is_withdrawal: boolean, is_reopening: boolean>>"
 
 
@@ -45,10 +48,19 @@ def horizon_state(close: Column, checked_at: Column, snapshotted_at: Column, now
     )
 
 
-def post_close(watches: DataFrame, linked: DataFrame) -> DataFrame:
-    """Adds ``since``, the observations strictly after the close, and ``observed_at``, the last of them."""
+def post_close(watches: DataFrame, linked: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Adds ``since``, the observations strictly after the close, and ``observed_at``, the last of them.
+
+    Entities of more than ``crowd`` observations are few; their watches are broadcast to the observations, so no task reads all
+    observations of an entity, be it watched or not.
+    """
     w = watches.select("ocd_id", "window_version", "published_close_utc")
-    after = w.join(linked.drop("ocd_id"), (F.col("ocd_id") == F.col("entity")) & (F.col("fetched_at") > F.col("published_close_utc")))
+    crowded = F.broadcast(linked.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select("entity"))
+    late = (F.col("ocd_id") == F.col("entity")) & (F.col("fetched_at") > F.col("published_close_utc"))
+    observed = linked.select("entity", "observation_id", "fetched_at", "is_extension", "is_correction", "is_withdrawal", "is_reopening")
+    few = w.join(observed.join(crowded, "entity", "left_anti"), late)
+    watched = F.broadcast(w.join(crowded, F.col("ocd_id") == F.col("entity"), "left_semi"))
+    after = few.unionByName(observed.join(crowded, "entity", "left_semi").join(watched, late).select(*few.columns))
     seen = F.struct("observation_id", "fetched_at", "is_extension", "is_correction", "is_withdrawal", "is_reopening")
     got = after.groupBy("ocd_id", "window_version").agg(F.collect_list(seen).alias("since"), F.max("fetched_at").alias("observed_at"))
     return watches.join(got, ["ocd_id", "window_version"], "left").withColumn("since", F.coalesce("since", F.array().cast(SINCE)))
@@ -66,7 +78,7 @@ def open_watches(watches: DataFrame, windows: DataFrame, records: DataFrame, sta
 
 def verification_run(windows: DataFrame, watches: DataFrame, records: DataFrame, observations: DataFrame, bridge: DataFrame | None, stamps: DataFrame, now: Column) -> dict[str, DataFrame]:
     """E1-E8 as one job: ``watches`` and ``records`` as they are after it, ``new`` records, ``set_aside`` rows and a ``summary``."""
-    linked = linked_observations(observations, bridge)
+    linked = stored(linked_observations(observations, bridge))  # read four times
     fresh = snapshot_scope(windows, watches, records, linked, now)
     all_ = watches.unionByName(fresh)
     rows, set_aside = open_watches(all_, windows, records, stamps)

@@ -326,3 +326,21 @@ def test_dealt_rows_are_read_once(spark):
     rows = projection.dealt(df, ["id"], ["id"], 4, lambda r: r.withColumn("read", counted("id")))
     assert rows.where("read = id").count() == 1000 and calls.value == 1000
     assert [r["n"] for r in rows.groupBy("_block").agg(F.min("id").alias("lo"), F.count("*").alias("n"), F.max("id").alias("hi")).where("hi - lo + 1 = n").collect()] and rows.select("_block").distinct().count() == 4
+
+
+def test_post_close_of_crowded_entities(spark):
+    """An entity of very many observations is joined by its watches, with the same result."""
+    watches = spark.createDataFrame([("a", 0, T0), ("b", 0, T0), ("c", 1, T0)], "ocd_id string, window_version int, published_close_utc timestamp")
+    seen = [("elsewhere", f"x{i}", i) for i in range(500)] + [("a", f"a{i}", i) for i in range(-5, 40)] + [("b", "b1", 1)]
+    rows = [(e, e, o, T0 + timedelta(days=d), d % 2 == 0, False, False, False) for e, o, d in seen]
+    linked = spark.createDataFrame(rows, "entity string, ocd_id string, observation_id string, fetched_at timestamp, is_extension boolean, is_correction boolean, is_withdrawal boolean, is_reopening boolean")
+    for crowd in (0, 10, 10_000):
+        got = {r.ocd_id: (r.window_version, {(s.observation_id, s.is_extension) for s in r.since}, r.observed_at) for r in verify.post_close(watches, linked, crowd).collect()}
+        assert got == {"a": (0, {(f"a{i}", i % 2 == 0) for i in range(1, 40)}, T0 + timedelta(days=39)), "b": (0, {("b1", False)}, T0 + timedelta(days=1)), "c": (1, set(), None)}
+
+
+def test_tree_query_deals_rows_by_the_session(spark, sf):
+    """No fixed number of partitions, which would grow with the table."""
+    from claimledger.plans.queries import QUERIES
+
+    assert "Repartition" in (plan := QUERIES["a20_trees"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()) and "], 8" not in plan
