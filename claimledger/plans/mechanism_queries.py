@@ -172,7 +172,7 @@ def s9_changes(spark, sf):
 def a20_trees(spark, sf):
     lines = table(spark, sf, "lineitem")
     a = audit.hash_tree(lines, ["l_orderkey"]).where("level = 0")
-    b = audit.hash_tree(lines.repartition(8, "l_partkey"), ["l_orderkey"]).where("level = 0")
+    b = audit.hash_tree(lines.repartition("l_partkey"), ["l_orderkey"]).where("level = 0")
     j = a.join(b.select("level", *[c(x).alias(f"{x}2") for x in ("n", "x", "lo", "hi")]), "level")
     return j.select("level", "n", ((c("n") == c("n2")) & (c("x") == c("x2")) & (c("lo") == c("lo2")) & (c("hi") == c("hi2"))).alias("alike"))
 
