@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Folders that the jobs under way have written, the innermost job's last.
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+#: While this is set, Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,11 +35,29 @@ def stored(df: DataFrame) -> DataFrame:
     What reads the result never runs ``df``'s plan again and reads only the columns that it needs, so rows of a
     provider are the same for all readers.  Inside a ``scope`` the files go when the scope ends, else they stay.
     """
-    folder = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    if _SCOPES.get():
-        _SCOPES.get()[-1].append(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return stored_parts([df])
+
+
+def stored_parts(parts: Iterable[DataFrame], outlive: bool = False) -> DataFrame:
+    """``stored`` rows of one frame or more of one schema, computed one after the other.
+
+    The shuffle files of a part are removed once it is written, so the disk holds those of one part at a time.  With ``outlive`` the
+    files stay when the present scope ends and go with the one around it.
+    """
+    folder, scopes = None, _SCOPES.get()[:-1] if outlive else _SCOPES.get()
+    for df in parts:
+        spark = df.sparkSession
+        if folder is None:
+            folder = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+            if scopes:
+                scopes[-1].append(folder)
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").mode("append").parquet(folder)
+        finally:
+            spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def once(df: DataFrame, keep: Sequence[str | Column], **fields: Column) -> DataFrame:

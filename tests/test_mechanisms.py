@@ -5,12 +5,13 @@ import random
 import re
 import time
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from claimledger.functions import scalars as S
-from claimledger.operators import audit, chain, metrics, projection, reconcile, verify
+from claimledger.operators import audit, chain, metrics, projection, reconcile, steps, verify
 from claimledger.plans import jobs
 from tests.test_jobs import LOG, primary, status
 
@@ -304,6 +305,68 @@ def test_chain_links_move_no_pairs(spark):
     assert len([x for x in shuffles if "ReusedExchange" not in x]) == 1 and all("_docket" in x for x in shuffles)
 
 
+def _candidates(n, seed):
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        day = date(2025, 1, 1) + timedelta(days=rng.randrange(200))
+        flags = [rng.random() < 0.2 for _ in range(4)]
+        rows.append((f"e{i}", f"o{i}", f"N{i}", rng.sample("abcdefghij", 3), rng.sample("rstuvw", 2), *flags, "t", day.isoformat(), None, rng.choice([None, f"see N{rng.randrange(n)}."]), rng.choice(["open", "closed"]), datetime(day.year, day.month, day.day)))
+    return rows
+
+
+def _shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f.getName() for f in (lambda files: [files.apply(i) for i in range(files.size())])(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    before, mine = _shuffle_files(spark), spark.conf.get(steps.CLEANUP, None)
+    one = steps.stored(spark.range(2000).repartition(3, "id"))
+    parts = steps.stored_parts(spark.range(k, k + 10).repartition(2, "id") for k in (0, 10, 20))
+    late = time.time() + 10
+    while (left := _shuffle_files(spark) - before) and time.time() < late:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(steps.CLEANUP, None) == mine
+    assert one.count() == 2000 and sorted(r.id for r in parts.collect()) == list(range(30))
+
+
+def test_chain_links_in_turns(spark):
+    """Links stored in turns are the links; entities and docket rows are gone when they are there, the links with the job's scope."""
+    df, shared = spark.createDataFrame(_candidates(300, 8), CANDIDATE), Path(spark.conf.get("spark.checkpoint.dir"))
+    want = sorted(tuple(r) for r in chain.chain_links(df).collect())
+    old = set(shared.iterdir())
+    with steps.scope(spark):
+        for k, turns in enumerate((None, 1, 5)):
+            assert sorted(tuple(r) for r in chain.stored_links(df, crowd=(1024, 0, 20)[k], turns=turns).collect()) == want and len(want) > 2000
+            assert len(set(shared.iterdir()) - old) == k + 1
+    assert set(shared.iterdir()) == old
+
+
+def test_stored_pairs_are_not_stored_again(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    links = chain.stored_links(spark.createDataFrame(_candidates(300, 9), CANDIDATE))
+    pairs = links.select("ocd_id", "ocd_id_b", F.substring("ocd_id_b", -1, 1).alias("content_hash"))
+    cache = spark.createDataFrame([("3", "p", "affirm", "", T0)], "content_hash string, adjudicator_id string, classification string, rationale string, created_at timestamp")
+    judge, old = chain.python_provider(lambda r: ("reject" if r["content_hash"] == "4" else "affirm", "")), set(shared.iterdir())
+    kept, _ = chain.adjudicate(pairs, cache, judge, "p", S.instant(T0), budget=3, kept=True)
+    assert max(spark.read.parquet(str(f)).count() for f in set(shared.iterdir()) - old) <= 1000 < links.count() // 2
+    again, _ = chain.adjudicate(pairs, cache, judge, "p", S.instant(T0), budget=3)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_first_hashes_behind_many_pairs_of_one(spark):
+    """The hashes that are asked are the first ones, however many pairs come before theirs, and only some pairs are sorted."""
+    rng = random.Random(6)
+    rows = [(f"{i:04}", rng.choice("xy"), "hot" if i < 300 else rng.choice(["warm", f"h{i % 40}", None])) for i in range(700)]
+    pairs = spark.createDataFrame(rows, "ocd_id string, ocd_id_b string, content_hash string").repartition(5)
+    firsts = {}
+    for a, b, h in rows:
+        firsts.setdefault(h, (a, b))
+    for n, most in ((0, 10), (1, 10), (7, 1), (30, 16), (100, 1000)):
+        got = chain._first_asked(pairs, ("ocd_id", "ocd_id_b"), n, most).collect()
+        assert sorted((r.content_hash or "", tuple(r._first), (r._row.ocd_id, r._row.ocd_id_b)) for r in got) == sorted((h or "", p, p) for h, p in list(firsts.items())[:n])
+
+
 def test_documents_are_parsed_once(spark, sf):
     """A filter over derived columns must not write the parsing out again."""
     from claimledger.plans.queries import QUERIES
