@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -44,6 +46,16 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_heap() -> None:
+    """Gives freed memory of this process back to the system, where its C library can do so.
+
+    Spark keeps Python workers for later tasks, and the C library would keep what a task has freed: on an executor
+    that counts against every later step.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """The test fold: rows whose crc32 of the id as text has remainder 2 by 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2

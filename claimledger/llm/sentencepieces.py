@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimledger.llm.common import read_table
+from claimledger.llm.common import free_heap, read_table
 
 MODEL = os.environ.get("CLAIMLEDGER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -215,13 +215,13 @@ class Lattices:
         self.piece, self.target = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.upto, self.p, self.rest = np.zeros(0), np.zeros(0), np.zeros(0)
 
-    def tidy(self) -> None:
+    def tidy(self) -> bool:
         """Between blocks: when the tables have grown past their bound, only words met again since the last time stay.
 
-        They move to the front of the tables, whose memory is used again.
+        They move to the front of the tables, whose memory is used again.  True if that was done.
         """
         if self.edges <= self.most_edges:
-            return
+            return False
         kept = np.flatnonzero(self.again[self.begins])
         per_word = self.first[self.begins[kept] + self.lengths[kept]] - self.first[self.begins[kept]]
         kept = kept[: int(np.searchsorted(np.cumsum(per_word), self.most_edges // 2, side="right"))]
@@ -233,8 +233,11 @@ class Lattices:
         sizes = self.first[node + 1] - self.first[node]
         target = self.target[edge]
         target = np.where(target == 0, 0, target - np.repeat(old - new, per_word))
-        for name, values in (("piece", self.piece[edge]), ("target", target), ("upto", self.upto[edge]), ("p", self.p[edge]), ("rest", self.rest[edge])):
-            getattr(self, name)[: len(edge)] = values
+        self.target[: len(edge)] = target
+        del target
+        for name in ("piece", "upto", "p", "rest"):
+            column = getattr(self, name)
+            column[: len(edge)] = column[edge]
         self.first[1] = 0
         self.first[2 : len(node) + 2] = np.cumsum(sizes)
         self.again[:] = False
@@ -242,6 +245,7 @@ class Lattices:
         self.words.clear(16)
         self.words.insert(self.hashes, new)
         self.nodes, self.edges = 1 + len(node), len(edge)
+        return True
 
     def _raw_edges(self, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges per character, pieces, lengths): all pieces that start at each character, longest first."""
@@ -551,49 +555,58 @@ def decode(pieces, vocab: Vocabulary) -> str:
     return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str = MODEL, key_col: str = "doc_id", text_col: str = "text", block_chars: int = 300_000) -> DataFrame:
-    """``SAMPLES`` rows, up to ``k`` per document; ``model`` is a path that every executor can read."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model)
-        lattices = Lattices(vocab)
-
-        def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
-            plain = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(np.uint64)
-            keys = derive(plain ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)), 7)
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
-            wanted: list[bytes] = []
-            for i, text, samples in zip(ids, texts, sample_batch(lattices, texts, keys, k), strict=True):
-                raw = f" {text}".encode("utf-8", "surrogatepass") if text else b""
-                for s, (lp, inc, found) in enumerate(samples):
-                    for c, x in zip(cols, (i, s, lp, inc, len(found), found), strict=True):
-                        c.append(x)
-                    wanted.append(raw)
-            lattices.tidy()
-            flat, sizes = vocab.spell(np.concatenate(cols[5]), np.array(cols[4], dtype=np.int64))
-            at = np.append(0, np.cumsum(sizes)).astype(np.int32)
-            flat = flat.astype(np.int32)
-            got, ends = raw_bytes(flat, vocab)
-            cuts = np.append(0, ends)[at].tolist()
-            decodes = [got[lo:hi].tobytes() == raw for lo, hi, raw in zip(cuts, cuts[1:], wanted, strict=False)]
-            types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
-            arrays = [pa.array(c, t) for c, t in zip((*cols[:4], sizes), types, strict=True)]
-            arrays += [pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(decodes, pa.bool_())]
-            return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SAMPLES.split(", ")])
-
+def segment_batches(batches: Iterator[pa.RecordBatch], k: int, seed: int, model: str, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """``SAMPLES`` rows of a task's (key, text) batches; the worker then keeps the vocabulary and no word lattice."""
+    vocab = vocabulary(model)
+    lattices = Lattices(vocab)
+
+    def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
+        plain = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(np.uint64)
+        keys = derive(plain ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)), 7)
+        cols: tuple[list, ...] = ([], [], [], [], [], [])
+        wanted: list[bytes] = []
+        for i, text, samples in zip(ids, texts, sample_batch(lattices, texts, keys, k), strict=True):
+            raw = f" {text}".encode("utf-8", "surrogatepass") if text else b""
+            for s, (lp, inc, found) in enumerate(samples):
+                for c, x in zip(cols, (i, s, lp, inc, len(found), found), strict=True):
+                    c.append(x)
+                wanted.append(raw)
+        if lattices.tidy():
+            free_heap()
+        flat, sizes = vocab.spell(np.concatenate(cols[5]), np.array(cols[4], dtype=np.int64))
+        at = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        flat = flat.astype(np.int32)
+        got, ends = raw_bytes(flat, vocab)
+        cuts = np.append(0, ends)[at].tolist()
+        decodes = [got[lo:hi].tobytes() == raw for lo, hi, raw in zip(cuts, cuts[1:], wanted, strict=False)]
+        types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
+        arrays = [pa.array(c, t) for c, t in zip((*cols[:4], sizes), types, strict=True)]
+        arrays += [pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(decodes, pa.bool_())]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SAMPLES.split(", ")])
+
+    try:
         for batch in batches:
             ids, texts, size = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(text or "")
-                size += len(texts[-1])
-                if size >= block_chars:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
+            for first in range(0, batch.num_rows, 500):
+                some = batch.slice(first, 500)
+                for i, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    ids.append(i)
+                    texts.append(text or "")
+                    size += len(texts[-1])
+                    if size >= block_chars:
+                        yield flush(ids, texts)
+                        ids, texts, size = [], [], 0
             if ids:
                 yield flush(ids, texts)
+    finally:
+        del lattices
+        free_heap()
+
+
+def sample_segmentations(docs: DataFrame, k: int = 2, seed: int = 5, model: str = MODEL, key_col: str = "doc_id", text_col: str = "text", block_chars: int = 300_000) -> DataFrame:
+    """``SAMPLES`` rows, up to ``k`` per document; ``model`` is a path that every executor can read."""
 
-    return docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, SAMPLES)
+    return docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda batches: segment_batches(batches, k, seed, model, block_chars), SAMPLES)
 
 
 def decode_column(df: DataFrame, pieces_col: str, out: str, model: str = MODEL) -> DataFrame:
